@@ -32,7 +32,7 @@ BEFORE = "_before"
 COUNT = "_n"
 
 HOUR_MICROS = 3_600_000_000
-SLOT_ROWS = 1 << 20
+SLOT_ROWS = 1 << 18
 BLOCK_ROWS = 1 << 16
 
 # Length of one interval unit in microseconds.
