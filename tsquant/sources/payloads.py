@@ -32,7 +32,7 @@ def read_chart_payloads(
     table partition of that name, or else the file name without its extension.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    text = spark.read.option("wholetext", per_file).text(paths)
+    text = spark.read.text(paths, wholetext=per_file)
     requested = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
     if "requested_symbol" in text.columns:
         requested = F.col("requested_symbol").cast("string")
