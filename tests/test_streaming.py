@@ -1,0 +1,107 @@
+"""Streams give what the batch operators give."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from support import BARS, START, near, random_bars
+
+from tsquant.operators import bars as B
+from tsquant.operators import indicators as I
+from tsquant.streaming.bars import read_tick_stream, stream_bars
+from tsquant.streaming.indicators import stream_indicators
+from tsquant.streaming.run import drain
+
+TICK = "symbol string, timestamp timestamp, price double, volume bigint, id bigint"
+
+
+def land(spark, folder, number, rows, schema):
+    """One file per batch; the source takes files in the order they appeared."""
+    import os
+    import time
+
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    df.write.mode("append").parquet(str(folder))
+    for file in folder.glob("*.parquet"):
+        if os.path.getmtime(file) > 1_000_000_000 + number * 10:
+            if file.name not in land.seen:
+                land.seen.add(file.name)
+                os.utime(file, (1_000_000_000 + number * 10,) * 2)
+    time.sleep(0.01)
+
+
+land.seen = set()
+
+
+@pytest.fixture(scope="module")
+def ticks():
+    rng = random.Random(11)
+    return [
+        (rng.choice("AAAB"), START + dt.timedelta(seconds=i * 37), rng.uniform(1, 9), rng.randrange(9), i)
+        for i in range(900)
+    ]
+
+
+def test_bars_over_several_batches(spark, tmp_path, ticks):
+    folder = tmp_path / "ticks"
+    for part in range(3):
+        rows = ticks[part * 300 : part * 300 + 300]
+        if part:
+            rows = rows + ticks[part * 300 - 5 : part * 300]  # delivered twice
+        land(spark, folder, part, rows, TICK)
+    late = [("A", START, 1000.0, 1, 9999)]
+    land(spark, folder, 3, late, TICK)
+
+    schema = spark.read.parquet(str(folder)).schema
+    stream = read_tick_stream(spark, str(folder), schema, files_per_trigger=1)
+    bars = drain(stream_bars(stream, "10 minutes", "20 minutes", tick_id="id"), str(tmp_path / "bars"), str(tmp_path / "state"))
+
+    batch = B.bars_from_ticks(spark.createDataFrame(ticks, TICK), "10 minutes", tiebreak=("id",))
+    closed = max(t[1] for t in ticks) - dt.timedelta(minutes=20)
+    expected = batch.where(F.col("timestamp") + F.expr("INTERVAL 10 MINUTES") <= F.lit(closed))
+    assert sorted(map(tuple, bars.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def indicators_of(spark, folder, **options):
+    stream = read_tick_stream(spark, str(folder), spark.read.parquet(str(folder)).schema, 1)
+    return drain(stream_indicators(stream, **options))
+
+
+@pytest.mark.parametrize("period", [3, 12])
+def test_indicators_over_several_batches(spark, tmp_path, period):
+    rows = sorted(random_bars({"A": 200, "B": 90, "C": 1}), key=lambda r: r[1])
+    folder = tmp_path / "bars"
+    for part in range(3):
+        land(spark, folder, part, rows[part * 97 : (part + 1) * 97], BARS)
+    name = f"EMA_{period}"
+    found = {(r["symbol"], r["timestamp"]): r for r in indicators_of(spark, folder, period=period).collect()}
+    batch = I.add_indicators(spark.createDataFrame(rows, BARS), [I.ema_indicator(period), I.obv_indicator()])
+    expected = batch.collect()
+    assert len(found) == len(expected) == 291
+    for r in expected:
+        mine = found[r["symbol"], r["timestamp"]]
+        assert near(mine[name], r[name], 1e-12) and mine["OBV"] == r["OBV"] and mine["late_bars"] == 0
+
+
+def test_late_bars_are_counted_not_emitted(spark, tmp_path):
+    def bar(minute, close):
+        return ("A", START + dt.timedelta(minutes=minute), close, close, close, close, 10)
+
+    folder = tmp_path / "bars"
+    land(spark, folder, 0, [bar(1, 1.0), bar(3, 2.0)], BARS)
+    land(spark, folder, 1, [bar(2, 9.0), bar(3, 9.0), bar(4, 3.0), bar(4, 3.0)], BARS)
+    found = indicators_of(spark, folder, period=3).orderBy("timestamp").collect()
+    assert [(r["EMA_3"], r["OBV"], r["late_bars"]) for r in found] == [(1.0, 0, 0), (1.5, 10, 0), (2.25, 20, 3)]
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    folder, table, state = tmp_path / "bars", str(tmp_path / "out"), str(tmp_path / "state")
+    rows = sorted(random_bars({"A": 60}), key=lambda r: r[1])
+    for part in range(2):
+        land(spark, folder, part, rows[part * 30 : part * 30 + 30], BARS)
+        stream = read_tick_stream(spark, str(folder), spark.read.parquet(str(folder)).schema)
+        found = drain(stream_indicators(stream), table, state)
+        assert found.count() == 30 * (part + 1)
+    batch = {r["timestamp"]: r["EMA_12"] for r in I.ema(spark.createDataFrame(rows, BARS), 12).collect()}
+    assert all(near(r["EMA_12"], batch[r["timestamp"]], 1e-12) for r in found.collect())

@@ -191,7 +191,7 @@ class _FirstElement(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.done or tag in VOID:
-            if self.depth and tag == "br":
+            if self.depth and tag in ("br", "hr"):
                 self.parts.append(" ")
             return
         if self.depth:
@@ -203,8 +203,9 @@ class _FirstElement(HTMLParser):
             self.depth = 1
 
     def handle_startendtag(self, tag, attrs):
-        if self.depth and tag not in INLINE:
-            self.parts.append(" ")
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if self.done or not self.depth:
