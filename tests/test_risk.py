@@ -52,6 +52,15 @@ def test_quantiles_with_other_brackets(samples, monkeypatch, brackets):
     assert all(near(found[n], np.quantile(v, 0.05), 1e-12) for n, v in data.items())
 
 
+@pytest.mark.parametrize("hot", [1, 100, 30_000])
+def test_quantiles_with_hot_keys(samples, monkeypatch, hot):
+    monkeypatch.setattr("tsquant.functions.skew.HOT_ROWS", hot)
+    data, df = samples
+    found = {r["symbol"]: r["quantile"] for r in exact_quantile(df, "x", 0.05).collect()}
+    assert found.keys() == data.keys()
+    assert all(near(found[n], np.quantile(v, 0.05), 1e-12) for n, v in data.items())
+
+
 def test_value_at_risk(samples):
     data, df = samples
     row = K.historical_var_es(df, "x", 0.99).where("symbol = 'long'").first()

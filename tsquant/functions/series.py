@@ -164,7 +164,8 @@ def in_blocks(
 
     A row at position p is seen by the blocks of positions p - lookahead to
     p + lookback. Blocks are kept at least 8 times as long as the overlap, so at
-    most an eighth of the rows is copied.
+    most an eighth of the rows is copied. The exchange the windows need is placed
+    here, so that inputs derived for them later do not travel.
     """
     size = max(series.block_rows, 8 * (lookback + lookahead))
     pos = f"`{POS}`"
@@ -174,7 +175,8 @@ def in_blocks(
         if lookback + lookahead
         else f"{pos} div {size}"
     )
-    return numbered.withColumn(BLOCK, F.expr(blocks)), size
+    placed = numbered.withColumn(BLOCK, F.expr(blocks))
+    return placed.repartition(*[F.col(k) for k in series.keys], F.col(BLOCK)), size
 
 
 def own_rows(blocked: DataFrame, size: int, given: Sequence[str]) -> DataFrame:

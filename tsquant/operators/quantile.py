@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsquant.functions.skew import join_per_key
+
 # Rank error of the sketch is at most 1 / ACCURACY of the rows of a key.
 ACCURACY = 100_000
 # (rows from which it holds, distance in probability on either side)
@@ -49,7 +51,7 @@ def exact_quantile(
     )
     inside = F.when(F.col("_v") >= F.col("_low"), F.col("_v"))
     counts = (
-        given.join(bounds, list(keys))
+        join_per_key(given, bounds, keys, "n", "_v")
         .where(F.col("_v") <= F.col("_high"))
         .groupBy(*keys, "n", inside.alias("_inside"))
         .agg(F.count("*").alias("_count"), F.sum("_v").alias("_sum"))
