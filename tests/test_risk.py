@@ -61,6 +61,15 @@ def test_quantiles_with_hot_keys(samples, monkeypatch, hot):
     assert all(near(found[n], np.quantile(v, 0.05), 1e-12) for n, v in data.items())
 
 
+def test_rows_of_a_hot_key_are_spread(samples):
+    plan = plan_of(exact_quantile(samples[1], "x", 0.05), "simple")
+    assert "hashpartitioning(symbol" in plan and "_piece" in plan
+    joins = [x for x in plan.splitlines() if "Join [symbol" in x]
+    assert any("BroadcastHashJoin" in j for j in joins) and any("_piece" in j for j in joins)
+    counts = [x for x in plan.splitlines() if "partial_count" in x and "_groupingexpression" in x]
+    assert counts, "counts per value must be combined before their exchange"
+
+
 def test_value_at_risk(samples):
     data, df = samples
     row = K.historical_var_es(df, "x", 0.99).where("symbol = 'long'").first()

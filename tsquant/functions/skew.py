@@ -25,7 +25,9 @@ def join_per_key(
     columns = [c for c in table.columns if c not in keys]
     hot = table.where(F.col(count) >= HOT_ROWS)
     hot = hot.select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in columns])
-    cold = table.where(F.col(count) < HOT_ROWS).withColumn("_piece", F.lit(0))
+    # Always 0, but not as a literal: that would drop the piece from the join keys.
+    cold_piece = (F.col(count) >= HOT_ROWS).cast("int")
+    cold = table.where(F.col(count) < HOT_ROWS).withColumn("_piece", cold_piece)
     is_hot = F.col(f"_hot_{count}").isNotNull()
     piece = F.pmod(F.xxhash64(spread_by), F.lit(PIECES)).cast("int") + 1
     joined = (

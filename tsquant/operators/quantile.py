@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,13 +32,17 @@ def exact_quantile(
     A sketch gives two bounds around the quantile that certainly enclose it. The
     rows below are only counted and summed, those between are counted per value
     (both partial aggregates); just these counts are put in order per key, which
-    is a 1/10,000 part of a long series at most.
+    is a 1/10,000 part of a long series at most. Rows without key or value are
+    not counted.
     """
     if not 0 <= p <= 1:
         raise ValueError("p must lie in [0, 1]")
     distances = [d for _, d in BRACKETS[1:]]
     marks = [max(0.0, p - d) for d in distances] + [min(1.0, p + d) for d in distances]
-    given = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    # Stated up front for keys too, or the join adds it to one side only and what
+    # leads up to both sides is computed twice.
+    present = [F.col(c).isNotNull() for c in (*keys, value)]
+    given = df.where(reduce(and_, present)).select(*keys, F.col(value).alias("_v"))
     bounds = given.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.min("_v").alias("_min"),

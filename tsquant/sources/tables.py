@@ -23,22 +23,27 @@ def append_table(
     partition_by: Sequence[str] = BARS_PARTITIONS,
     order_by: Sequence[str] = ROW_ORDER,
     stamp: bool = False,
+    by_range: bool = True,
 ) -> bool:
     """Append and tell whether there was anything to append.
 
-    Rows are cut into ranges of (partition, symbol, time), so tasks write equal
-    shares however the rows spread over months and symbols, each file covers few
-    symbols, and a table has about as many files as there were tasks. The row
-    count is observed during the write. With ``stamp`` each row notes when it was
-    written, so that readers can let a later load of a bar replace an earlier one.
+    ``by_range`` cuts the rows into ranges of (partition, symbol, time): tasks
+    write equal shares however the rows spread, each file covers few symbols, and
+    there are about as many files as tasks. Finding the ranges runs the last stage
+    of ``df`` a second time; where that stage is costly, pass False: rows are then
+    gathered per partition, and adaptive execution splits large partitions by size.
+
+    The row count is observed during the write. With ``stamp`` each row notes when
+    it was written, so that readers can let a later load of a bar replace an
+    earlier one.
     """
     if stamp:
         df = df.withColumn(STAMP, F.current_timestamp())
     order = list(dict.fromkeys([*partition_by, *order_by]))
+    placed = df.repartitionByRange(*order) if by_range else df.hint("rebalance", *partition_by)
     counted = Observation()
     (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        placed.sortWithinPartitions(*order)
         # Above the exchange: below it, sampling the ranges would count rows twice.
         .observe(counted, F.count(F.lit(1)).alias("rows"))
         .write.mode("append")
@@ -49,7 +54,8 @@ def append_table(
 
 
 def write_indicators(records: DataFrame, path: str, stamp: bool = False) -> bool:
-    return append_table(records, path, RECORD_PARTITIONS, stamp=stamp)
+    """Append indicator records; they come out of many windows, so not by range."""
+    return append_table(records, path, RECORD_PARTITIONS, stamp=stamp, by_range=False)
 
 
 def _slice(
