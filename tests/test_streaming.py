@@ -4,13 +4,16 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from support import BARS, START, near, random_bars
 
+from tsquant.functions.series import Series
 from tsquant.operators import bars as B
 from tsquant.operators import indicators as I
+from tsquant.sources.tables import read_bars
 from tsquant.streaming.bars import read_tick_stream, stream_bars
-from tsquant.streaming.indicators import stream_indicators
+from tsquant.streaming.indicators import advance, output_schema, read_state, stream_indicators
 from tsquant.streaming.run import drain
 
 TICK = "symbol string, timestamp timestamp, price double, volume bigint, id bigint"
@@ -63,45 +66,83 @@ def test_bars_over_several_batches(spark, tmp_path, ticks):
     assert sorted(map(tuple, bars.collect())) == sorted(map(tuple, expected.collect()))
 
 
-def indicators_of(spark, folder, **options):
-    stream = read_tick_stream(spark, str(folder), spark.read.parquet(str(folder)).schema, 1)
-    return drain(stream_indicators(stream, **options))
+class Run:
+    """A stream of bars in a folder, run to its end as often as wanted."""
 
+    def __init__(self, spark, folder, root):
+        self.spark, self.folder = spark, folder
+        self.table, self.state, self.checkpoint = (str(root / n) for n in ("out", "state", "check"))
 
-@pytest.mark.parametrize("period", [3, 12])
-def test_indicators_over_several_batches(spark, tmp_path, period):
+    def __call__(self, period=12, series=None):
+        schema = self.spark.read.parquet(str(self.folder)).schema
+        stream = read_tick_stream(self.spark, str(self.folder), schema, 1)
+        query = stream_indicators(stream, self.table, self.state, self.checkpoint, period, series=series)
+        query.awaitTermination()
+        return self.spark.read.schema(output_schema(period)).parquet(self.table)
+
+
+@pytest.mark.parametrize("period, series", [(3, None), (12, Series(slot_micros=10**10, block_rows=16))])
+def test_indicators_over_several_batches(spark, tmp_path, period, series):
     rows = sorted(random_bars({"A": 200, "B": 90, "C": 1}), key=lambda r: r[1])
     folder = tmp_path / "bars"
     for part in range(3):
         land(spark, folder, part, rows[part * 97 : (part + 1) * 97], BARS)
     name = f"EMA_{period}"
-    found = {(r["symbol"], r["timestamp"]): r for r in indicators_of(spark, folder, period=period).collect()}
+    run = Run(spark, folder, tmp_path)
+    found = {(r["symbol"], r["timestamp"]): r for r in run(period, series).collect()}
     batch = I.add_indicators(spark.createDataFrame(rows, BARS), [I.ema_indicator(period), I.obv_indicator()])
     expected = batch.collect()
     assert len(found) == len(expected) == 291
     for r in expected:
         mine = found[r["symbol"], r["timestamp"]]
-        assert near(mine[name], r[name], 1e-12) and mine["OBV"] == r["OBV"] and mine["late_bars"] == 0
+        assert near(mine[name], r[name], 1e-12) and mine["OBV"] == r["OBV"]
+    assert {r["symbol"]: r["late_bars"] for r in read_state(spark, run.state, 2).collect()} == {"A": 0, "B": 0, "C": 0}
 
 
-def test_late_bars_are_counted_not_emitted(spark, tmp_path):
-    def bar(minute, close):
-        return ("A", START + dt.timedelta(minutes=minute), close, close, close, close, 10)
+def bar(minute, close, symbol="A"):
+    return (symbol, START + dt.timedelta(minutes=minute), close, close, close, close, 10)
+
 
+def test_late_bars_are_counted_not_emitted(spark, tmp_path):
     folder = tmp_path / "bars"
-    land(spark, folder, 0, [bar(1, 1.0), bar(3, 2.0)], BARS)
+    land(spark, folder, 0, [bar(1, 1.0), bar(3, 2.0), bar(1, 5.0, "B")], BARS)
     land(spark, folder, 1, [bar(2, 9.0), bar(3, 9.0), bar(4, 3.0), bar(4, 3.0)], BARS)
-    found = indicators_of(spark, folder, period=3).orderBy("timestamp").collect()
-    assert [(r["EMA_3"], r["OBV"], r["late_bars"]) for r in found] == [(1.0, 0, 0), (1.5, 10, 0), (2.25, 20, 3)]
+    land(spark, folder, 2, [bar(0, 1.0, "B")], BARS)
+    run = Run(spark, folder, tmp_path)
+    found = run(3).where("symbol = 'A'").orderBy("timestamp").collect()
+    assert [(r["EMA_3"], r["OBV"]) for r in found] == [(1.0, 0), (1.5, 10), (2.25, 20)]
+    state = {r["symbol"]: r for r in read_state(spark, run.state, 2).collect()}
+    assert state["A"]["late_bars"] == 3 and state["B"]["late_bars"] == 1
+    assert state["A"]["ema"] == 2.25 and state["B"]["ema"] == 5.0
 
 
 def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
-    folder, table, state = tmp_path / "bars", str(tmp_path / "out"), str(tmp_path / "state")
+    folder = tmp_path / "bars"
+    run = Run(spark, folder, tmp_path)
     rows = sorted(random_bars({"A": 60}), key=lambda r: r[1])
     for part in range(2):
         land(spark, folder, part, rows[part * 30 : part * 30 + 30], BARS)
-        stream = read_tick_stream(spark, str(folder), spark.read.parquet(str(folder)).schema)
-        found = drain(stream_indicators(stream), table, state)
+        found = run()
         assert found.count() == 30 * (part + 1)
     batch = {r["timestamp"]: r["EMA_12"] for r in I.ema(spark.createDataFrame(rows, BARS), 12).collect()}
     assert all(near(r["EMA_12"], batch[r["timestamp"]], 1e-12) for r in found.collect())
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    table, state = str(tmp_path / "out"), str(tmp_path / "state")
+    first = spark.createDataFrame([bar(1, 1.0), bar(2, 2.0)], BARS)
+    second = spark.createDataFrame([bar(3, 4.0)], BARS)
+    for number, batch in ((0, first), (0, first), (1, second), (1, second)):
+        advance(batch, number, table, state, 3)
+    found = spark.read.schema(output_schema(3)).parquet(table).orderBy("timestamp").collect()
+    assert [(r["EMA_3"], r["OBV"]) for r in found] == [(1.0, 0), (1.5, 10), (2.75, 20)]
+    with pytest.raises(PySparkException, match="not that of batch 3"):
+        read_state(spark, state, 3).collect()
+
+
+def test_stream_into_the_bars_table(spark, tmp_path, ticks):
+    folder, table = tmp_path / "ticks", str(tmp_path / "bars")
+    land(spark, folder, 0, ticks, TICK)
+    stream = read_tick_stream(spark, str(folder), spark.read.parquet(str(folder)).schema)
+    bars = drain(stream_bars(stream, "10 minutes", "20 minutes", tick_id="id"), table, partition_by=("date_bucket",))
+    assert sorted(map(tuple, read_bars(spark, table, first_bucket="2025-01").collect())) == sorted(map(tuple, bars.collect()))

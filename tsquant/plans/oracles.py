@@ -475,7 +475,7 @@ ORACLES: dict[str, str] = {
     SELECT symbol, date_bucket, "timestamp", {bar_columns()} FROM closed""",
     "stream_indicators": f"""WITH RECURSIVE {STREAMED}, {SIGNED},
     {_numbered('closed', 'close', '"timestamp"')}, {EMA_RECURSION}
-    SELECT n.symbol, n."timestamp", {six('w.ema', '"EMA_12"')}, o."OBV", CAST(0 AS BIGINT) AS late_bars
+    SELECT n.symbol, n."timestamp", {six('w.ema', '"EMA_12"')}, o."OBV"
     FROM numbered n
     JOIN walk w ON w.symbol = n.symbol AND w.rn = n.rn
     JOIN (SELECT symbol, "timestamp", {OBV} AS "OBV" FROM signed) o

@@ -28,7 +28,7 @@ from tsquant.schemas import CORRUPT
 from tsquant.sources import payloads as P
 from tsquant.sources import tables as S
 from tsquant.streaming.bars import read_tick_stream, stream_bars
-from tsquant.streaming.indicators import stream_indicators
+from tsquant.streaming.indicators import output_schema, stream_indicators
 from tsquant.streaming.run import drain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,10 +368,12 @@ def stream_bars_query(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_indicators_query(spark: SparkSession, folder: str) -> DataFrame:
     """Two streams in a row: closed bars to a table, indicators from that table."""
-    path = work_dir(spark, "stream-bars")
+    path, table = work_dir(spark, "stream-bars"), work_dir(spark, "stream-indicators")
     bars = drain(stream_bars(_tick_stream(spark, folder), "1 hour", "1 hour"), path)
     closed = spark.readStream.schema(bars.schema).parquet(path)
-    return show(drain(stream_indicators(closed)), *AT, "EMA_12", "OBV", "late_bars")
+    state, checkpoint = work_dir(spark, "state"), work_dir(spark, "checkpoint")
+    stream_indicators(closed, table, state, checkpoint, series=HOURLY).awaitTermination()
+    return show(spark.read.schema(output_schema()).parquet(table), *AT, "EMA_12", "OBV")
 
 
 QUERIES: dict[str, Query] = {

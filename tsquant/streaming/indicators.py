@@ -1,68 +1,130 @@
-"""EMA and on-balance volume with state per symbol across micro-batches."""
+"""EMA and on-balance volume over a stream of bars, continued from batch to batch.
 
-from __future__ import annotations
+Each micro-batch goes through the same block-wise windows as a table does, so a
+symbol that fills a batch is not handled by one task. What a symbol carries over
+is one row of a small state table; it enters the next batch as a bar of its own:
+an average seeded with its last value goes on exactly where it stopped.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+
+from tsquant.functions.series import Series
+from tsquant.operators.cleansing import dedup_bars
+from tsquant.operators.indicators import add_indicators, ema_indicator, obv_indicator
+
+STATE = (
+    "symbol string, last_at timestamp, ema double, last_close double, last_obv bigint,"
+    " late_bars bigint"
+)
+
+
+def output_schema(period: int = 12) -> str:
+    return f"symbol string, timestamp timestamp, close double, volume bigint, EMA_{period} double, OBV bigint"
+
+
+def _state_folder(state: str, batch: int) -> str:
+    # Only the last batch can be run again, and it reads the folder of the one
+    # before it, so two folders in turn are enough.
+    return f"{state}/{'even' if batch % 2 == 0 else 'odd'}"
+
+
+def read_state(spark: SparkSession, state: str, batch: int) -> DataFrame:
+    """One row per symbol as of the end of a batch; nothing before the first."""
+    if batch < 0:
+        return spark.createDataFrame([], STATE)
+    stored = spark.read.schema(f"{STATE}, batch bigint").parquet(_state_folder(state, batch))
+    other = F.raise_error(F.lit(f"the state is not that of batch {batch}")).cast("bigint")
+    checked = F.when(F.col("batch") == batch, F.col("late_bars")).otherwise(other)
+    return stored.withColumn("late_bars", checked).drop("batch")
 
-from tsquant.functions.decay import Decay
 
-STATE = "last_micros bigint, ema double, close double, obv bigint, late bigint"
+def advance(
+    bars: DataFrame,
+    batch: int,
+    table: str,
+    state: str,
+    period: int = 12,
+    smoothing: float = 2.0,
+    series: Series | None = None,
+) -> None:
+    """Process one batch of bars. Running it again overwrites what it wrote."""
+    spark, average = bars.sparkSession, f"EMA_{period}"
+    bars = bars.select("symbol", "timestamp", F.col("close").cast("double"), F.col("volume").cast("bigint"))
+    carried = read_state(spark, state, batch - 1)
+    later = F.col("last_at").isNull() | (F.col("timestamp") > F.col("last_at"))
+    known = carried.select("symbol", "last_at", "last_obv")
+    fresh = dedup_bars(bars.join(known, "symbol", "left").where(later))
+    seeds = carried.join(bars.select("symbol").distinct(), "symbol", "left_semi").select(
+        "symbol",
+        F.col("last_at").alias("timestamp"),
+        F.col("last_close").alias("close"),
+        F.lit(0).cast("bigint").alias("volume"),
+        "last_at",
+        "last_obv",
+        F.col("ema").alias("_price"),
+        F.lit(True).alias("_seed"),
+    )
+    rows = fresh.withColumns({"_price": F.col("close"), "_seed": F.lit(False)})
+    chosen = [ema_indicator(period, smoothing, "_price"), obv_indicator()]
+    done = add_indicators(rows.unionByName(seeds), chosen, series).where(~F.col("_seed"))
+    total = F.col("OBV") + F.coalesce("last_obv", F.lit(0))
+    written = f"{table}/batch={batch}"
+    done.select("symbol", "timestamp", "close", "volume", average, total.alias("OBV")).write.mode(
+        "overwrite"
+    ).parquet(written)
+
+    newest = (
+        spark.read.schema(output_schema(period))
+        .parquet(written)
+        .groupBy("symbol")
+        .agg(
+            F.max("timestamp").alias("at"),
+            F.max_by(average, "timestamp").alias("average"),
+            F.max_by("close", "timestamp").alias("close"),
+            F.max_by("OBV", "timestamp").alias("obv"),
+            F.count("*").alias("kept"),
+        )
+    )
+    met = bars.groupBy("symbol").agg(F.count("*").alias("met"))
+    late = F.coalesce("met", F.lit(0)) - F.coalesce("kept", F.lit(0))
+    carried.join(met, "symbol", "full").join(newest, "symbol", "left").select(
+        "symbol",
+        F.coalesce("at", "last_at").alias("last_at"),
+        F.coalesce("average", "ema").alias("ema"),
+        F.coalesce("close", "last_close").alias("last_close"),
+        F.coalesce("obv", "last_obv").alias("last_obv"),
+        (F.coalesce("late_bars", F.lit(0)) + late).alias("late_bars"),
+        F.lit(batch).cast("bigint").alias("batch"),
+    ).write.mode("overwrite").parquet(_state_folder(state, batch))
 
 
 def stream_indicators(
     bars: DataFrame,
+    table: str,
+    state: str,
+    checkpoint: str,
     period: int = 12,
     smoothing: float = 2.0,
-    price: str = "close",
-    volume: str = "volume",
-    time: str = "timestamp",
-) -> DataFrame:
-    """EMA and OBV for every bar of a stream, continued from batch to batch.
-
-    Feed it bars (of ``stream_bars`` in append mode, for instance): they bound
-    what one symbol brings per batch to one row per interval. A bar no newer than
-    the state is not emitted; ``late_bars`` counts those met so far.
+    series: Series | None = None,
+    **trigger,
+) -> StreamingQuery:
+    """Start a query that adds the indicators of every bar of the stream to a table.
+
+    Feed it closed bars, such as the table ``stream_bars`` writes. A bar no newer
+    than the state of its symbol is left out; the state counts those. ``trigger``
+    as for a stream writer; by default all that is there is processed.
     """
-    decay, name = Decay(period, smoothing), f"EMA_{period}"
-    schema = (
-        f"symbol string, {time} timestamp, {price} double, {volume} bigint,"
-        f" {name} double, OBV bigint, late_bars bigint"
-    )
 
-    def advance(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        last, ema, close, total, late = state.get if state.exists else (None, None, None, 0, 0)
-        rows = pd.concat(batches, ignore_index=True).sort_values("_micros", kind="stable")
-        fresh = ~rows["_micros"].duplicated()
-        if last is not None:
-            fresh &= rows["_micros"] > last
-        late += int((~fresh).sum())
-        rows = rows[fresh].copy()
-        emas, totals = [], []
-        for x, v in zip(rows[price].tolist(), rows[volume].tolist(), strict=True):
-            if v < 0:
-                raise ValueError("volume must not be negative")
-            ema = x if ema is None else decay.weight * x + decay.kept * ema
-            if close is not None:
-                total += v if x > close else -v if x < close else 0
-            close = x
-            emas.append(ema)
-            totals.append(total)
-        if emas:
-            last = int(rows["_micros"].iat[-1])
-        state.update((last, ema, close, total, late))
-        rows[name], rows["OBV"], rows["late_bars"] = emas, totals, late
-        yield rows.drop(columns="_micros")
+    def process(batch_bars: DataFrame, batch: int) -> None:
+        advance(batch_bars, batch, table, state, period, smoothing, series)
 
     return (
-        bars.select("symbol", time, F.col(price).cast("double"), F.col(volume).cast("bigint"))
-        .withColumn("_micros", F.unix_micros(time))
-        .groupBy("symbol")
-        .applyInPandasWithState(advance, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+        bars.writeStream.foreachBatch(process)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )

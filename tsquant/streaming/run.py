@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tsquant.functions.work import work_dir
 
 
 def drain(
-    stream: DataFrame, path: str | None = None, checkpoint: str | None = None
+    stream: DataFrame,
+    path: str | None = None,
+    checkpoint: str | None = None,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """Process all available input into a Parquet table and return that table.
 
@@ -22,8 +27,9 @@ def drain(
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
+        .partitionBy(*partition_by)
         .trigger(availableNow=True)
         .start(path)
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
