@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import PySparkException
 from support import START, near
 
 from tsquant.functions.series import Series
@@ -29,6 +30,14 @@ def test_latest_score_of_one_instant_is_the_last_by_tiebreak(spark):
     assert {r["id"]: r["ago"] for r in found.collect()} == {1: None, 2: None, 3: 2.0}
 
 
+def test_a_source_without_the_times_is_refused(spark):
+    rows = [("A", START + dt.timedelta(days=d), 1.0) for d in range(3)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp timestamp, s double")
+    series = Series(slot_micros=10**9)
+    with pytest.raises(PySparkException, match="source lacks a time"):
+        N.value_before(df, "s", 3600, "ago", series, df.limit(1)).collect()
+
+
 def test_daily(spark):
     rows = [(START, 1.0, 1, ["a", "b"]), (START, 4.0, 2, ["a"]), (START, None, 5, []), (START + dt.timedelta(days=1), 7.0, 3, None)]
     df = spark.createDataFrame(rows, "timestamp timestamp, sentiment_score double, importance int, keywords array<string>")

@@ -174,6 +174,20 @@ def test_copies_stay_few(bars):
     assert blocked.count() <= bars.count() * (1 + 13 / size) + 13 * len(SYMBOLS)
 
 
+def test_numbered_rows_are_not_counted_again(bars):
+    from support import plan_of
+
+    cut = CUTS[1]
+    numbered = number_rows(bars, cut)
+    chained = M.lag_features(I.rsi(I.sma(numbered, 5, series=cut), 9, series=cut), ["SMA_5", "RSI_9"], (2,), series=cut)
+    assert chained.columns[len(bars.columns)] == POS
+    apart = M.lag_features(I.rsi(I.sma(bars, 5, series=cut), 9, series=cut), ["SMA_5", "RSI_9"], (2,), series=cut)
+    names = ("SMA_5", "RSI_9", "SMA_5_lag_2", "RSI_9_lag_2", "next_close")
+    assert_same(by_row(chained, *names), by_row(apart, *names))
+    assert plan_of(chained, "simple").count("row_number()") == 1
+    assert by_row(I.obv(numbered, series=cut), "OBV") == by_row(I.obv(bars, series=cut), "OBV")
+
+
 def test_times_before_1970(spark):
     rows = [("A", dt.datetime(1969, 12, 31) + dt.timedelta(hours=i), float(i)) for i in range(48)]
     df = spark.createDataFrame(rows, "symbol string, timestamp timestamp, close double")

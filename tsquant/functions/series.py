@@ -115,10 +115,16 @@ def measure_slot(df: DataFrame, series: Series, rows: int = SLOT_ROWS) -> int:
     return max(1, HOUR_MICROS * rows // (busiest or 1))
 
 
+def measured(df: DataFrame, series: Series) -> Series:
+    """The series with its slot width filled in."""
+    if series.slot_micros is not None:
+        return series
+    return replace(series, slot_micros=measure_slot(df, series))
+
+
 def with_slots(df: DataFrame, series: Series) -> tuple[DataFrame, Series]:
     """Add the slot column; the returned series has its slot width filled in."""
-    if series.slot_micros is None:
-        series = replace(series, slot_micros=measure_slot(df, series))
+    series = measured(df, series)
     slot = F.expr(f"unix_micros(CAST(`{series.time}` AS TIMESTAMP)) div {series.slot_micros}")
     unknown = F.col(series.time).isNull()
     for key in series.keys:
@@ -144,7 +150,13 @@ def join_slots(slotted: DataFrame, slots: DataFrame, series: Series) -> DataFram
 
 
 def number_rows(df: DataFrame, series: Series | None = None) -> DataFrame:
-    """Add POS, the zero-based position of each row in its series."""
+    """Add POS, the zero-based position of each row in its series.
+
+    Rows that have it already are left as they are: operators applied one after
+    the other to numbered rows keep the column and do not count again.
+    """
+    if POS in df.columns:
+        return df
     series = Series.of(df, series)
     slotted, series = with_slots(df, series)
     slots = slotted.groupBy(*series.keys, SLOT).agg(F.count("*").alias(COUNT))

@@ -481,7 +481,7 @@ def add_indicators(
         raise ValueError("one running OBV at a time")
     numbered = running_obv(df, *totals.pop(), series) if totals else number_rows(df, series)
     if all(not i.lookback and i.cumulative for i in indicators):
-        return numbered.drop(POS)
+        return numbered if POS in df.columns else numbered.drop(POS)
 
     decays = list(dict.fromkeys(d for i in indicators for d in i.decays))
     shared = common_run(decays)

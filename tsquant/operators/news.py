@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsquant.functions.series import SLOT, Series, join_slots, with_slots
+from tsquant.functions.series import SLOT, Series, join_slots, measured, with_slots
 
 DAY_SECONDS = 86_400
 
@@ -22,45 +22,56 @@ def value_before(
     seconds: int,
     out: str,
     series: Series | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add the last known ``value`` of the same key at or before ``seconds`` ago.
 
     Values and questions (each row's time less the distance) are put in one time
     order and the last value is carried forward. Order is only needed within a
     slot of time; what a slot inherits comes from the small slot table.
+
+    ``source`` is a table with the keys, times and values of ``df`` that is cheaper
+    to read again, such as the one ``df`` was derived from.
     """
-    series = Series.of(df, series)
+    source = df if source is None else source
+    series = measured(source, Series.of(df, series))
     at, known, question = "_at", "_known", "_question"
-    values = df.select(
-        *series.keys,
-        F.col(series.time).cast("timestamp").alias(at),
-        *series.tiebreak,
-        F.col(value).alias(known),
+    cut = replace(series, time=at, tiebreak=(question, *series.tiebreak))
+    own = F.col(series.time).cast("timestamp")
+    ago = own - F.make_dt_interval(secs=F.lit(seconds))
+    values = source.where(F.col(value).isNotNull()).select(
+        *series.keys, own.alias(at), *series.tiebreak, F.col(value).alias(known),
         F.lit(False).alias(question),
-    ).where(F.col(known).isNotNull())
-    asked = df.withColumns(
-        {
-            at: F.col(series.time).cast("timestamp") - F.make_dt_interval(secs=F.lit(seconds)),
-            question: F.lit(True),
-        }
     )
-    both, cut = with_slots(
-        asked.unionByName(values, allowMissingColumns=True),
-        replace(series, time=at, tiebreak=(question, *series.tiebreak)),
+
+    newest = F.struct(at, *series.tiebreak)
+    slots, _ = with_slots(
+        values.unionByName(
+            source.select(*series.keys, ago.alias(at), F.lit(True).alias(question)),
+            allowMissingColumns=True,
+        ),
+        cut,
     )
-    newest = F.struct(*[F.when(~F.col(question), F.col(c)).alias(c) for c in (at, *series.tiebreak)])
-    slots = both.groupBy(*cut.keys, SLOT).agg(
+    slots = slots.groupBy(*cut.keys, SLOT).agg(
         F.max_by(known, F.when(~F.col(question), newest)).alias("_last")
     )
     earlier = cut.slots_in_order().rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select(
-        *cut.keys, SLOT, F.last("_last", ignorenulls=True).over(earlier).alias("_inherited")
+        *cut.keys,
+        SLOT,
+        F.last("_last", ignorenulls=True).over(earlier).alias("_inherited"),
+        F.lit(True).alias("_there"),
     )
-    rows = join_slots(both, slots, cut)
+
+    asked = df.withColumns({at: ago, question: F.lit(True)})
+    both, _ = with_slots(asked.unionByName(values, allowMissingColumns=True), cut)
     so_far = cut.slot_window().rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(known, ignorenulls=True).over(so_far)
+    elsewhere = F.raise_error(F.lit("source lacks a time of the rows")).cast("boolean")
     return (
-        rows.withColumn(out, F.coalesce(last, "_inherited"))
+        join_slots(both, slots, cut)
+        .where(F.coalesce("_there", elsewhere))
+        .withColumn(out, F.coalesce(last, "_inherited"))
         .where(F.col(question))
         .select(*df.columns, out)
     )
@@ -71,8 +82,9 @@ def sentiment_evolution(
 ) -> DataFrame:
     """Change of the score against 24 hours and 7 days ago; NULL without a score
     that old."""
-    aged = value_before(scores, score, DAY_SECONDS, "_day_ago", series)
-    aged = value_before(aged, score, 7 * DAY_SECONDS, "_week_ago", series)
+    series = measured(scores, Series.of(scores, series))
+    aged = value_before(scores, score, DAY_SECONDS, "_day_ago", series, scores)
+    aged = value_before(aged, score, 7 * DAY_SECONDS, "_week_ago", series, scores)
     return aged.withColumns(
         {
             "evolution_24h": F.col(score) - F.col("_day_ago"),

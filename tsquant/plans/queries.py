@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquant.functions.series import Series
+from tsquant.functions.series import Series, number_rows
 from tsquant.functions.work import work_dir
 from tsquant.operators import bars as B
 from tsquant.operators import cleansing as V
@@ -294,9 +294,8 @@ def scenario_impact(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lag_features(spark: SparkSession, folder: str) -> DataFrame:
-    bars = I.add_indicators(
-        bars_daily(spark, folder), [I.sma_indicator(5), I.rsi_indicator(14)], DAILY
-    )
+    numbered = number_rows(bars_daily(spark, folder), DAILY)
+    bars = I.add_indicators(numbered, [I.sma_indicator(5), I.rsi_indicator(14)], DAILY)
     features = M.lag_features(bars, ["SMA_5", "RSI_14"], (1, 2), series=DAILY)
     lagged = [f"{c}_lag_{n}" for c in ("SMA_5", "RSI_14") for n in (1, 2)]
     return show(features, *AT, "close", *lagged, "next_close")
@@ -304,7 +303,7 @@ def lag_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def forecast_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """The 5-row mean as forecast of the next close."""
-    bars = I.sma(bars_daily(spark, folder), 5, series=DAILY)
+    bars = I.sma(number_rows(bars_daily(spark, folder), DAILY), 5, series=DAILY)
     features = M.lag_features(bars, ["SMA_5"], (1,), series=DAILY)
     return show(M.forecast_metrics(features, "next_close", "SMA_5"))
 

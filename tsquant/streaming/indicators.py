@@ -120,7 +120,11 @@ def stream_indicators(
     """
 
     def process(batch_bars: DataFrame, batch: int) -> None:
-        advance(batch_bars, batch, table, state, period, smoothing, series)
+        kept = batch_bars.select("symbol", "timestamp", "close", "volume").persist()
+        try:
+            advance(kept, batch, table, state, period, smoothing, series)
+        finally:
+            kept.unpersist()
 
     return (
         bars.writeStream.foreachBatch(process)
