@@ -1,5 +1,6 @@
 """Payload validation and cleansing."""
 
+import json
 import logging
 
 import pytest
@@ -10,20 +11,32 @@ from tsquant.operators import cleansing as V
 from tsquant.schemas import BARS_TABLE, CORRUPT
 from tsquant.sources.payloads import parse_chart_payloads
 
-GOOD = (
-    '{"chart":{"result":[{"meta":{"currency":"USD","symbol":"AMZN","exchangeName":"NMS",'
-    '"fullExchangeName":"NasdaqGS","regularMarketPrice":198.89,"previousClose":196.59,'
-    '"dataGranularity":"1h","range":"1d"},"timestamp":[1740690000],"indicators":{"quote":'
-    '[{"open":[218.49],"close":[219.49],"high":[219.5],"low":[218.01],"volume":[2257200]}]}}],'
-    '"error":null}}'
-)
-BROKEN = '{"chart":{INVALID_JSON_HERE}'
-EMPTY = '{"chart":{"result":[],"error":null}}'
-UNNAMED = GOOD.replace('"symbol":"AMZN",', "")
-SHORT = GOOD.replace('"volume":[2257200]', '"volume":[]')
-TWO = GOOD.replace("[1740690000]", "[1740690000,1740693600]").replace("[218.49]", "[218.49,null]")
-TWO = TWO.replace("[219.49]", "[219.49,1.5]").replace("[219.5]", "[219.5,2.0]")
-TWO = TWO.replace("[218.01]", "[218.01,1.0]").replace("[2257200]", "[2257200,7]")
+
+
+def payload(times, symbol="ACME", close=None, volume=None):
+    """A chart payload with one bar per time."""
+    n = len(times)
+    quote = {
+        "open": [10.0 + i for i in range(n)],
+        "close": close or [11.0 + i for i in range(n)],
+        "high": [12.0 + i for i in range(n)],
+        "low": [9.0 + i for i in range(n)],
+        "volume": [100 * (i + 1) for i in range(n)] if volume is None else volume,
+    }
+    meta = {"currency": "USD", "regularMarketPrice": 11.5, "dataGranularity": "1h"}
+    if symbol:
+        meta["symbol"] = symbol
+    result = {"meta": meta, "timestamp": times, "indicators": {"quote": [quote]}}
+    return json.dumps({"chart": {"result": [result], "error": None}})
+
+
+AT = 1735732800  # 2025-01-01 12:00
+GOOD = payload([AT])
+BROKEN = '{"chart": {"result": [oops]'
+EMPTY = json.dumps({"chart": {"result": [], "error": None}})
+UNNAMED = payload([AT], symbol=None)
+SHORT = payload([AT], volume=[])
+TWO = payload([AT, AT + 3600], close=[11.0, None])
 
 
 def landed(spark, *texts):
@@ -51,7 +64,7 @@ def test_corrupt_rows_are_counted_and_dropped(spark, caplog):
     assert tuple(V.corrupt_report(df).first()) == (1, 4, 25.0)
     with caplog.at_level(logging.WARNING):
         assert V.drop_corrupt(df, check=True).count() == 3
-    assert "1/4 (25.00%)" in caplog.text and "INVALID_JSON_HERE" in caplog.text
+    assert "1/4 (25.00%)" in caplog.text and "oops" in caplog.text
     assert V.drop_corrupt(df.drop(CORRUPT)).count() == 4
 
 
@@ -65,8 +78,8 @@ def test_extract(spark):
     df = V.extract_chart(landed(spark, GOOD, UNNAMED, EMPTY), F.col("requested_symbol"))
     assert df.columns == ["company_symbol", "timestamps", "opens", "closes", "highs", "lows", "volumes"]
     rows = df.collect()
-    assert [r["company_symbol"] for r in rows] == ["AMZN", "WANTED", "WANTED"]
-    assert rows[0]["timestamps"] == [1740690000] and rows[0]["volumes"] == [2257200]
+    assert [r["company_symbol"] for r in rows] == ["ACME", "WANTED", "WANTED"]
+    assert rows[0]["timestamps"] == [AT] and rows[0]["volumes"] == [100]
     assert rows[2]["timestamps"] is None
     quoted = V.extract_chart(landed(spark, UNNAMED), "O'X")
     assert quoted.first()["company_symbol"] == "O'X"
@@ -97,10 +110,10 @@ def test_bars_of_payloads(spark):
     rows = sorted(df.collect())
     assert df.columns == BARS_TABLE.fieldNames()
     assert [(r["symbol"], r["date_bucket"], r["volume"]) for r in rows] == [
-        ("AMZN", "2025-02", 2257200),
-        ("WANTED", "2025-02", 2257200),
+        ("ACME", "2025-01", 100),
+        ("WANTED", "2025-01", 100),
     ]
-    assert rows[0]["timestamp"].strftime("%Y-%m-%d %H:%M") == "2025-02-27 21:00"
+    assert rows[0]["timestamp"].strftime("%Y-%m-%d %H:%M") == "2025-01-01 12:00"
 
 
 def test_counts_come_with_the_result(spark):

@@ -20,7 +20,7 @@ from tsquant.sources import tables as S
 
 @pytest.fixture
 def bars(spark):
-    rows = random_bars({"AAPL": 300, "MSFT": 200, "we/ird=": 50}, step=7200)
+    rows = random_bars({"ACME": 300, "OTHR": 200, "we/ird=": 50}, step=7200)
     return B.with_bucket(spark.createDataFrame(rows, BARS))
 
 
@@ -48,8 +48,8 @@ def test_empty_append_says_so(spark, tmp_path, bars):
 def test_slices_are_pruned(spark, tmp_path, bars):
     path = str(tmp_path / "bars")
     S.append_table(bars, path)
-    found = S.read_bars(spark, path, ["AAPL", "we/ird="], "2025-02", "2025-03")
-    wanted = bars.where("symbol <> 'MSFT' AND date_bucket BETWEEN '2025-02' AND '2025-03'")
+    found = S.read_bars(spark, path, ["ACME", "we/ird="], "2025-02", "2025-03")
+    wanted = bars.where("symbol <> 'OTHR' AND date_bucket BETWEEN '2025-02' AND '2025-03'")
     assert wanted.count() > 0 and same(found, wanted)
     plan = plan_of(found.select("symbol", "close"))
     partitions = next(x for x in plan.splitlines() if "PartitionFilters" in x)
@@ -62,10 +62,10 @@ def test_slices_are_pruned(spark, tmp_path, bars):
 def test_later_loads_replace_earlier_ones(spark, tmp_path, bars):
     path = str(tmp_path / "bars")
     S.append_table(bars, path, stamp=True)
-    S.append_table(bars.where("symbol = 'MSFT'").withColumn("volume", F.lit(-5).cast("bigint")), path, stamp=True)
+    S.append_table(bars.where("symbol = 'OTHR'").withColumn("volume", F.lit(-5).cast("bigint")), path, stamp=True)
     found = S.read_bars(spark, path, newest_load=True)
     assert found.count() == bars.count()
-    assert found.where("volume = -5").count() == bars.where("symbol = 'MSFT'").count()
+    assert found.where("volume = -5").count() == bars.where("symbol = 'OTHR'").count()
 
 
 def test_indicator_table(spark, tmp_path, bars):
@@ -81,20 +81,20 @@ def test_indicator_table(spark, tmp_path, bars):
     b = sorted(map(tuple, direct.select(*keys, *flat).where("v IS NOT NULL").collect()))
     assert len(a) == len(b)
     assert all(x[:4] == y[:4] and abs(x[4] - y[4]) < 1e-9 for x, y in zip(a, b, strict=True))
-    some = S.read_indicators(spark, records, ["MSFT"], types=["RSI"])
+    some = S.read_indicators(spark, records, ["OTHR"], types=["RSI"])
     assert some.count() == 200 and some.select("indicator_type").distinct().count() == 1
 
 
 def test_ingest_files_of_many_symbols(spark, tmp_path):
     landed = tmp_path / "landed"
     landed.mkdir()
-    for name, text in {"AMZN": GOOD, "TSLA": UNNAMED, "BAD": BROKEN, "NONE": EMPTY}.items():
+    for name, text in {"ACME": GOOD, "OTHR": UNNAMED, "BAD": BROKEN, "NONE": EMPTY}.items():
         (landed / f"{name}.json").write_text(json.dumps(json.loads(text), indent=1) if text != BROKEN else text)
     table = str(tmp_path / "bars")
     counts = ingest_payloads(spark, str(landed), table, per_file=True)
     assert counts == {"payloads": 4, "corrupt": 1, "timed": 2}
     found = S.read_bars(spark, table)
-    assert sorted(r["symbol"] for r in found.collect()) == ["AMZN", "TSLA"]
+    assert sorted(r["symbol"] for r in found.collect()) == ["ACME", "OTHR"]
 
 
 @pytest.mark.parametrize("text, reason", [(BROKEN, "every record is corrupt"), (EMPTY, "no timestamps")])

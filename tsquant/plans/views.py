@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,4 +184,6 @@ SHOCKS = [
 
 
 def shocks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SHOCKS, "scenario string, symbol string, shock double")
+    """The shocks as a local relation, whose size Spark knows."""
+    columns = zip(("scenario", "symbol", "shock"), zip(*SHOCKS, strict=True), strict=True)
+    return spark.createDataFrame(pa.table({name: list(values) for name, values in columns}))

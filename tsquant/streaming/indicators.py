@@ -35,7 +35,8 @@ def _state_folder(state: str, batch: int) -> str:
 def read_state(spark: SparkSession, state: str, batch: int) -> DataFrame:
     """One row per symbol as of the end of a batch; nothing before the first."""
     if batch < 0:
-        return spark.createDataFrame([], STATE)
+        fields = [f.split() for f in STATE.split(", ")]
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields])
     stored = spark.read.schema(f"{STATE}, batch bigint").parquet(_state_folder(state, batch))
     other = F.raise_error(F.lit(f"the state is not that of batch {batch}")).cast("bigint")
     checked = F.when(F.col("batch") == batch, F.col("late_bars")).otherwise(other)
