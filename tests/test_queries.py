@@ -12,7 +12,6 @@ from tsquant.operators import reshape as R
 from tsquant.plans import views
 
 FOLDER = "/root/testdata/sf0.001"
-STREAMED = {"stream_bars", "stream_indicators"}
 
 
 @pytest.fixture(scope="module")
@@ -27,14 +26,8 @@ def test_equal_to_sql(spark, duck, name):
     assert mine[1]
 
 
-def test_every_query_without_sql_is_known():
-    assert set(queries()) - set(oracle_sql()) == {"article_text"}
-    assert set(oracle_sql()) <= set(queries())
-
-
-def test_article_text_of_the_pages(spark):
-    found = queries()["article_text"](spark, FOLDER).collect()
-    assert len(found) == 50 and all(r["article_text"] and "<" not in r["article_text"] for r in found)
+def test_every_query_has_its_sql():
+    assert set(queries()) == set(oracle_sql())
 
 
 def test_entry(spark):

@@ -471,6 +471,20 @@ ORACLES: dict[str, str] = {
     FROM members m
     JOIN weights w ON w.p_type = m.p_type AND w.sector = m.sector
     JOIN prices p ON p.p_brand = m.p_brand""",
+    # The pages use <b> within lines, <p>, <br> and <h1> between them, and the
+    # entities amp and quot, sometimes cut short.
+    "article_text": r"""WITH bodies AS (
+        SELECT page_id, url, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body
+        FROM pages),
+    texts AS (
+        SELECT page_id, url,
+               regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS text
+        FROM bodies)
+    SELECT page_id, url,
+           trim(regexp_replace(
+               regexp_replace(replace(text, '&quot;', '"'), '&amp;?', '&', 'g'),
+               '\s+', ' ', 'g')) AS article_text
+    FROM texts""",
     "stream_bars": f"""WITH {STREAMED}
     SELECT symbol, date_bucket, "timestamp", {bar_columns()} FROM closed""",
     "stream_indicators": f"""WITH RECURSIVE {STREAMED}, {SIGNED},

@@ -58,12 +58,13 @@ def write_indicators(records: DataFrame, path: str, stamp: bool = False) -> bool
     return append_table(records, path, RECORD_PARTITIONS, stamp=stamp, by_range=False)
 
 
-def _slice(
+def slice_rows(
     df: DataFrame,
     symbols: Sequence[str] | None,
     first_bucket: str | None,
     last_bucket: str | None,
 ) -> DataFrame:
+    """Some symbols and months of a table, whatever connector it was loaded with."""
     if symbols is not None:
         df = df.where(F.col("symbol").isin(list(symbols)))
     if first_bucket is not None:
@@ -88,7 +89,7 @@ def read_bars(
     """
     stamp = [T.StructField(STAMP, T.TimestampType())] if newest_load else []
     schema = T.StructType([*BARS_TABLE.fields, *stamp])
-    bars = _slice(spark.read.schema(schema).parquet(path), symbols, first_bucket, last_bucket)
+    bars = slice_rows(spark.read.schema(schema).parquet(path), symbols, first_bucket, last_bucket)
     if newest_load:
         order = [F.desc_nulls_last(STAMP)]
         order += [F.desc_nulls_last(c) for c in ("open", "high", "low", "close", "volume")]
@@ -105,7 +106,7 @@ def read_indicators(
     types: Sequence[str] | None = None,
 ) -> DataFrame:
     """Indicator records of some symbols, months and types."""
-    records = _slice(
+    records = slice_rows(
         spark.read.schema(INDICATOR_RECORD).parquet(path), symbols, first_bucket, last_bucket
     )
     if types is not None:
