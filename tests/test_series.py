@@ -14,11 +14,13 @@ from support import BARS, START, near, random_bars
 from tsquant.functions.series import (
     POS,
     Series,
+    Slots,
     in_blocks,
     interval_micros,
-    measure_slot,
+    measure_slots,
     number_rows,
     over_blocks,
+    with_slots,
 )
 from tsquant.operators import indicators as I
 from tsquant.operators import latest as L
@@ -195,11 +197,48 @@ def test_times_before_1970(spark):
     assert [r[POS] for r in found.orderBy("timestamp").collect()] == list(range(48))
 
 
-def test_slot_width_follows_the_busiest_hour(spark):
-    rows = [("A", START + dt.timedelta(seconds=i)) for i in range(600)] + [("B", START)]
+def test_slots_follow_the_data(spark):
+    rows = [("A", START + dt.timedelta(seconds=6 * i)) for i in range(1200)] + [("B", START)]
     df = spark.createDataFrame(rows, "symbol string, timestamp timestamp")
-    assert measure_slot(df, Series(), rows=60) == 360_000_000
-    assert measure_slot(df.limit(0), Series(), rows=60) == 216_000_000_000
+    assert measure_slots(df, Series(), rows=100) == Slots(1, 6)
+    assert measure_slots(df, Series(), rows=3000) == Slots(5, 1)
+    assert measure_slots(df.limit(0), Series(), rows=60) == Slots(60, 1)
+
+
+@pytest.fixture(scope="module")
+def burst(spark):
+    """A third of a symbol within one second, the rest one row in ten minutes."""
+    second = [("A", START + dt.timedelta(microseconds=1500 * i), float(i % 37)) for i in range(600)]
+    slow = [("A", START + dt.timedelta(minutes=10 * i - 7000), float(i % 41)) for i in range(1200)]
+    slow += [("B", START + dt.timedelta(hours=i), float(i)) for i in range(90)]
+    rows = list({(s, t): (s, t, c) for s, t, c in second + slow}.values())
+    return spark.createDataFrame(rows, "symbol string, timestamp timestamp, close double").coalesce(2).cache()
+
+
+@pytest.mark.parametrize("rows", [20, 100])
+def test_a_burst_is_cut_finer(burst, rows):
+    slots = measure_slots(burst, Series(), rows=rows)
+    assert len(slots.hot) == 1 and slots.hot[0][1] == -(-605 // rows)
+    cut = Series(slots=Slots(slots.hours, slots.parts, ((slots.hot[0][0], 1 << 20),)), block_rows=50)
+    for series in (Series(slots=slots, block_rows=50), cut):
+        slotted, _ = with_slots(burst, series)
+        by_time = slotted.orderBy("symbol", "timestamp").collect()
+        for a, b in zip(by_time, by_time[1:], strict=False):
+            assert a["symbol"] != b["symbol"] or a["_slot"] <= b["_slot"]
+        whole = Series(slot_micros=10**16, block_rows=10**6)
+        assert by_row(number_rows(burst, series), POS) == by_row(number_rows(burst, whole), POS)
+        for seconds in (3600, 5000):
+            assert by_row(N.value_before(burst, "close", seconds, "ago", series), "ago") == by_row(
+                N.value_before(burst, "close", seconds, "ago", whole), "ago"
+            )
+    sizes = with_slots(burst, cut)[0].groupBy("symbol", "_slot").count().agg(F.max("count")).first()[0]
+    assert sizes <= max(60, rows)
+
+
+def test_hours_beside_a_hot_one_keep_their_order():
+    slots = Slots(hours=4, parts=1, hot=((5, 9), (-3, 2)))
+    assert slots.cut_hours() == {4: 1, 5: 9, 6: 1, 7: 1, -4: 1, -3: 2, -2: 1, -1: 1}
+    assert dict(Slots(1, 1, ((5, 9),)).also_before(5400).hot) == {5: 9, 4: 9, 3: 9}
 
 
 def test_intervals():

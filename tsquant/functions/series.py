@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -33,6 +34,9 @@ COUNT = "_n"
 
 HOUR_MICROS = 3_600_000_000
 SLOT_ROWS = 1 << 18
+# An hour is hot with this many times the rows of the others (or of a slot).
+HOT_HOUR = 4
+MOST_PARTS = 1 << 24
 BLOCK_ROWS = 1 << 16
 
 # Length of one interval unit in microseconds.
@@ -55,12 +59,40 @@ def interval_micros(interval: str) -> int:
     return count * UNIT_MICROS[unit]
 
 
+@dataclass(frozen=True)
+class Slots:
+    """Measured slots: some hours each, or some parts of an hour each; hours that
+    are much busier than the rest (hour number -> parts) are cut on their own."""
+
+    hours: int = 1
+    parts: int = 1
+    hot: tuple[tuple[int, int], ...] = ()
+
+    def cut_hours(self) -> dict[int, int]:
+        """Parts of the hot hours and of all hours that would share a slot with one."""
+        cut: dict[int, int] = {}
+        for hour, parts in self.hot:
+            first = hour - hour % self.hours
+            for other in range(first, first + self.hours):
+                cut.setdefault(other, self.parts)
+            cut[hour] = max(cut[hour], parts)
+        return cut
+
+    def also_before(self, seconds: int) -> Slots:
+        """The same with the hours ``seconds`` before the hot ones cut as well."""
+        hot = dict(self.hot)
+        for hour, parts in self.hot:
+            for back in (seconds // 3600, -(-seconds // 3600)):
+                hot[hour - back] = max(parts, hot.get(hour - back, 1))
+        return replace(self, hot=tuple(sorted(hot.items())))
+
+
 @dataclass(frozen=True)
 class Series:
     """Which columns make up a series, and how it is cut.
 
-    ``time`` plus ``tiebreak`` must order the rows of a key completely.
-    ``slot_micros`` is measured from the data when left out.
+    ``time`` plus ``tiebreak`` must order the rows of a key completely. A slot is
+    ``slot_micros`` long; when left out, ``slots`` are measured from the data.
     """
 
     keys: tuple[str, ...] = ("symbol",)
@@ -68,6 +100,7 @@ class Series:
     tiebreak: tuple[str, ...] = ()
     slot_micros: int | None = None
     block_rows: int = BLOCK_ROWS
+    slots: Slots | None = None
 
     @classmethod
     def of(cls, df: DataFrame, series: Series | None = None) -> Series:
@@ -99,38 +132,72 @@ class Series:
         return Window.partitionBy(*self.keys).orderBy(SLOT)
 
 
-def measure_slot(df: DataFrame, series: Series, rows: int = SLOT_ROWS) -> int:
-    """Slot width in microseconds at which the busiest hour gives ``rows`` per slot.
+def _micros(time: str) -> str:
+    return f"unix_micros(CAST(`{time}` AS TIMESTAMP))"
+
+
+def _hour(micros: str) -> str:
+    return f"(({micros} - pmod({micros}, {HOUR_MICROS})) div {HOUR_MICROS})"
 
-    One pass over the key and time columns, aggregated on the map side; a single
-    number comes back.
+
+def measure_slots(df: DataFrame, series: Series, rows: int = SLOT_ROWS) -> Slots:
+    """Slots of about ``rows`` rows of the busiest key.
+
+    One pass over the key and time columns, aggregated on the map side. What comes
+    back is one number per hour of the time span, whatever the number of rows.
     """
-    hour = F.expr(f"unix_micros(CAST(`{series.time}` AS TIMESTAMP)) div {HOUR_MICROS}")
+    hour = F.expr(_hour(_micros(series.time)))
     busiest = (
-        df.groupBy(*series.keys, hour.alias("_hour"))
+        df.where(F.col(series.time).isNotNull())
+        .groupBy(*series.keys, hour.alias("_hour"))
         .agg(F.count("*").alias(COUNT))
-        .agg(F.max(COUNT))
-        .first()[0]
+        .groupBy("_hour")
+        .agg(F.max(COUNT).alias(COUNT))
+        .collect()
     )
-    return max(1, HOUR_MICROS * rows // (busiest or 1))
+    usual = max(1, sum(r[COUNT] for r in busiest) // max(1, len(busiest)))
+    limit = HOT_HOUR * max(usual, rows)
+    hot = sorted((r["_hour"], min(MOST_PARTS, -(-r[COUNT] // rows))) for r in busiest if r[COUNT] > limit)
+    return Slots(max(1, rows // usual), min(MOST_PARTS, -(-usual // rows)), tuple(hot))
 
 
 def measured(df: DataFrame, series: Series) -> Series:
-    """The series with its slot width filled in."""
-    if series.slot_micros is not None:
+    """The series with its slots known."""
+    if series.slot_micros is not None or series.slots is not None:
         return series
-    return replace(series, slot_micros=measure_slot(df, series))
+    return replace(series, slots=measure_slots(df, series))
 
 
 def with_slots(df: DataFrame, series: Series) -> tuple[DataFrame, Series]:
-    """Add the slot column; the returned series has its slot width filled in."""
+    """Add the slot column; the returned series has its slots known."""
     series = measured(df, series)
-    slot = F.expr(f"unix_micros(CAST(`{series.time}` AS TIMESTAMP)) div {series.slot_micros}")
     unknown = F.col(series.time).isNull()
     for key in series.keys:
         unknown = unknown | F.col(key).isNull()
     refused = F.raise_error(F.lit("series key and time must not be null")).cast("bigint")
-    return df.withColumn(SLOT, F.when(unknown, refused).otherwise(slot)), series
+    micros = _micros(series.time)
+    if series.slot_micros is not None:
+        slot = F.expr(f"{micros} div {series.slot_micros}")
+        return df.withColumn(SLOT, F.when(unknown, refused).otherwise(slot)), series
+
+    hour, slots = _hour(micros), series.slots
+
+    def part(parts: str) -> str:
+        offset = f"pmod({micros}, {HOUR_MICROS}) * {parts} div {HOUR_MICROS}"
+        return f"({hour} * {MOST_PARTS} + {offset})"
+
+    together = f"(({hour} - pmod({hour}, {slots.hours})) * {MOST_PARTS})"
+    usual = part(str(slots.parts)) if slots.parts > 1 else together
+    if not slots.hot:
+        return df.withColumn(SLOT, F.when(unknown, refused).otherwise(F.expr(usual))), series
+    # At most one row per hour of the time span.
+    cut = slots.cut_hours()
+    table = pa.table({"_hour": pa.array(cut.keys(), "int64"), "_parts": pa.array(cut.values(), "int64")})
+    known = F.broadcast(df.sparkSession.createDataFrame(table))
+    slot = F.expr(f"CASE WHEN _parts IS NULL THEN {usual} ELSE {part('_parts')} END")
+    joined = df.withColumn("_hour", F.expr(hour)).join(known, "_hour", "left")
+    slotted = joined.withColumn(SLOT, F.when(unknown, refused).otherwise(slot))
+    return slotted.drop("_hour", "_parts"), series
 
 
 def rows_before(slots: DataFrame, series: Series) -> DataFrame:

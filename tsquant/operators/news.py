@@ -36,7 +36,9 @@ def value_before(
     source = df if source is None else source
     series = measured(source, Series.of(df, series))
     at, known, question = "_at", "_known", "_question"
-    cut = replace(series, time=at, tiebreak=(question, *series.tiebreak))
+    # Rows of a busy hour ask about the hour that long before it.
+    slots = series.slots and series.slots.also_before(seconds)
+    cut = replace(series, time=at, tiebreak=(question, *series.tiebreak), slots=slots)
     own = F.col(series.time).cast("timestamp")
     ago = own - F.make_dt_interval(secs=F.lit(seconds))
     values = source.where(F.col(value).isNotNull()).select(
