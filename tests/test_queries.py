@@ -4,12 +4,14 @@ import pytest
 from compare import difference, duck_connection, duck_rows, spark_rows
 from support import plan_of
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
 from tsquant.functions.series import Series
 from tsquant.operators import indicators as I
 from tsquant.operators import latest as L
 from tsquant.operators import reshape as R
 from tsquant.plans import views
+from tsquant.plans.oracles import ORACLES
+from tsquant.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -19,7 +21,7 @@ def duck():
     return duck_connection(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equal_to_sql(spark, duck, name):
     mine, theirs = spark_rows(spark, name, FOLDER), duck_rows(duck, name)
     assert difference(mine, theirs) is None
@@ -27,7 +29,7 @@ def test_equal_to_sql(spark, duck, name):
 
 
 def test_every_query_has_its_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
