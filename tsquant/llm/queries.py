@@ -10,7 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsquant.llm import pii, secret_scan
 from tsquant.llm.bpe import decode, encode
+from tsquant.llm.pii import find_personal_data
+from tsquant.llm.secret_scan import scan_secrets
+from tsquant.llm.spans import joined
 from tsquant.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +55,29 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_digest(decode(encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def spans_digest(found: DataFrame, base: tuple[str, ...], column: str) -> DataFrame:
+    """Counts of the base kinds, the digest of their spans, and all spans as text."""
+    spans = F.col(column)
+    own = F.filter(spans, lambda s: s["kind"].isin(*base))
+    kinds = F.transform(spans, lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in base]
+    counts = [(F.size(kinds) - n).cast("long").alias(f"n_{k}") for k, n in zip(base, counts)]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(spans).alias("spans")
+    )
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_digest(find_personal_data(table(spark, sf_dir, "documents")), pii.BASE, "spans")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_digest(scan_secrets(table(spark, sf_dir, "documents")), secret_scan.BASE, "findings")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
+    "op6_pii": op6_pii,
+    "op9_secrets": op9_secrets,
 }
