@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 #: Characters of text that a task turns into results before it hands them on.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 2 << 20
 
 
 def text_slices(

@@ -17,12 +17,14 @@ back the two. That rule is applied literally and remembered for each pair.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -202,25 +204,31 @@ def encoder(path: str) -> Encoder:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> list[str]:
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    if library.decoder is not None:
+    """Tokens by id, added ones included."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    if parts["decoder"] is not None:
         raise ValueError(f"{path} has a decoder; only vocabularies without one are taken")
-    tokens = library.get_vocab(with_added_tokens=True)
-    out = [""] * (max(tokens.values()) + 1)
-    for token, at in tokens.items():
-        out[at] = token
-    return out
+    tokens = {i: token for token, i in parts["model"]["vocab"].items()}
+    tokens |= {t["id"]: t["content"] for t in parts["added_tokens"]}
+    return [tokens.get(i, "") for i in range(max(tokens) + 1)]
+
+
+def digest(ids: list[int]) -> str:
+    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
+    return hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
-def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column: str = "text", digests: bool = False
+) -> DataFrame:
     """Ids of every text, as the tokenizers library gives them without added special tokens.
 
-    Returns the id column and `ids` (array of int), a row for each row of `docs`, in
-    any order; other columns of `docs` are not read. A null text counts as empty and
-    has no ids. Rows with equal or null ids are kept as they are. `path` must name a
-    file that every executor can open.
+    Returns the id column and `ids` (array of int), with `digests` also `n_tokens` and
+    `ids_sha256` (see `digest`): a row for each row of `docs`, in any order; other
+    columns of `docs` are not read. A null text counts as empty and has no ids. Rows
+    with equal or null ids are kept as they are. `path` must name a file that every
+    executor can open.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 
@@ -228,12 +236,15 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
         own = encoder(path)
         for part in text_slices(batches):
             ids = own.encode([text or "" for text in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"]
-            )
+            columns = {"id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))}
+            if digests:
+                columns["n_tokens"] = pa.array(map(len, ids), pa.int64())
+                columns["ids_sha256"] = pa.array(map(digest, ids), pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_column)
+    schema = f"id {kind}, ids array<int>" + ", n_tokens long, ids_sha256 string" * digests
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
 def decode(encoded: DataFrame, path: str, ids_column: str = "ids", out: str = "decoded") -> DataFrame:

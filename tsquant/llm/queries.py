@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquant.llm import pii, secret_scan
+from tsquant.llm import pii, secret_scan, warc
 from tsquant.llm.bpe import decode, encode
+from tsquant.llm.embeddings import near_vectors
+from tsquant.llm.html_text import extract_text
+from tsquant.llm.minhash import Settings, near_duplicates
 from tsquant.llm.pii import find_personal_data
+from tsquant.llm.scratch import Scratch
 from tsquant.llm.secret_scan import scan_secrets
 from tsquant.llm.spans import joined
 from tsquant.llm.token_counts import token_counts
@@ -26,33 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ids_digest(encoded: DataFrame) -> DataFrame:
-    """Adds n_tokens and the SHA-256 of the ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1)
-            values = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ends = pa.compute.cumulative_sum(pa.compute.list_value_length(ids)).to_pylist()
-            starts = [0, *ends[:-1]]
-            digests = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(starts, ends)]
-            counts = [b - a for a, b in zip(starts, ends)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), batch.column(2)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    digests = encoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return digests.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    return ids_digest(decode(encode(table(spark, sf_dir, "documents"), path), path))
+    decoded = decode(encode(table(spark, sf_dir, "documents"), path, digests=True), path)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def spans_digest(found: DataFrame, base: tuple[str, ...], column: str) -> DataFrame:
@@ -67,17 +50,47 @@ def spans_digest(found: DataFrame, base: tuple[str, ...], column: str) -> DataFr
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Settings(words=2))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_digest(find_personal_data(table(spark, sf_dir, "documents")), pii.BASE, "spans")
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_digest(scan_secrets(table(spark, sf_dir, "documents")), secret_scan.BASE, "findings")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    warc.write_warc(warc.captures(table(spark, sf_dir, "pages")), scratch.path("archives"))
+    found = warc.assemble(warc.read_records(spark, scratch.path("archives"), payloads=False))
+    facts = F.col("metadata.text")
+    return found.select(
+        warc.field(facts, "page-id").cast("long").alias("page_id"),
+        "answer.payload_bytes",
+        "answer.payload_digest",
+        F.col("answer.type").alias("record_type"),
+        warc.field(facts, "refers-to-page").cast("long").alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_html_text": op5_html_text,
     "op6_pii": op6_pii,
+    "op8_near_vectors": op8_near_vectors,
     "op9_secrets": op9_secrets,
+    "op10_warc": op10_warc,
 }
