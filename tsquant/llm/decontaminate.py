@@ -1,6 +1,7 @@
 """Benchmark passages in documents, up to a budget of edits.
 
-Texts are compared with case folded and white space as one space. By the q-gram
+Texts are compared as their letters and digits, case folded, with one space for
+whatever stands between; so marks, breaks and case are no edits. By the q-gram
 lemma, a passage of length m that stands in a text with at most e edits shares at
 least T = m - q + 1 - q e of its q-grams with it, on diagonals (place in the text
 less place in the passage) that differ by at most e. So
@@ -18,6 +19,7 @@ the passages, in parts of a checked size, one pass over the documents for each p
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 
 from tsquant.llm.arrow import text_slices
 
-Q = 6
+Q = 10
 #: Edits allowed for each character of a passage.
-EDITS = 0.1
+EDITS = 0.06
 #: Characters of passages indexed in one pass.
 INDEX_CHARS = 8_000_000
 #: Places of a text whose shared q-grams are looked at together.
@@ -40,8 +42,11 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 HITS = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 
 
+WORD = re.compile(r"[^\W_]+")
+
+
 def folded(text: str) -> str:
-    return " ".join(text.casefold().split())
+    return " ".join(WORD.findall(text.casefold()))
 
 
 def points(text: str) -> np.ndarray:
@@ -52,7 +57,7 @@ def grams(chars: np.ndarray, q: int) -> np.ndarray:
     """A hash of every q characters in a row, doubled up from shorter ones."""
     if len(chars) < q:
         return np.zeros(0, np.uint64)
-    powers = {1: np.uint64(0xD6E8FEB86659FD93)}
+    powers = {1: np.array([0xD6E8FEB86659FD93], np.uint64)}
     size, doubled, out, done = 1, chars + np.uint64(1), None, 0
     while size <= q:
         if q & size:
@@ -153,29 +158,44 @@ class Index:
         self.most = np.array([p.most for p in self.passages], np.int64)
         self.least = np.array([p.least for p in self.passages], np.int64)
 
+    def marked(self, codes: np.ndarray) -> np.ndarray:
+        """How many of the q-grams before each place may be one of the passages'."""
+        found = self.marks[(codes * FACTOR) >> self.shift]
+        return np.concatenate([np.zeros(1, np.int32), np.cumsum(found, dtype=np.int32)])
+
     def stretches(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """Parts of the q-grams of a text in which some passage may reach its count."""
-        marked = self.marks[(codes * FACTOR) >> self.shift]
-        total = np.concatenate([[0], np.cumsum(marked, dtype=np.int32)])
-        size = len(codes)
+        total, size = self.marked(codes), len(codes)
         change = np.zeros(size + 1, np.int32)
         for wide, least in self.classes:
-            if total[-1] < least:
-                continue
-            starts = np.arange(0, max(1, size - wide + 1)) if size > wide else np.zeros(1, np.int64)
-            ends = np.minimum(starts + wide, size)
-            found = np.flatnonzero(total[ends] - total[starts] >= least)
+            if size <= wide:
+                found = np.flatnonzero(total[-1:] >= least)
+            else:
+                found = np.flatnonzero(total[wide:] - total[:-wide] >= least)
             if len(found):
                 edges = np.flatnonzero(np.diff(found) > wide)
-                for a, b in zip(found[np.append(0, edges + 1)], found[np.append(edges, len(found) - 1)]):
-                    change[a] += 1
-                    change[min(b + wide, size)] -= 1
-        if not change.any():
-            return []
+                firsts, lasts = found[np.append(0, edges + 1)], found[np.append(edges, len(found) - 1)]
+                np.add.at(change, firsts, 1)
+                np.add.at(change, np.minimum(lasts + wide, size), -1)
         inside = np.concatenate([[0], (np.cumsum(change) > 0).astype(np.int8)])
         turns = np.flatnonzero(np.diff(inside))
         return [(int(a), int(b)) for a, b in zip(turns[::2], turns[1::2])]
 
+    def may_hit(self, texts: list[str]) -> np.ndarray:
+        """Which of many folded texts have a stretch, from one pass over all of them."""
+        if not texts or not self.passages:
+            return np.zeros(len(texts), bool)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        codes = grams(points("\x00".join(texts)), self.q)
+        stretches = np.array(self.stretches(codes), np.int64).reshape(-1, 2)
+        # A text is in question if a stretch reaches into it.
+        first = np.searchsorted(ends, stretches[:, 0], "right")
+        last = np.minimum(np.searchsorted(ends, stretches[:, 1] - 1, "right"), len(texts) - 1)
+        change = np.zeros(len(texts) + 1, np.int64)
+        np.add.at(change, np.minimum(first, len(texts) - 1), 1)
+        np.add.at(change, last + 1, -1)
+        return np.cumsum(change[:-1]) > 0
+
     def bands(self, codes: np.ndarray, start: int) -> set[tuple[int, int]]:
         """(passage, band) with enough shared q-grams; `start` is the place of the first code."""
         found = np.searchsorted(self.codes, codes)
@@ -207,10 +227,15 @@ class Index:
             for a, b in self.stretches(codes):
                 for start in range(a, b, SEGMENT):
                     candidates |= self.bands(codes[start : min(b, start + SEGMENT + self.widest)], start)
+            whole = {n: [*occurrences(text, self.passages[n].text)] for n in {n for n, _ in candidates}}
             for number, band in candidates:
                 p = self.passages[number]
                 low = band * (p.most + 1) - p.most
                 high = (band + 2) * (p.most + 1) - 1 + p.most
+                equal = next((at for at in whole[number] if low <= at <= high), None)
+                if equal is not None:  # no alignment of the band is better
+                    out.add((p.item, equal, equal + len(p.text), 0))
+                    continue
                 base = max(0, low)
                 found = alignment(p.chars, chars[base : high + len(p.chars) + 1], low - base, high - base, p.most)
                 if found:
@@ -241,13 +266,14 @@ def unfolded(text: str, hits: list[tuple[int, int, int, int]]) -> list[tuple[int
     origin: list[int] = []
     gap = False
     for at, char in enumerate(text):
-        if char.isspace():
-            gap = bool(origin)
-            continue
-        if gap:
-            origin.append(at - 1)
-            gap = False
-        origin += [at] * len(char.casefold())
+        for part in char.casefold():
+            if part.isalnum():
+                if gap:
+                    origin.append(at - 1)
+                    gap = False
+                origin.append(at)
+            else:
+                gap = bool(origin)
     return [(item, origin[a], origin[b - 1] + 1, edits) for item, a, b, edits in hits if b > a]
 
 
@@ -289,12 +315,15 @@ def benchmark_hits(
 def _marker(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slice_ in text_slices(batches):
-            hits = []
-            for text, before in zip(slice_.column(1).to_pylist(), slice_.column(2).to_pylist(), strict=True):
-                found = unfolded(text, index.hits(folded(text))) if text else []
-                found = [dict(zip(("item_id", "start", "end", "edits"), hit)) for hit in found]
-                merged = before + found
-                hits.append(sorted(merged, key=lambda h: (h["start"], h["item_id"], h["end"])))
+            texts = slice_.column(1).to_pylist()
+            plain = [folded(text or "") for text in texts]
+            likely = index.may_hit(plain)
+            hits = slice_.column(2).to_pylist()
+            for at, text in enumerate(plain):
+                if text and (likely[at] or index.short):
+                    found = unfolded(texts[at], index.hits(text))
+                    found = [dict(zip(("item_id", "start", "end", "edits"), hit)) for hit in found]
+                    hits[at] = sorted(hits[at] + found, key=lambda h: (h["start"], h["item_id"], h["end"]))
             yield pa.RecordBatch.from_arrays(
                 [slice_.column(0), slice_.column(1), pa.array(hits, slice_.schema.field(2).type)], ["id", "text", "hits"]
             )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tsquant.llm import pii, secret_scan, warc
 from tsquant.llm.bpe import decode, encode
+from tsquant.llm.decontaminate import benchmark_hits
 from tsquant.llm.embeddings import near_vectors
 from tsquant.llm.html_text import extract_text
 from tsquant.llm.minhash import Settings, near_duplicates
@@ -62,6 +63,20 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_digest(find_personal_data(table(spark, sf_dir, "documents")), pii.BASE, "spans")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
+    return found.select(
+        "doc_id",
+        (F.size("hits") > 0).alias("contaminated"),
+        F.size("hits").cast("long").alias("n_hits"),
+        F.concat_ws(",", F.transform(items, lambda i: i.cast("string"))).alias("item_ids"),
+        F.concat_ws(
+            ",", F.transform("hits", lambda h: F.concat_ws(":", *[h[c].cast("string") for c in ("item_id", "start", "end", "edits")]))
+        ).alias("spans"),
+    )
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -90,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_html_text": op5_html_text,
     "op6_pii": op6_pii,
+    "op7_decontamination": op7_decontamination,
     "op8_near_vectors": op8_near_vectors,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
