@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquant.llm import pii, secret_scan, warc
+from tsquant.llm import pii, secret_scan, toxicity, warc
 from tsquant.llm.bpe import decode, encode
 from tsquant.llm.decontaminate import benchmark_hits
 from tsquant.llm.embeddings import near_vectors
@@ -51,6 +51,13 @@ def spans_digest(found: DataFrame, base: tuple[str, ...], column: str) -> DataFr
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (~toxicity.train_side(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Settings(words=2))
 
@@ -102,6 +109,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_html_text": op5_html_text,
     "op6_pii": op6_pii,
