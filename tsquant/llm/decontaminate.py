@@ -287,45 +287,46 @@ def benchmark_hits(
     text_column: str = "text",
     item_column: str = "item_id",
     passage_column: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Passages of a benchmark that stand in documents with few edits.
 
-    Returns the id column and `hits`, an array of (item_id, start, end, edits) in
-    order of start: code points of the text as given, end exclusive. One row for each
-    row of `docs`, repeated and null ids included; other columns are not read. A null
+    Returns the id column, the columns of `keep` unchanged and `hits`, an array of
+    (item_id, start, end, edits) in order of start: code points of the text as given,
+    end exclusive. One row for each row of `docs`, repeated and null ids included; other columns are not read. A null
     or empty text has no hits, and neither has a null or blank passage; a passage
     shorter than `q` is searched without edits. Repeated passages are separate items.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
+    kinds = [docs.schema[name].dataType.simpleString() for name in (id_column, *keep)]
+    names = [f"k{i}" for i in range(len(kinds))]
     items = benchmark.select(
         benchmark[item_column].cast("long").alias("item"), benchmark[passage_column].alias("passage")
     ).where("item IS NOT NULL AND trim(passage) <> ''")
     chars = items.agg(F.sum(F.length("passage"))).first()[0] or 0
     parts = max(1, math.ceil(chars / INDEX_CHARS))
-    rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    rows = rows.withColumn("hits", F.array().cast(HITS))
-    schema = f"id {kind}, text string, hits {HITS}"
+    kept = [docs[name].alias(k) for k, name in zip(names, (id_column, *keep))]
+    rows = docs.select(docs[text_column].alias("text"), F.array().cast(HITS).alias("hits"), *kept)
+    schema = f"text string, hits {HITS}, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds))
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("item", "passage"), F.lit(parts)) == part).distinct()
         index = Index([(r.item, r.passage) for r in own.collect()], q, edits)
         rows = rows.mapInArrow(_marker(index), schema)
-    return rows.select(F.col("id").alias(id_column), "hits")
+    return rows.select(*names, "hits").toDF(id_column, *keep, "hits")
 
 
 def _marker(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slice_ in text_slices(batches):
-            texts = slice_.column(1).to_pylist()
+            texts = slice_.column(0).to_pylist()
             plain = [folded(text or "") for text in texts]
             likely = index.may_hit(plain)
-            hits = slice_.column(2).to_pylist()
+            hits = slice_.column(1).to_pylist()
             for at, text in enumerate(plain):
                 if text and (likely[at] or index.short):
                     found = unfolded(texts[at], index.hits(text))
                     found = [dict(zip(("item_id", "start", "end", "edits"), hit)) for hit in found]
                     hits[at] = sorted(hits[at] + found, key=lambda h: (h["start"], h["item_id"], h["end"]))
-            yield pa.RecordBatch.from_arrays(
-                [slice_.column(0), slice_.column(1), pa.array(hits, slice_.schema.field(2).type)], ["id", "text", "hits"]
-            )
+            out = [slice_.column(0), pa.array(hits, slice_.schema.field(1).type), *slice_.columns[2:]]
+            yield pa.RecordBatch.from_arrays(out, slice_.schema.names)
 
     return run

@@ -146,18 +146,18 @@ def scan_secrets(
     rules: tuple[Rule, ...] = RULES,
     id_column: str = "doc_id",
     text_column: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Secrets of every version of every path, scanning only what the ledger lacks.
 
-    Returns the id column and `findings`, an array of (start, rank, end, kind) in
-    order of start and of the rules: one row for each row of `versions`, repeated and
+    Returns the id column, the columns of `keep` unchanged and `findings`, an array of
+    (start, rank, end, kind) in order of start and of the rules: one row for each row of `versions`, repeated and
     null ids included; other columns are not read. A null or empty text has none.
     Without a `ledger_path` the ledger is new and lies in the shared folder.
     """
     spark = versions.sparkSession
     ledger = Ledger(spark, ledger_path or Scratch(spark, "secrets").path("ledger"))
-    rows = versions.select(versions[id_column].alias("id"), versions[text_column].alias("text"))
-    rows = rows.withColumn("blob", F.sha2("text", 256))
+    rows = versions.select(versions[text_column].alias("text")).withColumn("blob", F.sha2("text", 256))
     for lack, todo in unscanned(rows, ledger, rules):
         ledger.append(findings(one_of_each(todo), lack))
     by_blob = (
@@ -166,6 +166,8 @@ def scan_secrets(
         .groupBy("blob")
         .agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
     )
-    out = rows.select("id", "blob").join(by_blob, "blob", "left")
-    none = F.array().cast(FINDINGS)
-    return out.select(F.col("id").alias(id_column), F.coalesce("findings", none).alias("findings"))
+    names = [f"k{i}" for i in range(len(keep) + 1)]
+    kept = [versions[name].alias(k) for k, name in zip(names, (id_column, *keep))]
+    paths = versions.select(F.sha2(versions[text_column], 256).alias("blob"), *kept)
+    out = paths.join(by_blob, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
+    return out.select(*names, "findings").toDF(id_column, *keep, "findings")

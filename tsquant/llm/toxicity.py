@@ -349,24 +349,33 @@ def scorer(model: Model) -> Scorer:
 
 
 def score(
-    docs: DataFrame, model: Model, *, threshold: float = 0.7, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    model: Model,
+    *,
+    threshold: float = 0.7,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Scores every whole text with a model from `fit`.
 
-    Returns the id column, `score` (0 to 1) and `predicted` (1 from `threshold` on):
-    one row for each row of `docs`, repeated and null ids included; other columns are
-    not read. A null or empty text has the score of the prior.
+    Returns the id column, the columns of `keep` unchanged, `score` (0 to 1) and
+    `predicted` (1 from `threshold` on): one row for each row of `docs`, repeated and
+    null ids included; other columns are not read. A null or empty text has the score
+    of the prior.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
+    kinds = [docs.schema[name].dataType.simpleString() for name in (id_column, *keep)]
+    names = [f"k{i}" for i in range(len(kinds))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(model)
         for part in text_slices(batches):
-            scores = own.scores([text or "" for text in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
-                ["id", "score", "predicted"],
-            )
-
-    rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_column)
+            scores = own.scores([text or "" for text in part.column(0).to_pylist()])
+            marks = pa.array([int(s >= threshold) for s in scores], pa.int32())
+            out = [*part.columns[1:], pa.array(scores, pa.float64()), marks]
+            yield pa.RecordBatch.from_arrays(out, [*names, "score", "predicted"])
+
+    kept = [docs[name].alias(k) for k, name in zip(names, (id_column, *keep))]
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds)) + ", score double, predicted int"
+    rows = docs.select(docs[text_column].alias("text"), *kept).mapInArrow(run, schema)
+    return rows.toDF(id_column, *keep, "score", "predicted")
