@@ -3,10 +3,10 @@
 The standard library's parser streams its events; a page becomes a sequence of
 lines, one for each block of text, with the number of tags met in it and the region
 (article, main part, or container) that holds it. The ratio of characters to tags of
-every line is smoothed with a Gaussian over its neighbours, and lines at or above the
-standard deviation of the smoothed ratios form clusters. An article or main part that
-holds a cluster is content, with its short lines too; pages that mark none keep the
-stretch from the first to the last clustered line of each container. Parts that by
+every line is smoothed with a Gaussian over its neighbours, and a threshold between
+the means of two clusters of ratios tells dense lines from sparse ones. An article or
+main part that holds dense lines is content, with its short lines too; pages that mark
+none keep the stretch from the first to the last dense line of each container. Parts that by
 element, role or name are menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or comments never become lines.
 """
@@ -198,6 +198,19 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     ]
 
 
+def threshold(ratios: list[float]) -> float:
+    """Middle between the means of two clusters; none if the means are not twice apart."""
+    low, high = min(ratios), max(ratios)
+    for _ in range(20):
+        middle = (low + high) / 2
+        below, above = [r for r in ratios if r < middle], [r for r in ratios if r >= middle]
+        means = math.fsum(below) / max(len(below), 1), math.fsum(above) / len(above)
+        if not below or means == (low, high):
+            break
+        low, high = means
+    return (low + high) / 2 if high > 2 * low else 0.0
+
+
 def main_text(html: str) -> str:
     """Blocks of the main text of a page, in page order, joined by line breaks."""
     parser = _Lines()
@@ -209,11 +222,10 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     ratios = smooth([len(text) / max(tags, 1) for text, tags, _ in lines])
-    mean = sum(ratios) / len(ratios)
-    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
+    least = threshold(ratios)
     spans: dict[tuple[str, int], list[int]] = {}
     for at, (ratio, (_, _, region)) in enumerate(zip(ratios, lines, strict=True)):
-        if ratio >= threshold:
+        if ratio >= least:
             spans.setdefault(region, [at, at])[1] = at
     marked = {region for region in spans if region[0] in REGIONS}
     if marked:
