@@ -7,9 +7,9 @@
 3. In a bucket, everyone is compared with its least id: first by the lowest bits of
    all minima (a signature of 128 bits whose distance bounds the similarity), then
    exactly, on the full sets. Links give components.
-4. Buckets whose members are still in different components compare the rest: pairs
-   from two components, unless sizes, the triangle inequality on their distances to
-   the least id, or the signature rule out a link. Nothing is capped.
+4. Members of a bucket that are still outside the component of its least id meet that
+   component once: they are compared with it and with each other on the full sets, in
+   blocks, and only what connects them is returned. Nothing is capped.
 5. Components by large and small stars over all links.
 
 At the threshold 0.8, 32 bands of 4 miss a pair with probability 5e-8; a signature is
@@ -217,7 +217,7 @@ def near_duplicates(
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), kept.alias("kept"),
     )
     out = scratch.table(out, "result")
-    scratch.drop("signed", "classes", "leads", "stars", "pairs", "texts", "linked", "near", "crossing", "components-0")
+    scratch.drop("signed", "classes", "leads", "stars", "pairs", "texts", "linked", "near", "outside", "more")
     return out
 
 
@@ -249,30 +249,88 @@ def _links(texts: DataFrame, named: DataFrame, classes: DataFrame, settings: Set
     near = scratch.table(_similarities(pairs, needed, settings), "near")
     links = near.where(linked).select("a", "b")
 
-    # What the stars left apart, in buckets of three or more.
+    # Buckets of three or more whose members are not one component yet: with the
+    # component of the bucket's least id come all members outside it.
     found = scratch.table(components(links, scratch, "first"), "linked")
-    component = found.select(F.col("id").alias("b"), "component")
-    away = F.lit(1) - F.col("common") / F.col("total")
-    member = (
-        stars.where("n > 2")
-        .join(component, "b", "left")
-        .join(near.select("a", "b", away.alias("away")), ["a", "b"], "left")
-        .join(found.select(F.col("id").alias("a"), F.col("component").alias("home")), "a", "left")
-        .select("bucket", "b", F.coalesce("component", "b").alias("c"), F.coalesce("home", "a").alias("home"), "away")
-    )
-    outside = member.where("c <> home").select("bucket", F.col("b").alias("y"), F.col("c").alias("cy"), F.col("away").alias("dy"))
-    # A distance obeys the triangle inequality: |d(y, a) - d(x, a)| <= d(x, y).
-    apart = F.abs(F.col("dy") - F.col("away")) > 1 - percent / 100 + 1e-9
-    crossing = (
-        outside.join(member, "bucket")
-        .where((F.col("cy") != F.col("c")) & ((F.col("c") == F.col("home")) | (F.col("y") < F.col("b"))))
-        .where(~F.coalesce(apart, F.lit(False)))
-        .select(F.least("y", "b").alias("a"), F.greatest("y", "b").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
+    wide = stars.where("n > 2").select("a", "b").distinct()
+    wide = wide.join(found.select(F.col("id").alias("a"), F.col("component").alias("home")), "a", "left")
+    wide = wide.join(found.select(F.col("id").alias("b"), F.col("component").alias("own")), "b", "left")
+    wide = wide.select(F.coalesce("home", "a").alias("home"), "b", F.coalesce("own", "b").alias("own"))
+    outside = wide.where("home <> own").select("home", F.col("b").alias("id")).distinct()
+    outside = scratch.table(outside, "outside")
+    homes = outside.select("home").distinct()
+    inside = found.join(homes, F.col("component") == F.col("home"), "left_semi").select(F.col("component").alias("home"), "id")
+    inside = inside.union(homes.select("home", F.col("home").alias("id"))).distinct()
+    groups = outside.withColumn("outside", F.lit(True)).union(inside.withColumn("outside", F.lit(False)))
+    return links.union(scratch.table(_group_links(groups, needed, settings), "more"))
+
+
+def _group_links(groups: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) that connect what is linked in groups (home, id, outside).
+
+    Members that are not `outside` are one component already. A group is compared in
+    one task, a wide one part by part; tasks return spanning forests, never pairs.
+    """
+    counted = groups.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.when(F.col("n") <= STAR, 1).otherwise(F.ceil(F.col("n") * 2 / STAR)).cast("int")
+    rows = groups.join(counted.select("home", parts.alias("parts")), "home")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")),
     )
-    crossing = scratch.table(likely(crossing), "crossing")
-    if crossing.isEmpty():
-        return links
-    more = _similarities(crossing, needed, settings).where(linked).select("a", "b")
-    return links.union(more)
+    rows = rows.join(texts, "id").select("home", F.explode(meets).alias("ij"), "part", "outside", "id", "text")
+    rows = rows.select("home", "ij.i", "ij.j", "part", "outside", "id", "text")
+    rows = rows.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = hasher(settings)
+        key, held = None, []
+        for slice_ in text_slices(batches):
+            sets = own.sets(slice_.column(6).to_pylist())
+            for *place, part, outside, id_, found in zip(*(slice_.column(i).to_pylist() for i in range(6)), sets, strict=True):
+                if place != key:
+                    yield _edges(held, key, settings.percent)
+                    key, held = place, []
+                held.append((part, outside, id_, found))
+        yield _edges(held, key, settings.percent)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _edges(rows: list[tuple[int, bool, int, np.ndarray]], key: list | None, percent: int) -> pa.RecordBatch:
+    """A spanning forest of the links between two parts of a group, or within one."""
+    out: list[tuple[int, int]] = []
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    if key is not None:
+        home, i, j = key
+        left = [r for r in rows if r[0] == i]
+        right = left if i == j else [r for r in rows if r[0] == j]
+        turns = [(left, right)] if i == j else [(left, right), (right, [r for r in left if not r[1]])]
+        for queries, against in turns:
+            queries = [r for r in queries if r[1]]
+            if not queries or not against:
+                continue
+            sizes = np.array([len(r[3]) for r in against])
+            owner = np.repeat(np.arange(len(against)), sizes)
+            flat = np.concatenate([r[3] for r in against])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for _, _, id_, own in queries:
+                first, last = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                count = last - first
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                common = np.bincount(owner[at], minlength=len(against))
+                for k in np.flatnonzero(common * 100 >= (len(own) + sizes - common) * percent).tolist():
+                    _, outside, other, _ = against[k]
+                    x, y = top(id_), top(other if outside else home)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        out.append((id_, other))
+    return pa.RecordBatch.from_arrays([pa.array([e[n] for e in out], pa.int64()) for n in (0, 1)], ["a", "b"])
