@@ -50,10 +50,11 @@ LETTERS = 27  # a to z after a class for all else
 # Letters that digits and signs are used for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
+    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i",
 }
+MARKS = "!¡|+"  # after a word rather punctuation
 APART = " .-_*~'·"
-LOOKALIKE_COST, NO_LETTER_COST, DROP_COST, BREAK_COST = 1.0, 4.0, 0.3, 1.5
+LOOKALIKE_COST, NO_LETTER_COST, DROP_COST, BREAK_COST = 1.0, 8.0, 0.3, 1.5
 DOUBLE_COST, SINGLE_OF_TWO_COST, SINGLE_OF_MORE_COST = 0.1, 2.0, 0.5
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -129,7 +130,8 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             out.append([("", DROP_COST), (" ", BREAK_COST)])
         elif char in LOOKALIKES:
             choices = [(letter, LOOKALIKE_COST) for letter in LOOKALIKES[char]]
-            out.append([*choices, *((c * 2, cost) for c, cost in choices if run > 1), (" ", NO_LETTER_COST)])
+            none = DROP_COST if at == len(word) and char in MARKS else NO_LETTER_COST
+            out.append([*choices, *((c * 2, cost) for c, cost in choices if run > 1), (" ", none)])
         elif char.isalpha() and run > 1:
             out.append([(char, SINGLE_OF_TWO_COST if run == 2 else SINGLE_OF_MORE_COST), (char * 2, DOUBLE_COST)])
         elif char.isalpha():
