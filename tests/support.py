@@ -8,10 +8,16 @@ import io
 import random
 
 START = dt.datetime(2025, 1, 1, 10, tzinfo=None)
-FIVE = [
-    (START + dt.timedelta(minutes=i), 100.0 + i, 102.0 + i, 99.0 + i, 101.0 + i, volume)
-    for i, volume in enumerate([1000, 1500, 2000, 1800, 2200])
+#: Six bars that rise and fall: open, high, low, close, volume.
+UNEVEN = [
+    (19.5, 21.0, 19.0, 20.0, 300),
+    (20.5, 23.0, 20.5, 22.0, 150),
+    (22.0, 22.5, 20.0, 21.0, 420),
+    (21.5, 25.0, 21.5, 24.0, 90),
+    (24.0, 24.5, 22.0, 23.0, 260),
+    (23.5, 28.0, 23.5, 27.0, 510),
 ]
+SIX = [(START + dt.timedelta(minutes=i), *bar) for i, bar in enumerate(UNEVEN)]
 
 
 def random_bars(symbols: dict[str, int], seed: int = 7, step: float = 60.0):

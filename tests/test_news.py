@@ -103,3 +103,13 @@ def test_pages(spark):
 def test_long_page_is_read_whole():
     body = " ".join(f"word{i}" for i in range(200_000))
     assert N.first_element_text(f"<article>{body}</article>", "article", None) == body
+
+
+def test_members_without_company_or_sector_stay(spark):
+    indices = spark.createDataFrame(
+        [("FR", "I", ["A", "B", "Z"], {"tech": 1.0})],
+        "country string, index_symbol string, composition array<string>, sector_weights map<string,double>",
+    )
+    companies = spark.createDataFrame([("A", "tech"), ("B", None)], "company_symbol string, sector string")
+    found = {r["company_symbol"]: (r["sector"], r["weight"]) for r in N.index_composition(indices, companies).collect()}
+    assert found == {"A": ("tech", 1.0), "B": (None, None), "Z": (None, None)}

@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from support import BARS, FIVE, near, random_bars
+from support import BARS, SIX, near, random_bars
 
 from tsquant.operators import indicators as I
 from tsquant.operators import reshape as R
@@ -10,7 +10,7 @@ from tsquant.operators import reshape as R
 
 @pytest.fixture(scope="module")
 def enriched(spark):
-    rows = [("A", *row) for row in FIVE]
+    rows = [("A", *row) for row in SIX]
     return I.enrich_all(spark.createDataFrame(rows, BARS)).cache()
 
 
@@ -56,7 +56,7 @@ def test_parameters(spark):
 def test_unpivot(enriched):
     long = R.unpivot_indicators(enriched)
     assert long.columns == ["symbol", "timestamp", "indicator_name", "indicator_value"]
-    assert long.count() == 5 * 12
+    assert long.count() == 6 * 12
 
 
 def as_dict(records):
@@ -69,7 +69,7 @@ def as_dict(records):
 def test_records_are_the_same_with_and_without_a_shuffle(enriched):
     direct = as_dict(R.to_indicator_records(enriched))
     grouped = as_dict(R.group_indicator_maps(R.unpivot_indicators(enriched)))
-    assert direct == grouped and len(direct) == 5 * 7
+    assert direct == grouped and len(direct) == 6 * 7
     last = max(direct)
     assert last[2] == "STOCHASTIC" and direct[last].keys() == {"k", "d"}
 

@@ -146,7 +146,9 @@ def test_scenarios(spark):
     held = spark.createDataFrame([("P", "A", 10.0), ("P", "A", 5.0), ("P", "B", 1.0), ("Q", "C", 9.0)], "portfolio string, symbol string, amount double")
     shocks = spark.createDataFrame([("crash", "A", -0.5), ("crash", "B", 1.0), ("calm", "A", 0.1)], "scenario string, symbol string, shock double")
     found = {(r[0], r[1]): (r[2], r[3]) for r in K.scenario_impact(held, shocks).collect()}
-    assert found == {("P", "crash"): (-6.5, 16.0), ("P", "calm"): (1.5, 15.0)}
+    assert found == {
+        ("P", "crash"): (-6.5, 16.0), ("P", "calm"): (1.5, 16.0), ("Q", "crash"): (0.0, 9.0), ("Q", "calm"): (0.0, 9.0),
+    }
 
 
 def test_forecast_errors(spark):
@@ -168,4 +170,37 @@ def test_features_need_positive_lags(spark):
 def test_no_pairing_of_rows(moves):
     _, df = moves
     plan = plan_of(K.covariance_matrix(df, "x", symbol_blocks=2))
-    assert "Join" not in plan and "Cartesian" not in plan
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    # Three joins, each with the table of one shift per symbol; rows never meet rows.
+    joins = [x for x in plan_of(K.covariance_matrix(df, "x", symbol_blocks=2), "simple").splitlines() if "Join" in x]
+    assert len(joins) == 3 and all("symbol" in x and " at#" not in x for x in joins)
+
+
+def test_moments_at_a_high_level(spark):
+    """A mean of 1e6 beside a deviation of 0.07 costs no digits; constants have none."""
+    rng = random.Random(8)
+    rows = []
+    for day in range(1500):
+        step = rng.gauss(0, 0.07)
+        at = dt.datetime(2020, 1, 1) + dt.timedelta(days=day)
+        rows += [("A", at, 1e6 + step), ("B", at, 1e6 + step / 2 + rng.gauss(0, 0.07)), ("C", at, 0.1)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp timestamp, x double")
+    found = {(r["symbol_a"], r["symbol_b"]): r for r in K.covariance_matrix(df, "x").collect()}
+    wide = pd.DataFrame(rows, columns=["s", "t", "x"]).pivot(index="t", columns="s", values="x")
+    exact = (wide - wide.iloc[0]).cov()
+    for a, b in (("A", "A"), ("A", "B"), ("B", "B")):
+        assert near(found[a, b]["covariance"], exact.loc[a, b], 1e-7)
+        assert near(found[a, b]["mean_a"], wide[a].mean(), 1e-9)
+    assert found["C", "C"]["covariance"] == 0.0 and found["A", "C"]["covariance"] == 0.0
+
+
+def test_repeated_and_close_rows_are_refused(spark):
+    at = dt.datetime(2020, 1, 1)
+    twice = spark.createDataFrame([("A", at, 1.0), ("A", at, 2.0)], "symbol string, timestamp timestamp, x double")
+    with pytest.raises(Exception, match="more than one row"):
+        K.covariance_matrix(twice, "x").collect()
+    close = spark.range(3000).selectExpr("'A' AS symbol", "timestamp_seconds(id) AS timestamp", "rand(1) AS x")
+    with pytest.raises(Exception, match="closer than their interval"):
+        K.covariance_matrix(close, "x").collect()
+    gaps = spark.createDataFrame([("A", at, float("nan")), ("A", at + dt.timedelta(1), 1.0), ("A", at + dt.timedelta(2), 2.0)], "symbol string, timestamp timestamp, x double")
+    assert K.covariance_matrix(gaps, "x").first()["n"] == 2

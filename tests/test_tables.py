@@ -12,6 +12,7 @@ from tsquant.functions.work import work_dir
 from tsquant.operators import bars as B
 from tsquant.operators import indicators as I
 from tsquant.operators import reshape as R
+from tsquant.sources.payloads import read_chart_payloads
 from tsquant.plans.jobs import compute_indicators, ingest_payloads
 from tsquant.schemas import CORRUPT
 from tsquant.sources import payloads as P
@@ -145,3 +146,22 @@ def test_bars_of_ticks(spark):
     quarter = B.bars_from_ticks(ticks, "15 minutes", tiebreak=("id",))
     assert quarter.count() == 1 and quarter.first()["volume"] == 13
     assert B.resample_bars(B.bars_from_ticks(ticks, tiebreak=("id",)), "week").first()["close"] == 1.0
+
+
+def test_symbols_stay_as_they_occur(spark, tmp_path):
+    """Dots and leading zeros, from file names and from partitions."""
+    symbols = ["BRK.A", "BRK.B", "MC.PA", "0700", "0005", "ACME"]
+    payload = '{"chart":{"result":[],"error":null}}'
+    for symbol in symbols:
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (tmp_path / "files" / f"{symbol}.json").write_text(payload)
+        part = tmp_path / "parts" / f"requested_symbol={symbol}"
+        part.mkdir(parents=True)
+        (part / "part-0.txt").write_text(payload)
+    for folder in ("files", "parts"):
+        found = read_chart_payloads(spark, str(tmp_path / folder), per_file=True)
+        assert sorted(r.requested_symbol for r in found.collect()) == sorted(symbols)
+    numbers = spark.createDataFrame([("0700", payload), ("0005", payload)], "requested_symbol string, payload string")
+    numbers.write.partitionBy("requested_symbol").text(str(tmp_path / "numbers"))
+    found = read_chart_payloads(spark, str(tmp_path / "numbers"))
+    assert sorted(r.requested_symbol for r in found.collect()) == ["0005", "0700"]

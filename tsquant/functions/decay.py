@@ -1,7 +1,9 @@
 """Exponential moving average as built-in windows.
 
 EMA_t = m*x_t + (1-m)*EMA_{t-1}, seeded with x_0, equals the weighted sum of all
-earlier rows with weights that fall like q^age, q = 1-m. Within a run of ``run``
+earlier rows with weights that fall like q^age, q = 1-m. Values must be finite: a
+null, NaN or infinite one fails the job, since the recurrence would carry it on for
+ever. For finite values the sum is that of the recurrence to a double's precision. Within a run of ``run``
 rows this is a running sum of x*q^-j scaled back by q^j; the run before
 contributes its last value times q^(j+1). Rows further back than ``reach`` weigh
 less than e^-60 together, far below double precision, so a block only needs that
@@ -74,11 +76,18 @@ def run_column(run: int) -> Column:
     return F.expr(f"`{POS}` div {run}")
 
 
+def finite(source: str) -> Column:
+    """The value of a column; one that is null or not finite fails the job."""
+    x = F.col(source).cast("double")
+    refused = F.raise_error(F.lit(f"{source} must be finite for an exponential average")).cast("double")
+    return F.when(F.abs(x) < float("inf"), x).otherwise(refused)
+
+
 def ema_levels(
     frames: Frames, source: str, decay: Decay, run: int, out: str
 ) -> list[dict[str, Column]]:
     """Two levels: the sum within a run, then the value with the run before."""
-    x = F.col(source)
+    x = finite(source)
     if decay.kept == 0:
         return [{out: x * 1.0}, {}]
     q = F.lit(decay.kept)

@@ -190,10 +190,10 @@ def with_slots(df: DataFrame, series: Series) -> tuple[DataFrame, Series]:
     usual = part(str(slots.parts)) if slots.parts > 1 else together
     if not slots.hot:
         return df.withColumn(SLOT, F.when(unknown, refused).otherwise(F.expr(usual))), series
-    # At most one row per hour of the time span.
+    # At most one row per hour of the time span, as a local table whose size is known.
     cut = slots.cut_hours()
     table = pa.table({"_hour": pa.array(cut.keys(), "int64"), "_parts": pa.array(cut.values(), "int64")})
-    known = F.broadcast(df.sparkSession.createDataFrame(table))
+    known = df.sparkSession.createDataFrame(table)
     slot = F.expr(f"CASE WHEN _parts IS NULL THEN {usual} ELSE {part('_parts')} END")
     joined = df.withColumn("_hour", F.expr(hour)).join(known, "_hour", "left")
     slotted = joined.withColumn(SLOT, F.when(unknown, refused).otherwise(slot))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,12 +10,10 @@ from pyspark.sql import SparkSession
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared folder the session names for checkpoints.
 
-    Only a local session without that setting gets a temporary folder of the
-    machine; on a cluster such a folder would not be seen by the other nodes.
+    A session without that setting is refused: only its owner knows a folder that
+    all nodes see.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all nodes share")
-        shared = tempfile.mkdtemp(prefix="tsquant-")
+        raise ValueError("set spark.checkpoint.dir to a folder all nodes share")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

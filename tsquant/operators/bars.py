@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tsquant.functions.series import interval_micros
 
@@ -26,8 +28,18 @@ def month_bucket(time: Column) -> Column:
     return F.date_format(time, "yyyy-MM")
 
 
-def first_and_last(value: str, order: list[str]) -> tuple[Column, Column]:
-    by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+def first_and_last(df: DataFrame, value: str, order: list[str]) -> tuple[Column, Column]:
+    """First and last value in an order of a time and tie-breaks.
+
+    A whole-number tie-break makes one number with the time (micros times 2**64 plus
+    the tie-break), which is aggregated without a sort; other tie-breaks need one.
+    """
+    by = F.col(order[0])
+    if len(order) == 2 and isinstance(df.schema[order[1]].dataType, T.IntegralType):
+        micros = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("decimal(20,0)")
+        by = (micros * F.lit(Decimal(1 << 64)).cast("decimal(20,0)") + F.col(order[1])).cast("decimal(38,0)")
+    elif len(order) > 1:
+        by = F.struct(*order)
     return F.min_by(value, by), F.max_by(value, by)
 
 
@@ -45,7 +57,7 @@ def bars_from_ticks(
     Everything is a partial aggregate, so a busy symbol shrinks to one row per
     interval and task before the shuffle.
     """
-    opened, closed = first_and_last(price, [time, *tiebreak])
+    opened, closed = first_and_last(ticks, price, [time, *tiebreak])
     bars = ticks.groupBy(F.col(key).alias("symbol"), bar_start(F.col(time), interval).alias("timestamp")).agg(
         opened.alias("open"),
         F.max(price).alias("high"),

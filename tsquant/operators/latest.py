@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsquant.functions.decay import Decay
-from tsquant.functions.series import Series
+from tsquant.functions.decay import Decay, finite
+from tsquant.functions.series import POS, Series, number_rows
 from tsquant.operators.indicators import ema
 
 # Fixed value: the longest rank filter Spark cuts before the shuffle by default.
@@ -25,6 +25,11 @@ def latest_bars(
     newest = [F.desc(c) for c in series.order]
     if not per_key or not series.keys:
         return df.orderBy(*newest).limit(n)
+    if n > RANK_LIMIT:
+        # Positions come from slots, so no task sorts a whole series.
+        totals = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("_rows"))
+        rows = number_rows(df, series).join(totals, list(series.keys))
+        return rows.where(F.col(POS) >= F.col("_rows") - n).select(*df.columns)
     rank = F.row_number().over(Window.partitionBy(*series.keys).orderBy(*newest))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
@@ -59,7 +64,8 @@ def latest_ema(
     """The exponential average at the newest row of every key.
 
     Only the newest rows with a weight that counts are kept; the oldest of them
-    stands for the start of the series.
+    stands for the start of the series. Values must be finite, as for ``ema``; among
+    the rows that are read one that is not fails the job.
     """
     series = Series.of(df, series)
     decay, name = Decay(period, smoothing), f"EMA_{period}"
@@ -76,6 +82,7 @@ def latest_ema(
     )
     kept = F.lit(decay.kept)
     age = F.col("_rank") - 1
-    weighted = F.sum(F.col(price) * F.pow(kept, age) * decay.weight)
-    start = F.max_by(price, "_rank") * F.pow(kept, F.max("_rank") - 1) * decay.kept
+    value = finite(price)
+    weighted = F.sum(value * F.pow(kept, age) * decay.weight)
+    start = F.max_by(value, "_rank") * F.pow(kept, F.max("_rank") - 1) * decay.kept
     return rows.groupBy(*series.keys).agg((weighted + start).alias(name))

@@ -153,19 +153,19 @@ def index_composition(
     indices: DataFrame, companies: DataFrame, sector: str = "sector"
 ) -> DataFrame:
     """Members of each index with their attributes and weight: the weight of the
-    sector in the index, shared equally by its members there."""
+    sector in the index, shared equally by its members there. A member that is no
+    known company, or of no known sector, stays with null attributes and no weight."""
     members = indices.select(
         "country",
         "index_symbol",
         "sector_weights",
         F.explode(F.array_distinct("composition")).alias("company_symbol"),
-    ).join(companies, "company_symbol")
-    shares = members.groupBy("country", "index_symbol", sector).agg(
-        F.count("*").alias("sector_members")
-    )
+    ).join(companies, "company_symbol", "left")
+    # An index has as many rows as members.
+    together = Window.partitionBy("country", "index_symbol", sector)
     weight = F.try_element_at("sector_weights", F.col(sector))
     return (
-        members.join(shares, ["country", "index_symbol", sector])
+        members.withColumn("sector_members", F.count(F.lit(1)).over(together))
         .withColumn("sector_weight", weight)
         .withColumn("weight", F.col("sector_weight") / F.col("sector_members"))
         .drop("sector_weights")

@@ -49,6 +49,8 @@ def _slice_micros(interval: str) -> int:
 def _dense(side: pd.DataFrame, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     symbols, column = np.unique(side["symbol"].to_numpy(), return_inverse=True)
     values = np.full((len(times), len(symbols)), np.nan)
+    if side.duplicated(["symbol", "at"]).any():
+        raise ValueError("more than one row of a symbol at one time")
     values[np.searchsorted(times, side["at"].to_numpy()), column] = side["x"].to_numpy()
     return symbols, values
 
@@ -60,6 +62,8 @@ def _block_moments(rows: pd.DataFrame) -> pd.DataFrame:
     if diagonal:
         right = left
     times = np.unique(rows["at"].to_numpy())
+    if len(times) > SLICE_BARS:
+        raise ValueError("rows are closer than their interval")
     names_a, a = _dense(left, times)
     names_b, b = _dense(right, times)
     if not len(names_a) or not len(names_b):
@@ -125,19 +129,29 @@ def pair_moments(
     and each (slice, block, block) is one small dense product. A row is sent to
     as many groups as there are blocks; the rows of a time are never paired one
     by one, so what is shuffled afterwards is one row per pair and slice.
-    Expects one row per (key, time), rows at least ``interval`` apart; ``period``
-    names a column of intervals instead, each of which is treated by itself.
+    Values are taken relative to the mean of their symbol, so that a high level
+    costs no digits; a null or NaN value counts as missing. A second row of one
+    (key, time) fails the job, and so do rows closer than ``interval``, of which a
+    slice would have no bound. ``period`` names a column of intervals instead, each
+    of which is treated by itself.
     """
     blocks = symbol_blocks or count_symbol_blocks(df, key)
     at = F.unix_micros(F.col(time).cast("timestamp"))
     width = F.lit(_slice_micros(interval))
     for unit in CALENDAR_UNITS if period else ():
         width = F.when(F.col(period) == unit, F.lit(_slice_micros(unit))).otherwise(width)
-    rows = df.where(F.col(value).isNotNull()).select(
-        (F.col(period) if period else F.lit(interval)).alias("period"),
-        F.col(key).alias("symbol"),
+    x = F.col(value).cast("double")
+    known = df.where(x.isNotNull() & ~F.isnan(x)).select(
+        "*", (F.col(period) if period else F.lit(interval)).alias("_period"), F.col(key).alias("_symbol"), x.alias("_x")
+    )
+    # A symbol that does not move is shifted by its value, to exactly 0.
+    shift = F.when(F.min("_x") == F.max("_x"), F.min("_x")).otherwise(F.avg("_x"))
+    shifts = known.groupBy("_period", "_symbol").agg(shift.alias("_shift"))
+    rows = known.join(shifts, ["_period", "_symbol"]).select(
+        F.col("_period").alias("period"),
+        F.col("_symbol").alias("symbol"),
         at.alias("at"),
-        F.col(value).cast("double").alias("x"),
+        (F.col("_x") - F.col("_shift")).alias("x"),
         F.floor(at / width).alias("slice"),
         F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"),
     )
@@ -164,26 +178,23 @@ def pair_moments(
         F.sum(F.col("square_b") + n * F.col("mean_b") ** 2).alias("square_b"),
         F.sum(F.col("cross") + n * F.col("mean_a") * F.col("mean_b")).alias("cross"),
     )
-    total_a, total_b = n * F.col("mean_a") ** 2, n * F.col("mean_b") ** 2
-    return sums.select(
+    square_a = F.greatest(F.col("square_a") - n * F.col("mean_a") ** 2, F.lit(0.0))
+    square_b = F.greatest(F.col("square_b") - n * F.col("mean_b") ** 2, F.lit(0.0))
+    of_a = shifts.select(F.col("_period").alias("period"), F.col("_symbol").alias("symbol_a"), F.col("_shift").alias("shift_a"))
+    of_b = shifts.select(F.col("_period").alias("period"), F.col("_symbol").alias("symbol_b"), F.col("_shift").alias("shift_b"))
+    return sums.join(of_a, ["period", "symbol_a"]).join(of_b, ["period", "symbol_b"]).select(
         "period",
         "symbol_a",
         "symbol_b",
         "n",
-        "mean_a",
-        "mean_b",
-        _spread(F.col("square_a"), total_a).alias("square_a"),
-        _spread(F.col("square_b"), total_b).alias("square_b"),
+        (F.col("mean_a") + F.col("shift_a")).alias("mean_a"),
+        (F.col("mean_b") + F.col("shift_b")).alias("mean_b"),
+        square_a.alias("square_a"),
+        square_b.alias("square_b"),
         (F.col("cross") - n * F.col("mean_a") * F.col("mean_b")).alias("cross"),
     )
 
 
-def _spread(total, of_mean):
-    """Sum of squares about the mean; what rounding leaves of a constant is 0."""
-    spread = total - of_mean
-    return F.when(spread <= total * 1e-13, F.lit(0.0)).otherwise(spread)
-
-
 def bars_by_period(bars: DataFrame, periods: Sequence[str]) -> DataFrame:
     """Closing prices per symbol for several intervals of a day or more, from one
     pass over the bars."""
@@ -262,17 +273,20 @@ def scenario_impact(
     key: str = "symbol",
     amount: str = "amount",
 ) -> DataFrame:
-    """Profit or loss of each portfolio under each scenario.
+    """Profit or loss of every portfolio under every scenario.
 
-    Positions are added up per portfolio and symbol before they meet the shocks
-    (scenario, symbol, shock), so no raw position is repeated per scenario.
+    A symbol without a shock in a scenario does not move there, so ``exposure`` is
+    all that a portfolio holds. Positions are added up per portfolio and symbol
+    before they meet the shocks (scenario, symbol, shock). The names of the
+    scenarios come to the driver: each stands for one row of every portfolio.
     """
+    names = [r[0] for r in shocks.select("scenario").where("scenario IS NOT NULL").distinct().orderBy("scenario").collect()]
     held = positions.groupBy(portfolio, key).agg(F.sum(amount).alias("held"))
-    return (
-        held.join(shocks, key)
-        .groupBy(portfolio, "scenario")
-        .agg(
-            F.sum(F.col("held") * F.col("shock")).alias("impact"),
-            F.sum("held").alias("exposure"),
-        )
+    whole = held.groupBy(portfolio).agg(F.sum("held").alias("exposure"))
+    whole = whole.withColumn("scenario", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
+    moved = held.join(shocks, key).groupBy(portfolio, "scenario").agg(F.sum(F.col("held") * F.col("shock")).alias("impact"))
+    moved = moved.withColumnRenamed(portfolio, "_of")
+    same = F.col(portfolio).eqNullSafe(F.col("_of")) & (whole["scenario"] == moved["scenario"])
+    return whole.join(moved, same, "left").select(
+        portfolio, whole["scenario"], F.coalesce("impact", F.lit(0.0)).alias("impact"), "exposure"
     )

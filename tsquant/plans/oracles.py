@@ -250,11 +250,6 @@ SCORES = """scores AS (
     FROM events)"""
 
 
-def _ago(seconds: int) -> str:
-    return f"""(SELECT arg_max(sentiment_score, ("timestamp", event_id)) FROM scores p
-        WHERE p.symbol = s.symbol AND p."timestamp" <= s."timestamp" - INTERVAL {seconds} SECONDS)"""
-
-
 def _age(seconds: int, name: str) -> str:
     frame = f"({W} RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL {seconds} SECONDS PRECEDING)"
     return six(f"sentiment_score - last_value(sentiment_score) OVER {frame}", name)
@@ -274,10 +269,8 @@ PARTS = """parts AS (
     SELECT *, 'S' || (CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) % 4) AS sector
     FROM part)"""
 
-STREAMED = HOURLY + """,
-closed AS (
-    SELECT * FROM bars
-    WHERE "timestamp" + INTERVAL 1 HOUR <= (SELECT max("timestamp") FROM ticks) - INTERVAL 1 HOUR)"""
+# A later tick closes the windows of all bars.
+STREAMED = HOURLY + ", closed AS (SELECT * FROM bars)"
 
 FEATURES = f"""features AS (
     SELECT symbol, "timestamp", close, avg(close) OVER {last(5)} AS sma,
@@ -290,6 +283,8 @@ ORACLES: dict[str, str] = {
     SELECT symbol, date_bucket, "timestamp", {bar_columns()} FROM days""",
     "resample_bars_month": f"""WITH {DAILY}, {_coarser('months', 'bars', 'month')}
     SELECT symbol, date_bucket, "timestamp", {bar_columns()} FROM months""",
+    "resample_bars_week": f"""WITH {DAILY}, {_coarser('weeks', 'bars', 'week')}
+    SELECT symbol, date_bucket, "timestamp", {bar_columns()} FROM weeks""",
     "apply_retention": f"""WITH {DAILY} SELECT symbol, "timestamp", {bar_columns()} FROM bars
     WHERE "timestamp" >= TIMESTAMP '2001-08-01' - INTERVAL 30 DAYS""",
     "latest_bars": f"""WITH {DAILY} SELECT symbol, "timestamp", {bar_columns()} FROM bars
@@ -297,7 +292,8 @@ ORACLES: dict[str, str] = {
     "newest_bars": f"""WITH {DAILY} SELECT symbol, "timestamp", {bar_columns()} FROM bars
     QUALIFY row_number() OVER (ORDER BY "timestamp" DESC, symbol DESC) <= 25""",
     "read_chart_payloads": f"""WITH {DAYS}
-    SELECT symbol AS requested_symbol, dom % 7 = 0 AS corrupt,
+    SELECT CASE symbol WHEN 'view' THEN 'MC.PA' WHEN 'click' THEN '0700' ELSE symbol END AS requested_symbol,
+           dom % 7 = 0 AS corrupt,
            CASE WHEN {SOUND} AND dom <> 30 AND dom % 5 <> 1 THEN symbol END AS stated_symbol,
            CASE WHEN {SOUND} AND dom <> 30 THEN n END AS bars,
            CASE WHEN {SOUND} AND dom <> 30 THEN first_at END AS first_at
@@ -375,6 +371,9 @@ ORACLES: dict[str, str] = {
            {six(f'CASE WHEN count(*) OVER {last(3)} >= 3 THEN avg(k) OVER {last(3)} END', 'stochastic_d_14_3')}
     FROM ratios""",
     "obv": f"""WITH {HOURLY}, {SIGNED} SELECT symbol, "timestamp", {OBV} AS "OBV" FROM signed""",
+    "obv_step": f"""WITH {HOURLY}, {SIGNED}
+    SELECT symbol, "timestamp", {OBV} AS "OBV" FROM signed
+    QUALIFY row_number() OVER ({W}) > 1""",
     "obv_two_step": f"""WITH {HOURLY}, {SIGNED}
     SELECT symbol, "timestamp", step + coalesce(lag(step) OVER ({W}), 0) AS "OBV" FROM signed""",
     "enrich_all": f"{ENRICHED}\nSELECT * FROM enriched",
@@ -419,10 +418,11 @@ ORACLES: dict[str, str] = {
     GROUP BY t.symbol""",
     "scenario_impact": f"""WITH shocks AS (
         SELECT * FROM (VALUES {SHOCK_ROWS}) v(scenario, symbol, shock))
-    SELECT o_custkey AS portfolio, scenario, {six('sum(o_totalprice * shock)', 'impact')},
+    SELECT o_custkey AS portfolio, s.scenario, {six('sum(o_totalprice * coalesce(shock, 0))', 'impact')},
            {six('sum(o_totalprice)', 'exposure')}
-    FROM orders JOIN shocks ON o_orderpriority = symbol
-    GROUP BY o_custkey, scenario""",
+    FROM orders CROSS JOIN (SELECT DISTINCT scenario FROM shocks) s
+    LEFT JOIN shocks k ON o_orderpriority = symbol AND k.scenario = s.scenario
+    GROUP BY o_custkey, s.scenario""",
     "lag_features": f"""WITH {DAILY}, {CHANGES}, {FEATURES}
     SELECT symbol, "timestamp", {six('close', 'close')},
            {six(f'lag(sma, 1) OVER ({W})', '"SMA_5_lag_1"')},
@@ -485,6 +485,19 @@ ORACLES: dict[str, str] = {
                regexp_replace(replace(text, '&quot;', '"'), '&amp;?', '&', 'g'),
                '\s+', ' ', 'g')) AS article_text
     FROM texts""",
+    "checked_payloads": f"""
+    SELECT symbol, count(*) AS bars, min(volume) AS least_volume, true AS has_columns
+    FROM ({_exploded(ALIGNED)}) GROUP BY symbol""",
+    "parameters_by_type": f"""{ENRICHED},
+    types(indicator_type, per_bar) AS (VALUES ('SMA', ['SMA_20']), ('BOLLINGER', ['upper', 'middle', 'lower']), ('RSI', ['RSI_14']),
+        ('MACD', ['line', 'signal', 'histogram']), ('EMA', ['EMA_12']), ('STOCHASTIC', ['k', 'd']), ('OBV', ['OBV'])),
+    given(indicator_type, parameter, value) AS (VALUES ('SMA', 'period', 20.0::DOUBLE), ('BOLLINGER', 'period', 20.0::DOUBLE),
+        ('BOLLINGER', 'stddev', 2.0::DOUBLE), ('RSI', 'period', 14.0::DOUBLE), ('MACD', 'fast', 12.0::DOUBLE), ('MACD', 'slow', 26.0::DOUBLE),
+        ('MACD', 'signal', 9.0::DOUBLE), ('EMA', 'period', 12.0::DOUBLE), ('EMA', 'smoothing', 2.0::DOUBLE),
+        ('STOCHASTIC', 'k', 14.0::DOUBLE), ('STOCHASTIC', 'd', 3.0::DOUBLE))
+    SELECT t.indicator_type, symbol, n * len(per_bar) AS n, parameter, value
+    FROM types t CROSS JOIN (SELECT symbol, count(*) AS n FROM enriched GROUP BY symbol)
+    LEFT JOIN given g ON g.indicator_type = t.indicator_type""",
     "stream_bars": f"""WITH {STREAMED}
     SELECT symbol, date_bucket, "timestamp", {bar_columns()} FROM closed""",
     "stream_indicators": f"""WITH RECURSIVE {STREAMED}, {SIGNED},

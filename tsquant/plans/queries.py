@@ -6,11 +6,14 @@ engines can be compared value by value.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tsquant.functions.scalars import obv_step as obv_step_of
 from tsquant.functions.series import Series, number_rows
 from tsquant.functions.work import work_dir
 from tsquant.operators import bars as B
@@ -101,6 +104,10 @@ def resample_bars_month(spark: SparkSession, folder: str) -> DataFrame:
     return show(B.resample_bars(bars_daily(spark, folder), "month"))
 
 
+def resample_bars_week(spark: SparkSession, folder: str) -> DataFrame:
+    return show(B.resample_bars(bars_daily(spark, folder), "week"))
+
+
 def apply_retention(spark: SparkSession, folder: str) -> DataFrame:
     return show(B.apply_retention(bars_daily(spark, folder), AS_OF), *AT, *BAR)
 
@@ -121,9 +128,19 @@ def _landed(spark: SparkSession, folder: str) -> DataFrame:
     return P.parse_chart_payloads(views.payloads(spark, folder))
 
 
+def _work(spark: SparkSession, purpose: str) -> str:
+    """A folder for what a query writes; a local session that names none gets one."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", f"{tempfile.gettempdir()}/tsquant-shared")
+    return work_dir(spark, purpose)
+
+
 def read_chart_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    landed = work_dir(spark, "payloads")
-    views.payloads(spark, folder).select("requested_symbol", "payload").write.partitionBy(
+    """With symbols that hold a dot or look like a number."""
+    landed = _work(spark, "payloads")
+    symbol = F.col("requested_symbol")
+    symbol = F.when(symbol == "view", "MC.PA").when(symbol == "click", "0700").otherwise(symbol)
+    views.payloads(spark, folder).select(symbol.alias("requested_symbol"), "payload").write.partitionBy(
         "requested_symbol"
     ).text(landed)
     read = P.read_chart_payloads(spark, landed)
@@ -138,7 +155,7 @@ def read_chart_payloads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, folder: str) -> DataFrame:
-    path = work_dir(spark, "bars")
+    path = _work(spark, "bars")
     S.append_table(bars_daily(spark, folder), path)
     stored = S.read_bars(spark, path, ["1-URGENT", "5-LOW"], "1996-03", "1997-02")
     return show(stored, "symbol", "date_bucket", "timestamp", *BAR)
@@ -146,7 +163,7 @@ def read_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 def newest_load(spark: SparkSession, folder: str) -> DataFrame:
     """A month is loaded a second time with other volumes, which then hold."""
-    path = work_dir(spark, "bars")
+    path = _work(spark, "bars")
     bars = bars_daily(spark, folder)
     S.append_table(bars, path, stamp=True)
     again = bars.where(F.col("date_bucket") == "1996-03")
@@ -156,7 +173,7 @@ def newest_load(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_indicators(spark: SparkSession, folder: str) -> DataFrame:
-    bars, records = work_dir(spark, "bars"), work_dir(spark, "records")
+    bars, records = _work(spark, "bars"), _work(spark, "records")
     S.append_table(bars_hourly(spark, folder), bars)
     compute_indicators(spark, bars, records, series=HOURLY)
     stored = S.read_indicators(spark, records, types=["RSI", "MACD", "OBV"])
@@ -164,7 +181,7 @@ def write_indicators(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_quote_csv(spark: SparkSession, folder: str) -> DataFrame:
-    path = work_dir(spark, "quotes")
+    path = _work(spark, "quotes")
     bars_daily(spark, folder).select(
         F.col("symbol").alias("Symbol"),
         F.col("close").alias("Price"),
@@ -225,6 +242,16 @@ def clean_bars(spark: SparkSession, folder: str) -> DataFrame:
     return show(V.clean_bars(_landed(spark, folder), F.col("requested_symbol")))
 
 
+def checked_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """What the checks of schema, time stamps and rows let through, and how many columns they ask for."""
+    parsed = V.require_paths(V.drop_corrupt(_landed(spark, folder)))
+    arrays = V.require_timestamps(V.extract_chart(parsed, F.col("requested_symbol")))
+    rows = V.require_non_negative_volume(V.require_non_empty(V.explode_bars(V.keep_aligned_arrays(arrays))))
+    asked = F.lit(V.has_columns(rows, V.BAR_COLUMNS)).alias("has_columns")
+    counts = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.min("volume").alias("least_volume"))
+    return counts.select("symbol", "bars", "least_volume", asked)
+
+
 # Reshape
 
 
@@ -253,6 +280,24 @@ def indicator_parameters(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(R.to_indicator_records(_enriched(spark, folder)), "parameters", "parameter")
 
 
+def parameters_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    """The parameters that belong to the type of each value of a table."""
+    long = R.unpivot_indicators(_enriched(spark, folder))
+    types = long.select(R.classify_indicator(F.col("indicator_name")).alias("indicator_type"), "symbol")
+    counted = types.groupBy("indicator_type", "symbol").count().select("indicator_type", "symbol", F.col("count").alias("n"))
+    given = F.explode_outer(R.indicator_parameters(F.col("indicator_type"))).alias("parameter", "value")
+    return show(counted.select("indicator_type", "symbol", "n", given))
+
+
+def obv_step(spark: SparkSession, folder: str) -> DataFrame:
+    """On-balance volume at each bar from its value at the bar before."""
+    bars = I.obv(bars_hourly(spark, folder), series=HOURLY)
+    before = Window.partitionBy("symbol").orderBy("timestamp")
+    held = F.lag("OBV").over(before), F.lag("close").over(before)
+    step = obv_step_of(held[0], F.col("close"), held[1], F.col("volume"))
+    return show(bars.select(*AT, step.alias("OBV")).where("OBV IS NOT NULL"))
+
+
 def group_indicator_maps(spark: SparkSession, folder: str) -> DataFrame:
     long = R.unpivot_indicators(_enriched(spark, folder))
     return _flat(R.add_keys(R.group_indicator_maps(long)), "values", "value")
@@ -354,30 +399,60 @@ def article_text(spark: SparkSession, folder: str) -> DataFrame:
 # Streams
 
 
-def _tick_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = table(spark, folder, "events").schema
-    # A glob: the file source takes a table that is one file only in this form.
-    return views.as_ticks(read_tick_stream(spark, folder + "/{events}.parquet", schema))
+def _landing_ticks(spark: SparkSession, folder: str, path: str) -> Iterator[None]:
+    """Ticks land week by week, with a tick delivered twice, one far too late, and a
+    last one of another symbol that closes the windows before it."""
+    ticks = views.ticks(spark, folder)
+    week = F.floor((F.dayofmonth("timestamp") - 1) / 8)
+    first, last = ticks.agg(F.min("timestamp"), F.max("timestamp")).first()
+    for number in range(4):
+        part = ticks.where(week == number)
+        if number:
+            before = ticks.where(week < number)
+            again = before.where(F.col("timestamp") == before.agg(F.max("timestamp")).first()[0])
+            part = part.unionByName(again)
+        if number == 2:
+            late = spark.createDataFrame([("view", first, 1e9, 1, -1)], ticks.schema)
+            part = part.unionByName(late)
+        part.write.mode("append").parquet(path)
+        yield
+    end = spark.createDataFrame([("-", last + timedelta(hours=3), 0.0, 0, -2)], ticks.schema)
+    end.write.mode("append").parquet(path)
+    yield
+
+
+def _streamed_bars(spark: SparkSession, folder: str) -> Iterator[DataFrame]:
+    """The bars closed after each landing, from one stream that goes on."""
+    landed, path, state = _work(spark, "ticks"), _work(spark, "stream-bars"), _work(spark, "stream-state")
+    schema = views.ticks(spark, folder).schema
+    for _ in _landing_ticks(spark, folder, landed):
+        stream = read_tick_stream(spark, landed, schema)
+        yield drain(stream_bars(stream, "1 hour", "1 hour", tick_id="event_id"), path, state)
 
 
 def stream_bars_query(spark: SparkSession, folder: str) -> DataFrame:
-    ticks = _tick_stream(spark, folder)
-    return show(drain(stream_bars(ticks, "1 hour", "1 hour", tick_id="event_id")))
+    for bars in _streamed_bars(spark, folder):
+        closed = bars
+    return show(closed)
 
 
 def stream_indicators_query(spark: SparkSession, folder: str) -> DataFrame:
-    """Two streams in a row: closed bars to a table, indicators from that table."""
-    path, table = work_dir(spark, "stream-bars"), work_dir(spark, "stream-indicators")
-    bars = drain(stream_bars(_tick_stream(spark, folder), "1 hour", "1 hour"), path)
-    closed = spark.readStream.schema(bars.schema).parquet(path)
-    state, checkpoint = work_dir(spark, "state"), work_dir(spark, "checkpoint")
-    stream_indicators(closed, table, state, checkpoint, series=HOURLY).awaitTermination()
+    """Two streams in a row: closed bars to a table, indicators from that table, both
+    taken up again whenever ticks have landed."""
+    table = _work(spark, "stream-indicators")
+    state, checkpoint = _work(spark, "state"), _work(spark, "checkpoint")
+    for bars in _streamed_bars(spark, folder):
+        path = bars.inputFiles()[0].rsplit("/", 1)[0] if bars.inputFiles() else None
+        if path:
+            closed = spark.readStream.schema(bars.schema).parquet(path)
+            stream_indicators(closed, table, state, checkpoint, series=HOURLY).awaitTermination()
     return show(spark.read.schema(output_schema()).parquet(table), *AT, "EMA_12", "OBV")
 
 
 QUERIES: dict[str, Query] = {
     "bars_from_ticks": bars_from_ticks,
     "resample_bars": resample_bars,
+    "resample_bars_week": resample_bars_week,
     "resample_bars_month": resample_bars_month,
     "apply_retention": apply_retention,
     "latest_bars": latest_bars,
@@ -409,6 +484,7 @@ QUERIES: dict[str, Query] = {
     "stochastic": hourly(I.stochastic, *PLAIN),
     "stochastic_strict": hourly(I.stochastic, *PLAIN, strict=True),
     "obv": hourly(I.obv, "OBV"),
+    "obv_step": obv_step,
     "obv_two_step": hourly(I.obv_two_step, "OBV"),
     "enrich_all": hourly(I.enrich_all, *ENRICHED),
     "latest_sma": daily(L.latest_sma, "symbol", "SMA_20"),
@@ -416,6 +492,7 @@ QUERIES: dict[str, Query] = {
     "unpivot_indicators": unpivot_indicators,
     "to_indicator_records": to_indicator_records,
     "indicator_parameters": indicator_parameters,
+    "parameters_by_type": parameters_by_type,
     "group_indicator_maps": group_indicator_maps,
     "read_indicator_value": read_indicator_value,
     "returns": returns,
@@ -432,6 +509,7 @@ QUERIES: dict[str, Query] = {
     "articles_by_symbol": articles_by_symbol,
     "index_composition": index_composition,
     "article_text": article_text,
+    "checked_payloads": checked_payloads,
     "stream_bars": stream_bars_query,
     "stream_indicators": stream_indicators_query,
 }

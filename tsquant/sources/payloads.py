@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from tsquant.schemas import BAR, CHART, CORRUPT, QUOTE
 
+EXTENSION = r"\.[^.]+?(\.(gz|bz2|zst|lz4|snappy|deflate))?$"
+
 
 def parse_chart_payloads(df: DataFrame, payload: Column | str = "payload") -> DataFrame:
     """Add the parsed ``chart`` and, for text that is no JSON, ``_corrupt_record``.
@@ -29,13 +31,17 @@ def read_chart_payloads(
     """Landed payloads of many symbols: one JSON document per line, or per file.
 
     ``requested_symbol``, for payloads that do not state their symbol, is the
-    table partition of that name, or else the file name without its extension.
+    table partition of that name, or else the file name without its extension and
+    that of its compression. Dots and leading zeros belong to the symbol.
     """
     paths = [path] if isinstance(path, str) else list(path)
     text = spark.read.text(paths, wholetext=per_file)
-    requested = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)
+    requested = F.regexp_replace(F.col("_metadata.file_name"), EXTENSION, "")
     if "requested_symbol" in text.columns:
-        requested = F.col("requested_symbol").cast("string")
+        # Stated as text, so that the partition's values are not taken for numbers.
+        named = "value string, requested_symbol string"
+        text = spark.read.schema(named).text(paths, wholetext=per_file)
+        requested = F.col("requested_symbol")
     named = text.select(requested.alias("requested_symbol"), F.col("value").alias("payload"))
     return parse_chart_payloads(named).drop("payload")
 

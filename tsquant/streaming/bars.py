@@ -52,7 +52,7 @@ def stream_bars(
     if tick_id is not None:
         timed = timed.dropDuplicatesWithinWatermark([tick_id])
         order.append(tick_id)
-    opened, closed = first_and_last(price, order)
+    opened, closed = first_and_last(timed, price, order)
     bars = timed.groupBy(F.window(time, interval), "symbol").agg(
         opened.alias("open"),
         F.max(price).alias("high"),
