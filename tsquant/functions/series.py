@@ -210,10 +210,10 @@ def join_slots(slotted: DataFrame, slots: DataFrame, series: Series) -> DataFram
     """Bring slot-table columns to the rows.
 
     The join keys are also the partitioning of the slot windows that follow, so
-    the rows are exchanged once for both. A hash join leaves their only sort to
-    the window; its build side is one row per slot.
+    the rows are exchanged once for both. Which join it is, is the optimiser's
+    choice by the size of the slot table.
     """
-    return slotted.join(slots.hint("shuffle_hash"), [*series.keys, SLOT], "left")
+    return slotted.join(slots, [*series.keys, SLOT], "left")
 
 
 def number_rows(df: DataFrame, series: Series | None = None) -> DataFrame:

@@ -18,9 +18,10 @@ def join_per_key(
 ) -> DataFrame:
     """Inner join of rows with a table that has one row per key and its row count.
 
-    Hot keys are told by the count. There are few of them by its nature, so they
-    are broadcast, and their rows are spread over many tasks by ``spread_by``
-    instead of meeting in one; all other keys are joined in the normal way.
+    Hot keys are told by the count. There are few of them by its nature, so the
+    optimiser will broadcast them where their size allows. Their rows are spread over
+    many tasks by ``spread_by`` instead of meeting in one; all other keys are joined
+    in the normal way.
     """
     columns = [c for c in table.columns if c not in keys]
     hot = table.where(F.col(count) >= HOT_ROWS)
@@ -31,7 +32,7 @@ def join_per_key(
     is_hot = F.col(f"_hot_{count}").isNotNull()
     piece = F.pmod(F.xxhash64(spread_by), F.lit(PIECES)).cast("int") + 1
     joined = (
-        rows.join(F.broadcast(hot), list(keys), "left")
+        rows.join(hot, list(keys), "left")
         .withColumn("_piece", F.when(is_hot, piece).otherwise(0))
         .join(cold, [*keys, "_piece"], "left")
     )

@@ -14,6 +14,7 @@ from tsquant.schemas import CORRUPT
 
 log = logging.getLogger(__name__)
 
+# Columns and paths of the chart payload.
 ARRAYS = ("timestamps", "opens", "closes", "highs", "lows", "volumes")
 BAR_COLUMNS = ("timestamp", "open", "high", "low", "close", "volume")
 CHART_PATHS = (

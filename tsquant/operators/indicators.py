@@ -231,6 +231,9 @@ def stochastic_indicator(
     )
 
 
+# The keys of ``settings`` and ``stored`` are those of stored records.
+
+
 def _ema_settings(period: int, smoothing: float, price: str) -> dict[str, object]:
     return {"period": period, "smoothingFactor": smoothing, "priceColumn": price}
 

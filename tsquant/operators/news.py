@@ -79,20 +79,60 @@ def value_before(
     )
 
 
+def values_before(
+    df: DataFrame, value: str, ages: dict[str, int], series: Series | None = None
+) -> DataFrame:
+    """Add the last known ``value`` of the same key at or before several ages ago.
+
+    ``ages`` maps a new column to its distance in seconds. Every row becomes one
+    value and one question for each age; all of them share one slot table and one
+    pass in time order, and the answers of a row meet again by its key and time.
+    """
+    series = measured(df, Series.of(df, series))
+    at, known, asked = "_at", "_known", "_asked"
+    slots = series.slots
+    for seconds in ages.values():
+        slots = slots and slots.also_before(seconds)
+    cut = replace(series, time=at, tiebreak=(asked, *series.tiebreak), slots=slots)
+    own = F.col(series.time).cast("timestamp")
+    entry = [F.struct(own.alias(at), F.col(value).alias(known), F.lit(0).alias(asked))]
+    nothing = F.lit(None).cast(df.schema[value].dataType)
+    for number, seconds in enumerate(ages.values(), 1):
+        ago = own - F.make_dt_interval(secs=F.lit(seconds))
+        entry.append(F.struct(ago.alias(at), nothing.alias(known), F.lit(number).alias(asked)))
+    both = df.select("*", F.inline(F.array(*entry))).where((F.col(asked) > 0) | F.col(known).isNotNull())
+    slotted, _ = with_slots(both, cut)
+
+    newest = F.when(F.col(asked) == 0, F.struct(at, *series.tiebreak))
+    slots = slotted.groupBy(*cut.keys, SLOT).agg(F.max_by(known, newest).alias("_last"))
+    earlier = cut.slots_in_order().rowsBetween(Window.unboundedPreceding, -1)
+    inherited = F.last("_last", ignorenulls=True).over(earlier).alias("_inherited")
+    so_far = cut.slot_window().rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(known, ignorenulls=True).over(so_far)
+    answered = (
+        join_slots(slotted, slots.select(*cut.keys, SLOT, inherited), cut)
+        .withColumn("_answer", F.coalesce(last, "_inherited"))
+        .where(F.col(asked) > 0)
+    )
+    row = [*series.keys, *series.order]
+    rest = [F.first(c).alias(c) for c in df.columns if c not in row]
+    found = [F.max(F.when(F.col(asked) == n, F.col("_answer"))).alias(out) for n, out in enumerate(ages, 1)]
+    return answered.groupBy(*row).agg(*rest, *found).select(*df.columns, *ages)
+
+
 def sentiment_evolution(
     scores: DataFrame, score: str = "sentiment_score", series: Series | None = None
 ) -> DataFrame:
     """Change of the score against 24 hours and 7 days ago; NULL without a score
     that old."""
-    series = measured(scores, Series.of(scores, series))
-    aged = value_before(scores, score, DAY_SECONDS, "_day_ago", series, scores)
-    aged = value_before(aged, score, 7 * DAY_SECONDS, "_week_ago", series, scores)
+    ages = {"_day_ago": DAY_SECONDS, "_week_ago": 7 * DAY_SECONDS}
+    aged = values_before(scores, score, ages, series)
     return aged.withColumns(
         {
             "evolution_24h": F.col(score) - F.col("_day_ago"),
             "evolution_7d": F.col(score) - F.col("_week_ago"),
         }
-    ).drop("_day_ago", "_week_ago")
+    ).drop(*ages)
 
 
 def daily_sentiment(

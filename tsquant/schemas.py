@@ -1,4 +1,8 @@
-"""Row shapes of the tables and payloads the package reads and writes."""
+"""Row shapes of the tables and payloads the package reads and writes.
+
+Fixed values: names and types of fields are those of the stored tables and of the
+chart payload, and must stay as they are.
+"""
 
 from pyspark.sql import types as T
 
@@ -98,68 +102,3 @@ INDICATOR_RECORD = T.StructType(
         T.StructField("parameters", T.MapType(T.StringType(), T.DoubleType())),
     ]
 )
-
-MARKET_SENTIMENT = T.StructType(
-    [
-        T.StructField("date_bucket", T.DateType()),
-        T.StructField("timestamp", T.TimestampType()),
-        T.StructField("summary", T.StringType()),
-        T.StructField("sentiment_score", T.DoubleType()),
-        T.StructField("source", T.StringType()),
-        T.StructField("article_url", T.StringType()),
-        T.StructField("article_title", T.StringType()),
-        T.StructField("keywords", T.ArrayType(T.StringType())),
-        T.StructField("entities", T.ArrayType(T.StringType())),
-        T.StructField("importance", T.IntegerType()),
-    ]
-)
-
-STOCK_SENTIMENT = T.StructType(
-    [
-        T.StructField("symbol", T.StringType()),
-        T.StructField("date_bucket", T.DateType()),
-        T.StructField("timestamp", T.TimestampType()),
-        T.StructField("summary", T.StringType()),
-        T.StructField("sentiment_score", T.DoubleType()),
-        T.StructField("evolution_24h", T.DoubleType()),
-        T.StructField("evolution_7d", T.DoubleType()),
-        T.StructField("source", T.StringType()),
-        T.StructField("article_url", T.StringType()),
-        T.StructField("article_title", T.StringType()),
-        T.StructField("keywords", T.ArrayType(T.StringType())),
-        T.StructField("mentioned_companies", T.ArrayType(T.StringType())),
-        T.StructField("volume_impact", T.DoubleType()),
-    ]
-)
-
-NEWS_ARTICLE = T.StructType(
-    [
-        T.StructField("article_id", T.StringType()),
-        T.StructField("timestamp", T.TimestampType()),
-        T.StructField("source", T.StringType()),
-        T.StructField("url", T.StringType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("content", T.StringType()),
-        T.StructField("symbols", T.ArrayType(T.StringType())),
-        T.StructField("processed", T.BooleanType()),
-    ]
-)
-
-STOCK_INDEX = T.StructType(
-    [
-        T.StructField("country", T.StringType()),
-        T.StructField("index_symbol", T.StringType()),
-        T.StructField("composition", T.ArrayType(T.StringType())),
-        T.StructField("volatility", T.DoubleType()),
-        T.StructField("sector_weights", T.MapType(T.StringType(), T.DoubleType())),
-        T.StructField("last_rebalanced", T.TimestampType()),
-    ]
-)
-
-COMPANY = T.StructType(
-    [
-        T.StructField("company_symbol", T.StringType()),
-        T.StructField("indexed_values", T.MapType(T.StringType(), T.DoubleType())),
-        T.StructField("related_indicators", T.ArrayType(T.StringType())),
-    ]
-)
