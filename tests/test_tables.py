@@ -12,7 +12,6 @@ from tsquant.functions.work import work_dir
 from tsquant.operators import bars as B
 from tsquant.operators import indicators as I
 from tsquant.operators import reshape as R
-from tsquant.sources.payloads import read_chart_payloads
 from tsquant.plans.jobs import compute_indicators, ingest_payloads
 from tsquant.schemas import CORRUPT
 from tsquant.sources import payloads as P
@@ -159,9 +158,24 @@ def test_symbols_stay_as_they_occur(spark, tmp_path):
         part.mkdir(parents=True)
         (part / "part-0.txt").write_text(payload)
     for folder in ("files", "parts"):
-        found = read_chart_payloads(spark, str(tmp_path / folder), per_file=True)
+        found = P.read_chart_payloads(spark, str(tmp_path / folder), per_file=True)
         assert sorted(r.requested_symbol for r in found.collect()) == sorted(symbols)
     numbers = spark.createDataFrame([("0700", payload), ("0005", payload)], "requested_symbol string, payload string")
     numbers.write.partitionBy("requested_symbol").text(str(tmp_path / "numbers"))
-    found = read_chart_payloads(spark, str(tmp_path / "numbers"))
+    found = P.read_chart_payloads(spark, str(tmp_path / "numbers"))
     assert sorted(r.requested_symbol for r in found.collect()) == ["0005", "0700"]
+
+
+def test_other_formats(spark, tmp_path):
+    path = str(tmp_path / "orc")
+    bars = B.with_bucket(spark.createDataFrame(random_bars({"A": 20}), BARS))
+    assert S.append_table(bars, path, format="orc", options={"compression": "zlib"})
+    found = S.read_bars(spark, path, ["A"], format="orc")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, bars.collect()))
+
+
+def test_bad_quote_lines_are_told(spark, tmp_path):
+    (tmp_path / "q.csv").write_text("Symbol,Price,High,Low,Timestamp\nA,1.5,2,1,2025-01-01 10:00:00\nB,x,2,1,2025-01-01 10:00:00\n")
+    rows = P.read_quote_csv(spark, str(tmp_path), keep_corrupt=True).collect()
+    assert [(r.Symbol, r.Price, r._corrupt_record is not None) for r in rows] == [("A", 1.5, False), ("B", None, True)]
+    assert P.read_quote_csv(spark, str(tmp_path)).columns == ["Symbol", "Price", "High", "Low", "Timestamp"]

@@ -46,10 +46,16 @@ def read_chart_payloads(
     return parse_chart_payloads(named).drop("payload")
 
 
-def read_quote_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Quote snapshots: Symbol,Price,High,Low,Timestamp with a header line."""
+def read_quote_csv(spark: SparkSession, path: str, keep_corrupt: bool = False) -> DataFrame:
+    """Quote snapshots: Symbol,Price,High,Low,Timestamp with a header line.
+
+    With ``keep_corrupt`` a line that does not read as that comes with its text in
+    ``_corrupt_record``, as payloads do; without, its bad fields are null.
+    """
+    schema = T.StructType([*QUOTE.fields, *[T.StructField(CORRUPT, T.StringType())] * keep_corrupt])
     return (
-        spark.read.schema(QUOTE)
+        spark.read.schema(schema)
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("header", True)
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)

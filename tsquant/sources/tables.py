@@ -1,4 +1,8 @@
-"""Bars and indicator tables as partitioned Parquet."""
+"""Bars and indicator tables, partitioned, as Parquet or through another connector.
+
+``format`` and ``options`` are those of Spark's reader and writer; a connector that
+takes its place from an option gets it as ``path`` too.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +28,8 @@ def append_table(
     order_by: Sequence[str] = ROW_ORDER,
     stamp: bool = False,
     by_range: bool = True,
+    format: str = "parquet",
+    options: dict[str, str] | None = None,
 ) -> bool:
     """Append and tell whether there was anything to append.
 
@@ -46,16 +52,24 @@ def append_table(
         placed.sortWithinPartitions(*order)
         # Above the exchange: below it, sampling the ranges would count rows twice.
         .observe(counted, F.count(F.lit(1)).alias("rows"))
-        .write.mode("append")
+        .write.format(format)
+        .options(**options or {})
+        .mode("append")
         .partitionBy(*partition_by)
-        .parquet(path)
+        .save(path)
     )
     return counted.get["rows"] > 0
 
 
-def write_indicators(records: DataFrame, path: str, stamp: bool = False) -> bool:
+def write_indicators(records: DataFrame, path: str, stamp: bool = False, **connector) -> bool:
     """Append indicator records; they come out of many windows, so not by range."""
-    return append_table(records, path, RECORD_PARTITIONS, stamp=stamp, by_range=False)
+    return append_table(records, path, RECORD_PARTITIONS, stamp=stamp, by_range=False, **connector)
+
+
+def load(
+    spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet", options: dict[str, str] | None = None
+) -> DataFrame:
+    return spark.read.format(format).options(**options or {}).schema(schema).load(path)
 
 
 def slice_rows(
@@ -81,6 +95,7 @@ def read_bars(
     first_bucket: str | None = None,
     last_bucket: str | None = None,
     newest_load: bool = False,
+    **connector,
 ) -> DataFrame:
     """Bars of some symbols and months. Months prune partitions; symbols reach the
     Parquet scan, where files and row groups of other symbols are skipped.
@@ -89,7 +104,7 @@ def read_bars(
     """
     stamp = [T.StructField(STAMP, T.TimestampType())] if newest_load else []
     schema = T.StructType([*BARS_TABLE.fields, *stamp])
-    bars = slice_rows(spark.read.schema(schema).parquet(path), symbols, first_bucket, last_bucket)
+    bars = slice_rows(load(spark, path, schema, **connector), symbols, first_bucket, last_bucket)
     if newest_load:
         order = [F.desc_nulls_last(STAMP)]
         order += [F.desc_nulls_last(c) for c in ("open", "high", "low", "close", "volume")]
@@ -104,11 +119,11 @@ def read_indicators(
     first_bucket: str | None = None,
     last_bucket: str | None = None,
     types: Sequence[str] | None = None,
+    **connector,
 ) -> DataFrame:
     """Indicator records of some symbols, months and types."""
-    records = slice_rows(
-        spark.read.schema(INDICATOR_RECORD).parquet(path), symbols, first_bucket, last_bucket
-    )
+    loaded = load(spark, path, INDICATOR_RECORD, **connector)
+    records = slice_rows(loaded, symbols, first_bucket, last_bucket)
     if types is not None:
         records = records.where(F.col("indicator_type").isin(list(types)))
     return records.select(*INDICATOR_RECORD.fieldNames())
