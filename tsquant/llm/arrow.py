@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import DataFrame
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: rows are long
+#: here, and batches of both sides of a task stand in memory at once.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Characters of text that a task turns into results before it hands them on.
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 1 << 20
+
+
+def map_batches(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """`rows.mapInArrow(run, schema)` in batches that suit long rows; a session's own size stays."""
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_SETTING) == "10000":
+        conf.set(BATCH_SETTING, BATCH_ROWS)
+    return rows.mapInArrow(run, schema)
 
 
 def text_slices(
@@ -28,6 +42,22 @@ def text_slices(
             yield batch.slice(start)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps between tasks: the state of one operator at a time.
+
+    Workers are used again by other operators, whose memory would add up otherwise.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class TwoGenerations:
     """A memo of bounded size: entries that are not asked for again leave it.
 

@@ -21,21 +21,20 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tsquant.llm.arrow import TwoGenerations, text_slices
+from tsquant.llm.arrow import TwoGenerations, held, map_batches, text_slices
 
 #: Words a Python worker remembers in each of two generations.
-WORDS = 400_000
+WORDS = 200_000
 #: Pairs of tokens whose compatibility a Python worker remembers.
-PAIRS = 1_000_000
+PAIRS = 300_000
 #: Endings of prefixes whose tokens a Python worker remembers.
-STEPS = 500_000
+STEPS = 200_000
 
 #: Characters of the property White_Space, at which words end.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -59,20 +58,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            parts = json.load(file)
+        model = parts["model"]
         self.end = model.get("end_of_word_suffix")
         if model["type"] != "BPE" or not self.end or model.get("dropout"):
             raise ValueError(f"{path} is not a BPE vocabulary with word ends")
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(left, right): at for at, (left, right) in enumerate(pairs)}
-        self.library = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        # The library's own steps before merging; its model stays empty to save memory.
+        parts["model"] = {"type": "BPE", "vocab": {}, "merges": []}
+        self.library = Tokenizer.from_str(json.dumps(parts))
+        self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.inner = {t for t in self.vocab if not t.endswith(self.end)}
         self.final = {t.removesuffix(self.end) for t in self.vocab if t.endswith(self.end)}
         bodies = self.inner | self.final
         self.starts = {body[:at] for body in bodies for at in range(1, len(body) + 1)}
+        # By the end that matters, of which there are no more than starts; by prefix ends met.
+        self.ends: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {}
         self.steps: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         spell = self.library.pre_tokenizer.pre_tokenize_str
@@ -115,12 +119,12 @@ class Encoder:
         """
         while ending not in self.starts:
             ending = ending[1:]
-        tails = [ending[at:] for at in range(len(ending) - 1, -1, -1)]
-        return (
-            ending,
-            tuple(t for t in tails if t in self.inner),
-            tuple(t + self.end for t in tails if t in self.final),
-        )
+        found = self.ends.get(ending)
+        if found is None:
+            tails = [ending[at:] for at in range(len(ending) - 1, -1, -1)]
+            inner = tuple(t for t in tails if t in self.inner)
+            found = self.ends[ending] = ending, inner, tuple(t + self.end for t in tails if t in self.final)
+        return found
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
         """Depth first over the trie of the pieces.
@@ -196,13 +200,11 @@ class Encoder:
         return [list(chain.from_iterable(map(ids.__getitem__, found))) for found in words]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    return Encoder(path)
+    """The encoder of a file, kept by the Python worker."""
+    return held(("bpe", path), lambda: Encoder(path))
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> list[str]:
     """Tokens by id, added ones included."""
     with open(path, encoding="utf-8") as file:
@@ -244,7 +246,7 @@ def encode(
 
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     schema = f"id {kind}, ids array<int>" + ", n_tokens long, ids_sha256 string" * digests
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return map_batches(rows, run, schema).withColumnRenamed("id", id_column)
 
 
 def decode(encoded: DataFrame, path: str, ids_column: str = "ids", out: str = "decoded") -> DataFrame:
@@ -263,7 +265,7 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "ids", out: str = "d
     names = [f"c{i}" for i in range(len(fields))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary(path)
+        tokens = held(("vocabulary", path), lambda: vocabulary(path))
         size = len(tokens)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -278,4 +280,4 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "ids", out: str = "d
 
     plain = encoded.toDF(*names)
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema.fields))
-    return plain.mapInArrow(run, f"{kinds}, out string").toDF(*fields, out)
+    return map_batches(plain, run, f"{kinds}, out string").toDF(*fields, out)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsquant.llm.arrow import text_slices
+from tsquant.llm.arrow import map_batches, text_slices
 
 Q = 10
 #: Edits allowed for each character of a passage.
@@ -310,7 +310,7 @@ def benchmark_hits(
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("item", "passage"), F.lit(parts)) == part).distinct()
         index = Index([(r.item, r.passage) for r in own.collect()], q, edits)
-        rows = rows.mapInArrow(_marker(index), schema)
+        rows = map_batches(rows, _marker(index), schema)
     return rows.select(*names, "hits").toDF(id_column, *keep, "hits")
 
 

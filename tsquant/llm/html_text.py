@@ -21,7 +21,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tsquant.llm.arrow import text_slices
+from tsquant.llm.arrow import map_batches, text_slices
 
 SIGMA = 1.0
 #: Characters handed to the parser at a time.
@@ -255,5 +255,5 @@ def extract_text(
             yield pa.RecordBatch.from_arrays(out, [*names, "text", "n_chars"])
 
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds)) + ", text string, n_chars long"
-    rows = pages.select(*kept, pages[html_column].alias("html")).mapInArrow(run, schema)
+    rows = map_batches(pages.select(*kept, pages[html_column].alias("html")), run, schema)
     return rows.toDF(id_column, *keep, "text", "n_chars")

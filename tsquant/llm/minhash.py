@@ -22,19 +22,18 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsquant.llm.arrow import TwoGenerations, text_slices
+from tsquant.llm.arrow import TwoGenerations, held, map_batches, text_slices
 from tsquant.llm.components import components
 from tsquant.llm.scratch import Scratch
 
 #: Words a Python worker remembers in each of two generations.
-WORDS = 300_000
+WORDS = 200_000
 #: Members compared with one leader in one task at most.
 STAR = 4096
 MASK = (1 << 64) - 1
@@ -118,10 +117,9 @@ class Hasher:
         return np.packbits((minima & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
-@lru_cache(maxsize=4)
 def hasher(settings: Settings) -> Hasher:
-    """One hasher for each setting and Python worker."""
-    return Hasher(settings)
+    """The hasher of settings, kept by the Python worker."""
+    return held(("minhash", settings), lambda: Hasher(settings))
 
 
 def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -145,7 +143,7 @@ def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
                 }
             )
 
-    return docs.mapInArrow(run, "id long, n_shingles long, class binary, bands array<long>, bits array<long>")
+    return map_batches(docs, run, "id long, n_shingles long, class binary, bands array<long>, bits array<long>")
 
 
 def _differing(left: Column, right: Column, words: int) -> Column:
@@ -185,7 +183,7 @@ def _similarities(pairs: DataFrame, texts: DataFrame, settings: Settings) -> Dat
             columns = [*zip(*out)] or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "common", "total"])
 
-    return rows.mapInArrow(run, "a long, b long, common long, total long")
+    return map_batches(rows, run, "a long, b long, common long, total long")
 
 
 def near_duplicates(
@@ -295,7 +293,7 @@ def _group_links(groups: DataFrame, texts: DataFrame, settings: Settings) -> Dat
                 held.append((part, outside, id_, found))
         yield _edges(held, key, settings.percent)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_batches(rows, run, "a long, b long")
 
 
 def _edges(rows: list[tuple[int, bool, int, np.ndarray]], key: list | None, percent: int) -> pa.RecordBatch:

@@ -17,13 +17,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tsquant.llm.arrow import TwoGenerations, text_slices
+from tsquant.llm.arrow import TwoGenerations, held, map_batches, text_slices
 from tsquant.llm.bpe import WHITE, WORD
 
 #: Words a Python worker remembers in each of two generations.
@@ -124,10 +123,9 @@ def splice(text: str, left: list[Token], right: list[Token], start: int, end: in
     return None
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    """One counter for each file and Python worker."""
-    return Counter(path)
+    """The counter of a file, kept by the Python worker."""
+    return held(("counts", path), lambda: Counter(path))
 
 
 def token_counts(
@@ -163,4 +161,4 @@ def token_counts(
 
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     schema = f"id {kind}, n_bytes long, n_tokens long, over_limit boolean"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return map_batches(rows, run, schema).withColumnRenamed("id", id_column)

@@ -22,6 +22,8 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from tsquant.llm.arrow import map_batches
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
@@ -227,7 +229,7 @@ def read_records(spark: SparkSession, path: str, *, payloads: bool = True) -> Da
                     yield out(held)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, schema)
+    return map_batches(files, run, schema)
 
 
 def assemble(records: DataFrame) -> DataFrame:
