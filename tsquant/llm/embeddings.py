@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsquant.llm.arrow import map_batches
 from tsquant.llm.components import components
 from tsquant.llm.scratch import Scratch
 
@@ -209,7 +210,7 @@ def near_vectors(
         F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),
     )
     out = scratch.table(out, "result")
-    scratch.drop("classes", "leads", "found", "placed")
+    scratch.drop("classes", "leads", "found", "wide")
     return out
 
 
@@ -225,13 +226,15 @@ def _linked(leads: DataFrame, codes: Codes, threshold: float, scratch: Scratch)
                 lists = pa.ListArray.from_arrays(ends, pa.array(found.ravel(), pa.int64()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "many", "vector", "codes"])
 
-    coded = leads.mapInArrow(code, "id long, many long, vector array<double>, codes array<long>")
+    coded = map_batches(leads, code, "id long, many long, vector array<double>, codes array<long>")
     placed = coded.select("id", "many", "vector", "codes", F.posexplode("codes").alias("place", "key"))
     # A bucket beyond a block is compared part by part; parts are told by the id.
     wide = coded.select(F.posexplode("codes").alias("place", "key")).groupBy("place", "key").count()
     wide = wide.where(F.col("count") > BLOCK).select(
         "place", "key", F.ceil(F.col("count") / (BLOCK // 2)).cast("int").alias("parts")
     )
+    # Written, so that its size is known: while it is small, no vector moves for the join.
+    wide = scratch.table(wide, "wide")
     placed = placed.join(wide, ["place", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     others = F.transform(
@@ -250,6 +253,6 @@ def _linked(leads: DataFrame, codes: Codes, threshold: float, scratch: Scratch)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.nulls(len(ids), pa.int64())], ["x", "y", "z"])
                 yield pa.RecordBatch.from_arrays([pa.array(a), nothing, pa.array(b)], ["x", "y", "z"])
 
-    found = scratch.table(sorted_rows.mapInArrow(compare, "x long, y long, z long"), "found")
+    found = scratch.table(map_batches(sorted_rows, compare, "x long, y long, z long"), "found")
     degrees = found.where("y IS NOT NULL").groupBy(F.col("x").alias("id")).agg(F.sum("y").alias("links"))
     return degrees, found.where("z IS NOT NULL").select(F.col("x").alias("a"), F.col("z").alias("b")).distinct()
