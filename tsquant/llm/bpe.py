@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from tsquant.llm.arrow import TwoGenerations, held, map_batches, text_slices
 
 #: Words a Python worker remembers in each of two generations.
-WORDS = 200_000
+WORDS = 150_000
 #: Pairs of tokens whose compatibility a Python worker remembers.
-PAIRS = 300_000
+PAIRS = 200_000
 #: Endings of prefixes whose tokens a Python worker remembers.
 STEPS = 200_000
 

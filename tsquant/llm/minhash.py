@@ -33,9 +33,9 @@ from tsquant.llm.components import components
 from tsquant.llm.scratch import Scratch
 
 #: Words a Python worker remembers in each of two generations.
-WORDS = 200_000
+WORDS = 100_000
 #: Members compared with one leader in one task at most.
-STAR = 4096
+STAR = 2048
 MASK = (1 << 64) - 1
 
 

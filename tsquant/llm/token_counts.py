@@ -26,7 +26,7 @@ from tsquant.llm.arrow import TwoGenerations, held, map_batches, text_slices
 from tsquant.llm.bpe import WHITE, WORD
 
 #: Words a Python worker remembers in each of two generations.
-WORDS = 500_000
+WORDS = 300_000
 #: A longer text is encoded in chunks of so many characters.
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512

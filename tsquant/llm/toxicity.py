@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsquant.llm.arrow import TwoGenerations, text_slices
+from tsquant.llm.arrow import TwoGenerations, held, map_batches, text_slices
+from tsquant.llm.scratch import Scratch
 
 #: Labelled documents of each class that weights are learned from, at most.
 SAMPLE = 6000
@@ -42,7 +43,7 @@ ACCIDENT = 0.01
 #: Beginnings of words that are evidence of their own.
 PREFIXES = (4, 5, 6, 7)
 #: Words a Python worker remembers in each of two generations.
-WORDS = 300_000
+WORDS = 100_000
 #: Longest run of signs taken as one word in disguise.
 DISGUISE_CHARS = 200
 
@@ -99,7 +100,7 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["gram", "n"])
 
-    return docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return map_batches(docs, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class LanguageModel:
@@ -292,8 +293,9 @@ def fit(
 
         return run
 
-    places = toxic.mapInArrow(surroundings, "name string, before long, after long, n long")
-    places = places.groupBy("name", "before", "after").agg(F.sum("n").alias("n"))
+    places = map_batches(toxic, surroundings, "name string, before long, after long, n long")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    places = scratch.table(places.groupBy("name", "before", "after").agg(F.sum("n").alias("n")), "places")
     usual = F.max_by(F.struct("before", "after"), F.struct("n", "before", "after"))
     by_name = places.groupBy("name").agg(usual.alias("usual"), F.count(F.lit(1)).alias("places")).where(F.col("places") >= LEAST_SEEN)
     # Copies of a text change one neighbour at a time; a place of its own differs in both.
@@ -301,8 +303,9 @@ def fit(
     novel = places.join(by_name, "name").where(own_place).groupBy("name").agg(F.countDistinct("before", "after").alias("n"))
     novel = novel.where(F.col("n") + 1 >= LEAST_SEEN).orderBy(F.desc("n"), "name").limit(FEATURES)
     seen = {r.name: r.n + 1 for r in novel.collect()}
-    held = clean.mapInArrow(frequencies(frozenset(seen)), "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    against = {r.name: r.n for r in held.collect()}
+    scratch.drop("places")
+    found = map_batches(clean, frequencies(frozenset(seen)), "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    against = {r.name: r.n for r in found.collect()}
     bad, good = min(bad, sample), min(good, sample)
     clear = math.log(max(len(seen), 1) / ACCIDENT)
     weights = {}
@@ -339,15 +342,9 @@ class Scorer:
         return [1 / (1 + math.exp(-max(-50.0, min(50.0, e + self.model.prior)))) for e in evidence]
 
 
-_SCORERS: dict[tuple, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
-    """One scorer for each model and Python worker; an older one goes."""
-    if model.key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.key] = Scorer(model)
-    return _SCORERS[model.key]
+    """The scorer of a model, kept by the Python worker."""
+    return held(("toxicity", model.key), lambda: Scorer(model))
 
 
 def score(
@@ -379,5 +376,5 @@ def score(
 
     kept = [docs[name].alias(k) for k, name in zip(names, (id_column, *keep))]
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds)) + ", score double, predicted int"
-    rows = docs.select(docs[text_column].alias("text"), *kept).mapInArrow(run, schema)
+    rows = map_batches(docs.select(docs[text_column].alias("text"), *kept), run, schema)
     return rows.toDF(id_column, *keep, "score", "predicted")
