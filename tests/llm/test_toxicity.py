@@ -108,3 +108,41 @@ def test_odd_rows_and_labels(spark):
         assert model.weights == {} and T.score(no_documents(spark), model).collect() == []
     kept = T.score(documents(spark), model, keep=("text",)).collect()
     assert sorted(((r.doc_id or 0, r.text or "") for r in kept)) == sorted((i or 0, t or "") for i, t in ODD_TEXTS)
+
+
+def test_clean_documents_stay_on_a_larger_table(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = T.fit(docs, labels)
+    held = docs.join(labels, "doc_id").where(~T.train_side(docs["doc_id"])).select(docs["doc_id"], "text", "toxic")
+    rows = T.score(held, model, keep=("toxic",)).collect()
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    toxic = [r.predicted for r in rows if r.toxic == 1]
+    assert sum(clean) <= 0.002 * len(clean) and sum(toxic) >= 0.75 * len(toxic), (sum(clean), len(clean), sum(toxic), len(toxic))
+
+
+def test_weak_evidence_alone_rejects_nothing(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    rows = []
+    for i in range(1800):
+        own = [rng.choice(words) for _ in range(30)]
+        toxic = int(i % 9 == 0)
+        if toxic:
+            own[3:3] = ["villain"] if i % 2 else ["rarely"] if i % 8 == 0 else ["pitfall", rng.choice(words), "loser"]
+        elif i % 150 == 1:
+            own[5:5] = ["rarely"]
+        elif i % 100 == 2:
+            own[5:5] = ["losesart"]
+        elif i % 3 == 1:
+            own[9:9] = ["orchard"]
+        rows.append((i, " ".join(own), toxic))
+    docs, labels = documents(spark, [r[:2] for r in rows]), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    assert "villain" in model.weights and "loser" in model.weights
+    assert "lose*" not in model.weights  # a beginning of clean words too
+    assert model.weights["orchard"] < 0  # clean words count against
+    own = T.Scorer(model)
+    alone, together, strong, against = own.scores(["so rarely", "rarely pitfall", "a villain", "villain orchard"])
+    assert alone < 0.7 <= together and strong >= 0.7 and against < strong
+    assert own.scores(["losesartaga"])[0] < 0.7

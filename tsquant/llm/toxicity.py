@@ -6,11 +6,14 @@
    repeated) become lattices: for every place the letters that may have been meant,
    with what the disguise costs. The best path under costs and model is the word that
    is scored instead, beside the words that need no restoring.
-3. A bounded sample of labelled documents gives weights: the log-odds of words, and of
-   beginnings of words, between toxic and other documents. What counts is in how many
-   different surroundings a word stands, so that copies of one text teach no more than
-   the text. Only clear evidence is kept.
-4. The score is the logistic of the prior log-odds and the weights of the distinct
+3. A bounded sample of labelled documents gives weights: the log-odds of words between
+   toxic and clean documents, for toxic ones also of beginnings of words that no clean
+   document has. What counts is in how many different surroundings a word stands, so
+   that copies of one text teach no more than the text. Only clear evidence is kept.
+4. A weight is the bound nearer to zero of the log-odds, above it for words of toxic
+   and below it for words of clean documents. So few sightings weigh little, and one
+   word decides alone only if its bound outweighs the prior.
+5. The score is the logistic of the prior log-odds and the weights of the distinct
    words of a document.
 """
 
@@ -35,9 +38,12 @@ from tsquant.llm.scratch import Scratch
 SAMPLE = 6000
 #: Weights kept, at most, those of the strongest evidence.
 FEATURES = 50_000
-#: Surroundings a word needs among toxic documents, and the log-odds it must reach.
+#: Surroundings a word needs among the documents of its class.
 LEAST_SEEN = 4
-LEAST_WEIGHT = 3.0
+#: Deviations of the log-odds between their estimate and the bound that counts (one-sided 95%).
+DEVIATIONS = 1.645
+#: Sightings a task counts before it hands them on.
+SIGHTINGS = 200_000
 #: Chance that any word at all passes as evidence by accident.
 ACCIDENT = 0.01
 #: Beginnings of words that are evidence of their own.
@@ -256,71 +262,86 @@ def fit(
     clean = rows.join(F.broadcast(chosen[False]), "id", "left_semi")
     reader = LanguageModel(trigrams)
 
-    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Reader(reader)
-        seen: Counter = Counter()
-        for part in text_slices(batches):
-            texts = [text or "" for text in part.column(1).to_pylist()]
-            for text, extra in zip(texts, own.extra(texts), strict=True):
-                words = WORD.findall(text.lower())
-                first: dict[str, tuple[int, int]] = {}
-                for at, word in enumerate(words):
-                    for name in features(word):
-                        if name not in first:
-                            before, after = words[at - 1] if at else "", words[at + 1] if at + 1 < len(words) else ""
-                            first[name] = crc32(before.encode()), crc32(after.encode())
-                for word in extra:
-                    for name in features(word.lower()):
-                        first.setdefault(name, (crc32(text[:200].encode()), crc32(text[-200:].encode())))
-                seen.update((name, *place) for name, place in first.items())
-        for start in range(0, len(seen), 50_000):
-            part = [*seen.items()][start : start + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*((*k, n) for k, n in part)), (pa.string(), pa.int64(), pa.int64(), pa.int64()))],
-                ["name", "before", "after", "n"],
-            )
-
-    def frequencies(names: frozenset[str]):
+    def surroundings(beginnings: bool):
+        """Where words stand first; beginnings too, or only how many documents have them."""
+
+        def handed_on(seen: Counter) -> Iterator[pa.RecordBatch]:
+            for start in range(0, len(seen), 50_000):
+                part = [*seen.items()][start : start + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*((*k, n) for k, n in part)), (pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+                    ["name", "before", "after", "n"],
+                )
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Reader(reader)
             seen: Counter = Counter()
             for part in text_slices(batches):
                 texts = [text or "" for text in part.column(1).to_pylist()]
                 for text, extra in zip(texts, own.extra(texts), strict=True):
-                    words = {*WORD.findall(text.lower()), *(w.lower() for w in extra)}
-                    seen.update({name for word in words for name in features(word) if name in names})
-            yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.string()), pa.array([*seen.values()], pa.int64())], ["name", "n"])
+                    words = WORD.findall(text.lower())
+                    first: dict[str, tuple[int, int]] = {}
+                    for at, word in enumerate(words):
+                        for name in features(word) if beginnings else (word,):
+                            if name not in first:
+                                before, after = words[at - 1] if at else "", words[at + 1] if at + 1 < len(words) else ""
+                                first[name] = crc32(before.encode()), crc32(after.encode())
+                    for word in extra:
+                        for name in features(word.lower()) if beginnings else (word.lower(),):
+                            first.setdefault(name, (crc32(text[:200].encode()), crc32(text[-200:].encode())))
+                    if not beginnings:
+                        first.update({name: (0, 0) for word in [*first] for name in features(word)[1:]})
+                    seen.update((name, *place) for name, place in first.items())
+                    if len(seen) >= SIGHTINGS:
+                        yield from handed_on(seen)
+                        seen.clear()
+            yield from handed_on(seen)
 
         return run
 
-    places = map_batches(toxic, surroundings, "name string, before long, after long, n long")
+    kind = "name string, before long, after long, n long"
+    sides = [
+        map_batches(rows, surroundings(side), kind).withColumn("toxic", F.lit(side)) for rows, side in ((toxic, True), (clean, False))
+    ]
     scratch = Scratch(docs.sparkSession, "toxicity")
-    places = scratch.table(places.groupBy("name", "before", "after").agg(F.sum("n").alias("n")), "places")
+    places = sides[0].union(sides[1]).groupBy("toxic", "name", "before", "after").agg(F.sum("n").alias("n"))
+    places = scratch.table(places, "places")
     usual = F.max_by(F.struct("before", "after"), F.struct("n", "before", "after"))
-    by_name = places.groupBy("name").agg(usual.alias("usual"), F.count(F.lit(1)).alias("places")).where(F.col("places") >= LEAST_SEEN)
+    by_name = places.groupBy("toxic", "name").agg(usual.alias("usual"), F.count(F.lit(1)).alias("places"), F.sum("n").alias("docs"))
+    often = by_name.where(F.col("places") >= LEAST_SEEN).select("toxic", "name", "usual")
     # Copies of a text change one neighbour at a time; a place of its own differs in both.
     own_place = (F.col("before") != F.col("usual.before")) & (F.col("after") != F.col("usual.after"))
-    novel = places.join(by_name, "name").where(own_place).groupBy("name").agg(F.countDistinct("before", "after").alias("n"))
-    novel = novel.where(F.col("n") + 1 >= LEAST_SEEN).orderBy(F.desc("n"), "name").limit(FEATURES)
-    seen = {r.name: r.n + 1 for r in novel.collect()}
+    novel = places.join(often, ["toxic", "name"]).where(own_place).groupBy("toxic", "name").agg(F.count(F.lit(1)).alias("n"))
+    novel = novel.where(F.col("n") + 1 >= LEAST_SEEN)
+    other = by_name.select((~F.col("toxic")).alias("toxic"), "name", F.col("docs").alias("other"))
+    found = novel.join(other, ["toxic", "name"], "left").select("toxic", "name", F.col("n") + 1, F.coalesce("other", F.lit(0)))
+    found = scratch.table(found.toDF("toxic", "name", "n", "other"), "evidence")
     scratch.drop("places")
-    found = map_batches(clean, frequencies(frozenset(seen)), "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    against = {r.name: r.n for r in found.collect()}
+    clear = math.log(max(found.count(), 1) / ACCIDENT)
     bad, good = min(bad, sample), min(good, sample)
-    clear = math.log(max(len(seen), 1) / ACCIDENT)
-    weights = {}
-    for name, n in seen.items():
-        n, other = min(n, bad), against.get(name, 0)
-        weight = math.log((n + 0.5) / (bad + 1)) - math.log((other + 0.5) / (good + 1))
-        if weight >= LEAST_WEIGHT and surprise(n, other, bad / (bad + good)) >= clear:
-            weights[name] = weight
+    size, rest = (F.when(F.col("toxic"), a).otherwise(b).cast("double") for a, b in ((bad, good), (good, bad)))
+    found = found.withColumns({"n": F.least(F.col("n").cast("double"), size), "other": F.least(F.col("other").cast("double"), rest)})
+    found = found.withColumn("bound", log_odds_bound(F.col("n"), size, F.col("other"), rest))
+    found = found.where((F.col("bound") > 0) & (surprise(F.col("n"), F.col("other"), size / (size + rest)) >= clear))
+    # A beginning of words of clean documents is no evidence of its own.
+    found = found.where(~(F.col("name").endswith("*") & (F.col("other") > 0)))
+    found = found.orderBy(F.desc("bound"), "name").limit(FEATURES)
+    weights = {r.name: r.bound if r.toxic else -r.bound for r in found.collect()}
+    scratch.drop("evidence")
     return Model(trigrams, weights, prior)
 
 
-def surprise(n: int, other: int, share: float) -> float:
-    """Bound on -log of the chance that n of n + other draws are toxic, which have that share."""
+def log_odds_bound(n: Column, size: Column, other: Column, rest: Column) -> Column:
+    """Lower bound of the log-odds of `n` among `size` documents against `other` among `rest`."""
+    estimate = F.log((n + 0.5) / (size + 1)) - F.log((other + 0.5) / (rest + 1))
+    return estimate - DEVIATIONS * F.sqrt(1 / (n + 0.5) - 1 / (size + 1) + 1 / (other + 0.5) - 1 / (rest + 1))
+
+
+def surprise(n: Column, other: Column, share: Column) -> Column:
+    """Bound on -log of the chance that n of n + other draws are of the class, which has that share."""
     seen = n / (n + other)
-    return (n + other) * sum(p * math.log(p / q) for p, q in ((seen, share), (1 - seen, 1 - share)) if p)
+    unseen = F.when(other > 0, (1 - seen) * F.log((1 - seen) / (1 - share))).otherwise(0.0)
+    return (n + other) * (seen * F.log(seen / share) + unseen)
 
 
 class Scorer:
@@ -330,7 +351,7 @@ class Scorer:
         self.model = model
         self.reader = Reader(LanguageModel(model.trigrams))
         weights = model.weights
-        best = lambda word: max((weights.get(name, 0.0) for name in features(word)), default=0.0)
+        best = lambda word: max((weights[name] for name in features(word) if name in weights), default=0.0)
         self.memo = TwoGenerations(lambda words: [best(word) for word in words], WORDS)
 
     def scores(self, texts: list[str]) -> list[float]:
