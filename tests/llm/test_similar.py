@@ -1,6 +1,7 @@
 """Near-duplicate documents and vectors, and components, against all pairs."""
 
 import collections
+import math
 import random
 
 import numpy as np
@@ -179,3 +180,33 @@ def test_recall_of_the_tables():
     assert (codes.of(a) == codes.of(pairs)).any(axis=1).mean() >= 0.97
     ones = np.unpackbits(codes.of(sample).astype("<u2").view(np.uint8)).mean()
     assert 0.48 < ones < 0.52
+
+
+@pytest.mark.parametrize("length", [0.7, 0.9])
+def test_vectors_of_one_common_direction(spark, length):
+    """Centring widens angles; links are found all the same, and no substring is too long for that."""
+    rng = np.random.default_rng(7)
+    common = np.zeros(64)
+    common[0] = length
+    base = rng.normal(size=(1500, 64))
+    base[:, 0] = 0
+    base = common + math.sqrt(1 - length**2) * base / np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.normal(size=base.shape)
+    away -= (away * base).sum(axis=1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    near = 0.951 * base + math.sqrt(1 - 0.951**2) * away
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = all_vectors(rows)
+    links = sum(n for n, _, _ in want.values())
+    assert links >= 3000 and all(r.n_links <= want[r.vec_id][0] for r in found)
+    assert sum(r.n_links for r in found) >= 0.98 * links
+
+
+def test_one_bucket_where_no_table_is_enough(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "MOST_TABLES", 1)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, (base[i % 40] + rng.normal(size=16) * 0.15).tolist()) for i in range(400)]
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found} == all_vectors(rows)

@@ -7,7 +7,10 @@
 3. The bits are cut into substrings, one table for each: vectors with an equal
    substring share a bucket. Substrings have log2 of the number of leaders bits, and
    there are as many tables as a pair at the threshold needs to be met with
-   probability `recall`.
+   probability `recall`, as measured on pairs made from the sample: centring widens
+   angles where vectors share a direction. Where that would take more than
+   `MOST_TABLES`, substrings are shorter and buckets wider, down to one bucket that
+   holds all pairs.
 4. Buckets are compared block by block with the original vectors in double precision.
    A pair counts in the first table in which it meets, so no list of pairs exists:
    tasks return the number of links of each vector and a spanning forest of them.
@@ -33,6 +36,10 @@ SAMPLE = 20_000
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2048
 ROUNDS = 30
+#: Tables at most, since every vector goes to each.
+MOST_TABLES = 96
+#: Pairs of each kind that recall is measured on.
+PAIRS = 4000
 
 
 class Codes:
@@ -56,7 +63,12 @@ class Codes:
             turns.append(axes.T @ turn)
         # Bits of different rotations are mixed, so that substrings fail independently.
         order = random.permutation(size * len(turns))[: bits * tables]
-        self.planes = np.concatenate(turns, axis=1)[:, order]
+        self.pool = np.concatenate(turns, axis=1)[:, order]
+        self.cut(bits, tables)
+
+    def cut(self, bits: int, tables: int) -> None:
+        """Takes substrings of so many of the bits learned."""
+        self.planes = self.pool[:, : bits * tables]
         self.bits, self.tables = bits, tables
 
     def of(self, vectors: np.ndarray) -> np.ndarray:
@@ -76,6 +88,52 @@ def tables_needed(bits: int, threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - equal)))
 
 
+def pairs_at(sample: np.ndarray, threshold: float, count: int, seed: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors of the sample and others at the threshold: in any direction, and where the sample varies."""
+    random = np.random.default_rng(seed)
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    one, two, base = (unit[random.integers(len(unit), size=count)] for _ in range(3))
+    out = []
+    for away in (random.normal(size=base.shape), one - two):
+        away = away - (away * base).sum(axis=1, keepdims=True) * base
+        length = np.linalg.norm(away, axis=1)
+        some = length > 1e-6
+        if some.any():
+            away = away[some] / length[some, None]
+            out.append((base[some], threshold * base[some] + math.sqrt(max(0.0, 1 - threshold**2)) * away))
+    return out
+
+
+def codes_for(sample: np.ndarray, bits: int, threshold: float, recall: float) -> Codes:
+    """Codes of `bits` or less in each table, whose tables let pairs at the threshold meet."""
+    pairs = pairs_at(sample, threshold, PAIRS)
+
+    def enough(codes: Codes, bits: int, most: int) -> int | None:
+        """Least number of tables with which every kind of pair is met with probability `recall`."""
+        needed = 1
+        for a, b in pairs:
+            equal = np.logical_not(np.logical_xor(*((v - codes.mean) @ codes.pool >= 0 for v in (a, b))))
+            met = equal[:, : bits * most].reshape(len(a), most, bits).all(axis=2)
+            reached = np.logical_or.accumulate(met, axis=1).mean(axis=0)
+            if reached[-1] < recall:
+                return None
+            needed = max(needed, int((reached >= recall).argmax()) + 1)
+        return needed
+
+    tables = min(MOST_TABLES, tables_needed(bits, threshold, recall))
+    codes = Codes(sample, bits, tables)
+    if enough(codes, bits, tables):
+        return codes
+    codes = Codes(sample, bits, MOST_TABLES)
+    for fewer in range(bits, 0, -1):
+        tables = enough(codes, fewer, MOST_TABLES)
+        if tables:
+            codes.cut(fewer, tables)
+            return codes
+    codes.cut(0, 1)  # one bucket of all
+    return codes
+
+
 def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Runs of rows with one key, from batches sorted by key."""
     held: dict[str, np.ndarray] | None = None
@@ -192,9 +250,9 @@ def near_vectors(
     result = named.select("id", "good", "h1", "h2")
     if count > 1:
         bits = max(4, math.ceil(math.log2(count)))
-        tables = tables_needed(bits, threshold, recall)
         chosen = leads.orderBy(F.xxhash64("id")).limit(sample) if count > sample else leads
-        codes = Codes(np.array([r.vector for r in chosen.select("vector").toLocalIterator()]), bits, tables)
+        codes = codes_for(np.array([r.vector for r in chosen.select("vector").toLocalIterator()]), bits, threshold, recall)
+        codes.pool = codes.planes  # what tasks need
         degrees, edges = _linked(leads, codes, threshold, scratch)
         found = components(edges, scratch)
     else:
