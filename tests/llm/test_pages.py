@@ -50,6 +50,18 @@ def test_odd_markup(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize("name", ["page no-sidebar", "has-sidebar", "site-with-menu", "search-result"])
+def test_names_that_only_mention_a_part(name):
+    html = f"<body><div class='{name}'><p>The text of the page stands here.</p></div><div class='site-footer'>End</div></body>"
+    assert main_text(html) == "The text of the page stands here."
+
+
+@pytest.mark.parametrize("head", ["<header class='entry-header'>{}</header>", "<div class='article-header'>{}</div>"])
+def test_headline_blocks_of_an_article(head):
+    html = f"<article>{head.format('<h1>Headline</h1>')}<p>Text of it.</p><div class='ad-box'>Buy</div></article>"
+    assert main_text(html) == "Headline\nText of it."
+
+
 def test_smoothing_keeps_a_constant():
     assert smooth([3.0] * 7) == pytest.approx([3.0] * 7)
     assert smooth([5.0]) == pytest.approx([5.0])

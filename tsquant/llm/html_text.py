@@ -48,6 +48,8 @@ HIDDEN_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended share sharing social "
     "header masthead footer copyright login signup form search pagination pager hidden".split()
 )
+# In a name, what follows these is only mentioned.
+REMARKS = frozenset("no not non without with has have".split())
 COMMENT_NAMES = frozenset("comment comments commentlist respond replies disqus discussion reviews".split())
 REGIONS = frozenset(("article", "main"))
 CONTAINERS = frozenset("body div section td blockquote".split())
@@ -132,12 +134,21 @@ class _Lines(HTMLParser):
                 if tag not in ("html", "body"):
                     if any(word in COMMENT_NAMES for word in words):
                         return COMMENT
-                    if tag not in REGIONS and any(word in HIDDEN_NAMES for word in words):
+                    if tag not in REGIONS and any(map(self.names_beside, (value or "").lower().split())):
                         return BESIDE
             elif name == "role" and (value or "").lower() in HIDDEN_ROLES or name == "hidden":
                 return BESIDE
         return PLAIN
 
+    def names_beside(self, token: str) -> bool:
+        """Whether one class or id names a part beside the article, and not the article's headline or a layout."""
+        words = NAME.findall(token)
+        remark = next((at for at, word in enumerate(words) if word in REMARKS), len(words))
+        hidden = HIDDEN_NAMES.intersection(words[:remark])
+        if words and words[-1] in ("result", "results"):
+            hidden -= {"search"}
+        return bool(hidden - {"header"} if self.region[0] in REGIONS else hidden)
+
     def close_implied(self, tag: str) -> None:
         """Elements whose end tag may be left out end where the next one starts."""
         for at in range(len(self.stack) - 1, -1, -1):  # any block ends a paragraph
