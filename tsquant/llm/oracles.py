@@ -167,6 +167,55 @@ SELECT page_id, url, coalesce(array_to_string(b, chr(10)), '') AS text,
        length(coalesce(array_to_string(b, chr(10)), ''))::BIGINT AS n_chars
 FROM blocks"""
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+LEXICAL = f"""
+WITH terms AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+facts AS (SELECT count(*) FILTER (len(t) > 0) AS docs, sum(len(t))::BIGINT AS total FROM terms),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+held AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM terms)
+         WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM held, facts GROUP BY term, docs),
+scores AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN held USING (term), facts GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 20"""
+
+# CRC-32 of the digits of an id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+  lambda u, z: xor(u // 2, 3988292384 * (u % 2)))))"""
+# Stretches of equal words at a distance, found through factors of four words.
+RUNS = rf"""
+WITH plain AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC} AS h FROM documents),
+sized AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g FROM plain),
+placed AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM sized),
+words AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+    list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END)
+    ELSE w END AS w FROM placed),
+fours AS (SELECT doc_id, i, hash(w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS f
+          FROM (SELECT doc_id, w, unnest(range(0, n - 3)) AS i FROM words)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM fours x JOIN fours y ON x.doc_id = y.doc_id AND x.f = y.f AND y.i > x.i),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS s, max(i) + 4 + q AS e FROM islands GROUP BY doc_id, q, island),
+runs AS (SELECT doc_id, s, e - s AS l, min(q) AS q FROM stretches WHERE e - s >= greatest(12, 2 * q) GROUP BY doc_id, s, e),
+by_doc AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+         list({{'l': l, 's': s, 'q': q}} ORDER BY l DESC, s, q)[1] AS top
+  FROM runs GROUP BY doc_id),
+dropped AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s + q, s + l)) AS i FROM runs) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS text
+  FROM (SELECT doc_id, unnest(w) AS v, unnest(range(0, n)) AS i FROM words) ANTI JOIN
+       (SELECT doc_id, unnest(gone) AS i FROM dropped) USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, top.l AS length, top.q AS period,
+       (1000 * top.l) // top.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM words LEFT JOIN by_doc USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op5_html_text": PAGE_TEXT,
@@ -174,4 +223,6 @@ ORACLES: dict[str, str] = {
     "op8_near_vectors": NEAR_VECTORS,
     "op9_secrets": SECRETS,
     "op10_warc": WARC,
+    "op11_lexical_search": LEXICAL,
+    "op12_periodic_runs": RUNS,
 }

@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquant.llm import pii, secret_scan, toxicity, warc
+from tsquant.llm import pii, quality, secret_scan, toxicity, warc
 from tsquant.llm.bpe import decode, encode
 from tsquant.llm.decontaminate import benchmark_hits
 from tsquant.llm.embeddings import near_vectors
 from tsquant.llm.html_text import extract_text
+from tsquant.llm.lexical import ranked_search
 from tsquant.llm.minhash import Settings, near_duplicates
 from tsquant.llm.pii import find_personal_data
+from tsquant.llm.runs import periodic_runs
 from tsquant.llm.scratch import Scratch
 from tsquant.llm.secret_scan import scan_secrets
 from tsquant.llm.spans import joined
@@ -106,6 +108,51 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def with_echoes(docs: DataFrame) -> DataFrame:
+    """Id and text; in one of ten texts, chosen by the id, the words from some place on repeat
+    with some period, as the contract of the query has it."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    n, g = F.size(words), F.floor(F.col("h") / 10)
+    at = F.pmod(g, n).cast("int")
+    period = (F.floor((n - at) / (F.pmod(g, F.lit(8)) + 3)) + 1).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(words, at + 1, period), F.ceil((n - at) / period).cast("int")))
+    echoed = F.concat_ws(" ", F.slice(F.concat(F.slice(words, 1, at), tail), 1, n))
+    return chosen.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), echoed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_echoes(table(spark, sf_dir, "documents")), collapse=True)
+    runs = F.col("runs")
+    longest = F.array_max(
+        F.transform(runs, lambda r: F.struct(r["length"], -r["start"], -r["period"], r["period"].alias("q")))
+    )
+    line = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), longest.alias("top"), line.alias("lines"), "collapsed"
+    ).select(
+        "doc_id",
+        "n_runs",
+        (-F.col("top")["col2"]).alias("start"),
+        F.col("top")["length"].alias("length"),
+        F.col("top")["q"].alias("period"),
+        F.floor(F.col("top")["length"] * 1000 / F.col("top")["q"]).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("lines", lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = Scratch(spark, "quality").table(quality.quality_counts(table(spark, sf_dir, "documents")), "counts")
+    judged = quality.judge(counts, quality.fit(counts))
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *shown, "base_failed", "kept", "good")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
@@ -117,4 +164,7 @@ QUERIES: dict[str, Query] = {
     "op8_near_vectors": op8_near_vectors,
     "op9_secrets": op9_secrets,
     "op10_warc": op10_warc,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
