@@ -8,12 +8,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from support import BARS, START, near, random_bars
 
-from tsquant.functions.series import Series
 from tsquant.operators import bars as B
 from tsquant.operators import indicators as I
 from tsquant.sources.tables import read_bars
 from tsquant.streaming.bars import read_tick_stream, stream_bars
-from tsquant.streaming.indicators import advance, output_schema, read_state, stream_indicators
+from tsquant.streaming.indicators import output_schema, read_state, stream_indicators
 from tsquant.streaming.run import drain
 
 TICK = "symbol string, timestamp timestamp, price double, volume bigint, id bigint"
@@ -71,32 +70,38 @@ class Run:
 
     def __init__(self, spark, folder, root):
         self.spark, self.folder = spark, folder
-        self.table, self.state, self.checkpoint = (str(root / n) for n in ("out", "state", "check"))
+        self.table, self.checkpoint = (str(root / n) for n in ("out", "check"))
 
-    def __call__(self, period=12, series=None):
+    def __call__(self, period=12):
         schema = self.spark.read.parquet(str(self.folder)).schema
         stream = read_tick_stream(self.spark, str(self.folder), schema, 1)
-        query = stream_indicators(stream, self.table, self.state, self.checkpoint, period, series=series)
+        query = stream_indicators(stream, self.table, self.checkpoint, period)
         query.awaitTermination()
+        return self.found(period)
+
+    def found(self, period=12):
         return self.spark.read.schema(output_schema(period)).parquet(self.table)
 
+    def state(self):
+        return {r["symbol"]: r for r in read_state(self.spark, self.checkpoint).collect()}
+
 
-@pytest.mark.parametrize("period, series", [(3, None), (12, Series(slot_micros=10**10, block_rows=16))])
-def test_indicators_over_several_batches(spark, tmp_path, period, series):
+@pytest.mark.parametrize("period", [3, 12])
+def test_indicators_over_several_batches(spark, tmp_path, period):
     rows = sorted(random_bars({"A": 200, "B": 90, "C": 1}), key=lambda r: r[1])
     folder = tmp_path / "bars"
     for part in range(3):
         land(spark, folder, part, rows[part * 97 : (part + 1) * 97], BARS)
     name = f"EMA_{period}"
     run = Run(spark, folder, tmp_path)
-    found = {(r["symbol"], r["timestamp"]): r for r in run(period, series).collect()}
+    found = {(r["symbol"], r["timestamp"]): r for r in run(period).collect()}
     batch = I.add_indicators(spark.createDataFrame(rows, BARS), [I.ema_indicator(period), I.obv_indicator()])
     expected = batch.collect()
     assert len(found) == len(expected) == 291
     for r in expected:
         mine = found[r["symbol"], r["timestamp"]]
         assert near(mine[name], r[name], 1e-12) and mine["OBV"] == r["OBV"]
-    assert {r["symbol"]: r["late_bars"] for r in read_state(spark, run.state, 2).collect()} == {"A": 0, "B": 0, "C": 0}
+    assert {k: r["late_bars"] for k, r in run.state().items()} == {"A": 0, "B": 0, "C": 0}
 
 
 def bar(minute, close, symbol="A"):
@@ -111,9 +116,10 @@ def test_late_bars_are_counted_not_emitted(spark, tmp_path):
     run = Run(spark, folder, tmp_path)
     found = run(3).where("symbol = 'A'").orderBy("timestamp").collect()
     assert [(r["EMA_3"], r["OBV"]) for r in found] == [(1.0, 0), (1.5, 10), (2.25, 20)]
-    state = {r["symbol"]: r for r in read_state(spark, run.state, 2).collect()}
+    state = run.state()
     assert state["A"]["late_bars"] == 3 and state["B"]["late_bars"] == 1
     assert state["A"]["ema"] == 2.25 and state["B"]["ema"] == 5.0
+    assert state["A"]["last_at"] == START + dt.timedelta(minutes=4)
 
 
 def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
@@ -128,16 +134,46 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert all(near(r["EMA_12"], batch[r["timestamp"]], 1e-12) for r in found.collect())
 
 
-def test_a_batch_run_again_changes_nothing(spark, tmp_path):
-    table, state = str(tmp_path / "out"), str(tmp_path / "state")
-    first = spark.createDataFrame([bar(1, 1.0), bar(2, 2.0)], BARS)
-    second = spark.createDataFrame([bar(3, 4.0)], BARS)
-    for number, batch in ((0, first), (0, first), (1, second), (1, second)):
-        advance(batch, number, table, state, 3)
-    found = spark.read.schema(output_schema(3)).parquet(table).orderBy("timestamp").collect()
-    assert [(r["EMA_3"], r["OBV"]) for r in found] == [(1.0, 0), (1.5, 10), (2.75, 20)]
-    with pytest.raises(PySparkException, match="not that of batch 3"):
-        read_state(spark, state, 3).collect()
+@pytest.mark.parametrize("written", [True, False])
+def test_a_batch_run_again_changes_nothing(spark, tmp_path, written):
+    """The driver is lost before the last batch is marked as done, after its output or before."""
+    folder = tmp_path / "bars"
+    rows = sorted(random_bars({"A": 60, "B": 20}), key=lambda r: r[1])
+    land(spark, folder, 0, rows[:50], BARS)
+    land(spark, folder, 1, rows[50:], BARS)
+    run = Run(spark, folder, tmp_path)
+    before, state = sorted(map(tuple, run().collect())), run.state()
+    for gone in [tmp_path / "check" / "commits", *([] if written else [tmp_path / "out" / "_spark_metadata"])]:
+        for file in (gone / "1", gone / ".1.crc"):
+            file.unlink(missing_ok=True)
+    assert len(run.found().collect()) == (80 if written else 50)
+    assert sorted(map(tuple, run().collect())) == before and run.state() == state
+
+
+def test_only_symbols_of_the_batch_are_touched(spark, tmp_path):
+    folder = tmp_path / "bars"
+    land(spark, folder, 0, [bar(1, 1.0, s) for s in "ABCDEF"], BARS)
+    run = Run(spark, folder, tmp_path)
+    run(3)
+    land(spark, folder, 1, [bar(2, 3.0, "B")], BARS)
+    schema = spark.read.parquet(str(folder)).schema
+    stream = read_tick_stream(spark, str(folder), schema, 1)
+    query = stream_indicators(stream, run.table, run.checkpoint, 3)
+    query.awaitTermination()
+    work = query.lastProgress["stateOperators"][0]
+    assert work["numRowsTotal"] == 6 and work["numRowsUpdated"] == 1
+    assert run.state()["B"]["ema"] == 2.0 and run.state()["A"]["ema"] == 1.0
+
+
+def test_a_price_that_is_not_finite_fails(spark, tmp_path):
+    land(spark, tmp_path / "bars", 0, [bar(1, float("nan"))], BARS)
+    with pytest.raises(PySparkException, match="not finite"):
+        Run(spark, tmp_path / "bars", tmp_path)()
+
+
+def test_null_volume_counts_nothing(spark, tmp_path):
+    land(spark, tmp_path / "bars", 0, [bar(1, 1.0), (*bar(2, 2.0)[:6], None), bar(3, 3.0)], BARS)
+    assert sorted(r["OBV"] for r in Run(spark, tmp_path / "bars", tmp_path)(3).collect()) == [0, 0, 10]
 
 
 def test_stream_into_the_bars_table(spark, tmp_path, ticks):

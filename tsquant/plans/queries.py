@@ -439,13 +439,12 @@ def stream_bars_query(spark: SparkSession, folder: str) -> DataFrame:
 def stream_indicators_query(spark: SparkSession, folder: str) -> DataFrame:
     """Two streams in a row: closed bars to a table, indicators from that table, both
     taken up again whenever ticks have landed."""
-    table = _work(spark, "stream-indicators")
-    state, checkpoint = _work(spark, "state"), _work(spark, "checkpoint")
+    table, checkpoint = _work(spark, "stream-indicators"), _work(spark, "checkpoint")
     for bars in _streamed_bars(spark, folder):
         path = bars.inputFiles()[0].rsplit("/", 1)[0] if bars.inputFiles() else None
         if path:
             closed = spark.readStream.schema(bars.schema).parquet(path)
-            stream_indicators(closed, table, state, checkpoint, series=HOURLY).awaitTermination()
+            stream_indicators(closed, table, checkpoint).awaitTermination()
     return show(spark.read.schema(output_schema()).parquet(table), *AT, "EMA_12", "OBV")
 
 
