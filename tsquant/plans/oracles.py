@@ -304,6 +304,11 @@ ORACLES: dict[str, str] = {
     SELECT symbol, "timestamp", {six('close', 'close')},
            volume + CASE WHEN date_bucket = '1996-03' THEN 100 ELSE 0 END AS volume
     FROM bars WHERE date_bucket BETWEEN '1996-01' AND '1996-06'""",
+    "upsert_bars": f"""WITH {DAILY}
+    SELECT symbol, "timestamp", {bar_columns('open, high, low, close')},
+           volume + CASE WHEN date_bucket = '1996-02' THEN 100 ELSE 0 END AS volume FROM bars""",
+    "trim_bars": f"""WITH {DAILY} SELECT symbol, "timestamp", {bar_columns()} FROM bars
+    WHERE "timestamp" >= TIMESTAMP '2001-08-01' - INTERVAL 100 DAYS""",
     "write_indicators": _records(("RSI", "MACD", "OBV")),
     "read_quote_csv": f"""WITH {DAILY}
     SELECT symbol, {six('close', 'price')}, {six('high', 'high')}, {six('low', 'low')}, "timestamp"

@@ -30,6 +30,7 @@ from tsquant.plans.views import DAILY, HOURLY, TICKS, bars_daily, bars_hourly, t
 from tsquant.schemas import CORRUPT
 from tsquant.sources import payloads as P
 from tsquant.sources import tables as S
+from tsquant.sources import upkeep as U
 from tsquant.streaming.bars import read_tick_stream, stream_bars
 from tsquant.streaming.indicators import output_schema, stream_indicators
 from tsquant.streaming.run import drain
@@ -172,6 +173,26 @@ def newest_load(spark: SparkSession, folder: str) -> DataFrame:
     return show(stored, *AT, "close", "volume")
 
 
+def upsert_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Three loads: all bars but those of a month; that month and the one before it, which
+    changes; the second load again."""
+    path = _work(spark, "bars")
+    bars = bars_daily(spark, folder)
+    U.upsert_table(bars.where("date_bucket <> '1996-03'"), path)
+    changed = F.col("volume") + F.when(F.col("date_bucket") == "1996-02", 100).otherwise(0)
+    again = bars.where("date_bucket IN ('1996-02', '1996-03')").withColumn("volume", changed)
+    for _ in range(2):
+        U.upsert_table(again.unionByName(again), path)
+    return show(S.read_bars(spark, path), *AT, *BAR)
+
+
+def trim_bars(spark: SparkSession, folder: str) -> DataFrame:
+    path = _work(spark, "bars")
+    S.append_table(bars_daily(spark, folder), path)
+    U.trim_table(spark, path, AS_OF, days=100)
+    return show(S.read_bars(spark, path), *AT, *BAR)
+
+
 def write_indicators(spark: SparkSession, folder: str) -> DataFrame:
     bars, records = _work(spark, "bars"), _work(spark, "records")
     S.append_table(bars_hourly(spark, folder), bars)
@@ -459,6 +480,8 @@ QUERIES: dict[str, Query] = {
     "read_chart_payloads": read_chart_payloads,
     "read_bars": read_bars,
     "newest_load": newest_load,
+    "upsert_bars": upsert_bars,
+    "trim_bars": trim_bars,
     "write_indicators": write_indicators,
     "read_quote_csv": read_quote_csv,
     "corrupt_report": corrupt_report,
