@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -61,6 +62,32 @@ def test_no_splice_without_a_whole_word_in_both():
     assert [t[2] for t in COUNTER.chunked(text, 40, 10)] == ids_of(text)
 
 
+@pytest.mark.parametrize("text", ["x" * 4_000_000, ("ab1" * 9_000 + " ") * 80, "é" * 70_000 + " end"])
+def test_texts_of_long_words_take_linear_time(text):
+    """No more than five calls of the library on the whole text; the least of three tries counts."""
+
+    def seconds(run):
+        took = []
+        for _ in range(3):
+            started = time.process_time()
+            run()
+            took.append(time.process_time() - started)
+        return min(took)
+
+    own, library = [], []
+    alone = seconds(lambda: library.append(ids_of(text)))
+    mine = seconds(lambda: own.append([t[2] for t in COUNTER.chunked(text)]))
+    assert own[0] == library[0]
+    assert mine < 5 * alone + 0.05
+
+
+def test_overlaps_move_behind_long_words():
+    long = "word " * 10 + "x" * 500 + " one two " + "y" * 300 + " " + "end " * 30
+    ids = ids_of(long)
+    for size, overlap in ((40, 10), (64, 32), (100, 20), (700, 5)):
+        assert [t[2] for t in COUNTER.chunked(long, size, overlap)] == ids
+
+
 def test_forgotten_words_are_encoded_again():
     own = Encoder(PATH)
     own.words.half = 3
@@ -76,7 +103,7 @@ def test_counts_of_odd_rows(spark):
 
 
 def test_round_trip_of_odd_rows(spark):
-    rows = decode(encode(documents(spark), PATH, digests=True), PATH).collect()
+    rows = decode(encode(documents(spark), PATH, digested=True), PATH).collect()
     assert len(rows) == len(ODD_TEXTS)
     found = sorted(((r.doc_id, r.ids, r.decoded, r.ids_sha256) for r in rows), key=repr)
     expected = []

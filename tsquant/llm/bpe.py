@@ -21,16 +21,22 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tsquant.llm.arrow import TwoGenerations, held, map_batches, text_slices
+from tsquant.llm.words import split_words, text_bytes
 
-#: Words a Python worker remembers in each of two generations.
-WORDS = 150_000
+#: Bytes of text whose words are gathered and encoded together.
+SLICE_CHARS = 8 << 20
+#: Words, and pieces of words, that a Python worker remembers in each of two generations.
+WORDS = 200_000
+PIECES = 200_000
 #: Pairs of tokens whose compatibility a Python worker remembers.
 PAIRS = 200_000
 #: Endings of prefixes whose tokens a Python worker remembers.
@@ -40,6 +46,8 @@ STEPS = 200_000
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 WORD = re.compile(f"[^{WHITE}]+")
+#: Those of them beyond ASCII.
+OTHER_WHITE = f"[{''.join(c for c in WHITE if c > '\x7f')}]"
 #: Letters of which no normal form changes and that lower case keeps one by one.
 LATIN = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 PLAIN = re.compile(f"[!-~{LATIN}]*")
@@ -57,6 +65,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         model = parts["model"]
@@ -82,6 +91,11 @@ class Encoder:
         spell = self.library.pre_tokenizer.pre_tokenize_str
         self.letters = {ord(letter): spell(letter)[0][0] for letter in LATIN.lower()}
         self.words = TwoGenerations(self.encode_words, WORDS)
+        self.parts = TwoGenerations(self.encode_pieces, PIECES)
+
+    @cached_property
+    def tokens(self) -> pa.Array:
+        return pa.array(vocabulary(self.path))
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Merging by rank, the pair of lowest rank first, from the left."""
@@ -115,19 +129,19 @@ class Encoder:
         """What the walk needs to know of a prefix that ends so.
 
         The longest end that starts some token, which is all that later steps depend
-        on, and the tokens that end here: within a piece, and at its end.
+        on, and the tokens that end here, longest first: within a piece, and at its end.
         """
         while ending not in self.starts:
             ending = ending[1:]
         found = self.ends.get(ending)
         if found is None:
-            tails = [ending[at:] for at in range(len(ending) - 1, -1, -1)]
+            tails = [ending[at:] for at in range(len(ending))]
             inner = tuple(t for t in tails if t in self.inner)
             found = self.ends[ending] = ending, inner, tuple(t + self.end for t in tails if t in self.final)
         return found
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        """Depth first over the trie of the pieces.
+    def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """Ids of pieces, by a walk depth first over their trie.
 
         last[i] is the last token of the encoding of the path's first i characters,
         ends[i] the end of that prefix as `step` gives it.
@@ -170,7 +184,7 @@ class Encoder:
                 left -= len(token)
             ids.reverse()
             out[piece] = tuple(ids)
-        return out
+        return [out[piece] for piece in pieces]
 
     def pieces(self, word: str) -> list[str | int]:
         """Pieces of a word as the pre-tokenizer gives them; a special string is its id."""
@@ -186,18 +200,47 @@ class Encoder:
                 out += [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         return out
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        cut = [self.pieces(word) for word in words]
-        known = self.encode_pieces({p for pieces in cut for p in pieces if isinstance(p, str)})
+    def cut_words(self, words: list[str]) -> list[list[str | int]]:
+        """`pieces` of many words; words of plain letters are cut in one go."""
+        plain = [word for word in words if PLAIN.fullmatch(word) and not ("<" in word and self.cut and self.cut.search(word))]
+        found = PLAIN_PIECE.findall("\n".join(plain).lower())
+        cut: dict[str, list[str | int]] = {}
+        at = 0
+        for word in plain:
+            pieces, left = [], len(word)
+            while left:
+                piece = found[at]
+                pieces.append(piece)
+                left -= len(piece)
+                at += 1
+            cut[word] = pieces if word.isascii() else [piece.translate(self.letters) for piece in pieces]
+        return [cut[word] if word in cut else self.pieces(word) for word in words]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each packed as little-endian 32-bit integers."""
+        cut = self.cut_words(words)
+        known = self.parts.of([p for pieces in cut for p in pieces if isinstance(p, str)])
         return [
-            tuple(chain.from_iterable(known[p] if isinstance(p, str) else (p,) for p in pieces))
+            np.fromiter(chain.from_iterable(known[p] if isinstance(p, str) else (p,) for p in pieces), "<i4").tobytes()
             for pieces in cut
         ]
 
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and where each text's start (and the last ends)."""
+        words = split_words(pc.replace_substring_regex(pc.fill_null(texts, ""), OTHER_WHITE, " "))
+        distinct = words.spelled.to_pylist()
+        known = self.words.of(distinct)
+        packed = [known[word] for word in distinct]
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids, first = np.frombuffer(b"".join(packed), "<i4"), np.cumsum(sizes) - sizes
+        each = sizes[words.codes]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        at = np.arange(ends[-1]) + np.repeat(first[words.codes] - ends[:-1], each)
+        return ids[at], ends[words.starts]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        words = [WORD.findall(text) for text in texts]
-        ids = self.words.of([word for found in words for word in found])
-        return [list(chain.from_iterable(map(ids.__getitem__, found))) for found in words]
+        ids, starts = self.encode_texts(pa.array(texts, pa.string()))
+        return [part.tolist() for part in np.split(ids, starts[1:-1])] if texts else []
 
 
 def encoder(path: str) -> Encoder:
@@ -216,36 +259,65 @@ def vocabulary(path: str) -> list[str]:
     return [tokens.get(i, "") for i in range(max(tokens) + 1)]
 
 
-def digest(ids: list[int]) -> str:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    return hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+def digests(data: bytes | memoryview, starts: np.ndarray, width: int = 1) -> list[str]:
+    """SHA-256 of each stretch between neighbouring starts, in units of `width` bytes."""
+    held = memoryview(data)
+    return [hashlib.sha256(held[a:b]).hexdigest() for a, b in pairwise((starts * width).tolist())]
+
+
+def ids_digests(ids: np.ndarray, starts: np.ndarray) -> list[str]:
+    """Of ids as little-endian unsigned 32-bit integers."""
+    return digests(np.ascontiguousarray(ids, "<u4").tobytes(), starts, 4)
+
+
+def decode_ids(ids: np.ndarray, starts: np.ndarray, tokens: pa.Array) -> pa.Array:
+    """The texts that ids stand for: their tokens, word ends included, joined by one space."""
+    foreign = (ids < 0) | (ids >= len(tokens))
+    if foreign.any():
+        starts = starts - np.concatenate(([0], np.cumsum(foreign)))[starts]
+        ids = ids[~foreign]
+    lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), tokens.take(pa.array(ids)))
+    return pc.binary_join(lists, " ")
 
 
 def encode(
-    docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column: str = "text", digests: bool = False
+    docs: DataFrame,
+    path: str,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    ids: bool = True,
+    digested: bool = False,
 ) -> DataFrame:
     """Ids of every text, as the tokenizers library gives them without added special tokens.
 
-    Returns the id column and `ids` (array of int), with `digests` also `n_tokens` and
-    `ids_sha256` (see `digest`): a row for each row of `docs`, in any order; other
-    columns of `docs` are not read. A null text counts as empty and has no ids. Rows
-    with equal or null ids are kept as they are. `path` must name a file that every
+    Returns the id column and, with `ids`, `ids` (array of int); with `digested` also
+    `n_tokens`, `ids_sha256` (of the ids as little-endian unsigned 32-bit integers) and
+    `decoded_sha256` (of the text that `decode` makes of the ids, in UTF-8), for which
+    neither ids nor text leave the task. A row for each row of `docs`, in any order;
+    other columns of `docs` are not read. A null text counts as empty and has no ids.
+    Rows with equal or null ids are kept as they are. `path` must name a file that every
     executor can open.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for part in text_slices(batches):
-            ids = own.encode([text or "" for text in part.column(1).to_pylist()])
-            columns = {"id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))}
-            if digests:
-                columns["n_tokens"] = pa.array(map(len, ids), pa.int64())
-                columns["ids_sha256"] = pa.array(map(digest, ids), pa.string())
+        tokens = own.tokens if digested else None
+        for part in text_slices(batches, chars=SLICE_CHARS):
+            found, starts = own.encode_texts(part.column(1))
+            columns = {"id": part.column(0)}
+            if ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found))
+            if digested:
+                columns["n_tokens"] = pa.array(np.diff(starts), pa.int64())
+                columns["ids_sha256"] = pa.array(ids_digests(found, starts))
+                columns["decoded_sha256"] = pa.array(digests(*text_bytes(decode_ids(found, starts, tokens))))
             yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    schema = f"id {kind}, ids array<int>" + ", n_tokens long, ids_sha256 string" * digests
+    schema = f"id {kind}" + ", ids array<int>" * ids
+    schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string" * digested
     return map_batches(rows, run, schema).withColumnRenamed("id", id_column)
 
 
@@ -254,8 +326,8 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "ids", out: str = "d
 
     A vocabulary without a decoder joins its tokens with one space, word ends
     included. A null array decodes as an empty one, to the empty text; an id outside
-    the vocabulary decodes to nothing, as in the library. `out` must not be a column
-    of `encoded`; the other columns are handed through.
+    the vocabulary, or a null one, decodes to nothing, as in the library. `out` must not
+    be a column of `encoded`; the other columns are handed through.
     """
     if out in encoded.columns:
         raise ValueError(f"column {out} exists")
@@ -265,18 +337,15 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "ids", out: str = "d
     names = [f"c{i}" for i in range(len(fields))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = held(("vocabulary", path), lambda: vocabulary(path))
-        size = len(tokens)
+        tokens = held(("vocabulary", path), lambda: pa.array(vocabulary(path)))
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = []
-                for ids in part.column(at):
-                    values = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
-                    if values and not 0 <= min(values) <= max(values) < size:
-                        values = [v for v in values if 0 <= v < size]
-                    texts.append(" ".join(map(tokens.__getitem__, values)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "out"])
+                lists = part.column(at)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+                flat = pc.fill_null(pc.list_flatten(lists), -1).to_numpy()
+                texts = decode_ids(flat, np.concatenate(([0], np.cumsum(sizes))), tokens)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*names, "out"])
 
     plain = encoded.toDF(*names)
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, schema.fields))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsquant.llm import pii, quality, secret_scan, toxicity, warc
-from tsquant.llm.bpe import decode, encode
+from tsquant.llm.bpe import encode
 from tsquant.llm.decontaminate import benchmark_hits
 from tsquant.llm.embeddings import near_vectors
 from tsquant.llm.html_text import extract_text
@@ -36,9 +36,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(VOCABULARY)
-    decoded = decode(encode(table(spark, sf_dir, "documents"), path, digests=True), path)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents")
+    return encode(docs, public_tokenizers.path(VOCABULARY), ids=False, digested=True)
 
 
 def spans_digest(found: DataFrame, base: tuple[str, ...], column: str) -> DataFrame:

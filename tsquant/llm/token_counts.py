@@ -7,9 +7,10 @@ worker by the library. A longer text is cut into chunks of that size, each start
 `overlap_chars` before the end of the one before; every chunk is encoded with
 offsets. Two neighbours are spliced at the first word start inside their overlap at
 which both have a token and from which on both agree, token by token, up to the end
-of a word at least. Where there is none (a word longer than the overlap) the overlap
-doubles, back to the start of the chunk before if need be, and then the two chunks
-are encoded as one.
+of a word at least. An overlap is placed where it holds a whole word: behind a word that
+is longer than the overlap, so that such a word is encoded once. Where no place agrees
+the overlap doubles, back to the start of the chunk before if need be, and then the two
+chunks are encoded as one.
 """
 
 from __future__ import annotations
@@ -65,12 +66,12 @@ class Counter:
         if not 0 < overlap < size:
             raise ValueError("the overlap must be shorter than a chunk")
         done: list[Token] = []
-        start, end = 0, min(size, len(text))
+        start = 0
+        fresh, end = overlap_of(text, size, overlap)
         held = self.chunk(text, start, end)
         while end < len(text):
-            back, stop = overlap, min(end - overlap + size, len(text))
+            following, stop = overlap_of(text, end + size - overlap, overlap)
             while True:
-                fresh = max(start, end - back)
                 tokens = self.chunk(text, fresh, stop)
                 if fresh == start:  # the two chunks as one
                     held = tokens
@@ -80,8 +81,8 @@ class Counter:
                     done += held[: at[0]]
                     held, start = tokens[at[1] :], text_start(tokens, at[1], stop)
                     break
-                back *= 2
-            end = stop
+                fresh = max(start, end - 2 * (end - fresh))
+            fresh, end = following, stop
         return done + held
 
     def count(self, texts: list[str], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
@@ -93,6 +94,23 @@ class Counter:
         ]
 
 
+def overlap_of(text: str, end: int, overlap: int) -> tuple[int, int]:
+    """Start and end of the overlap of two chunks that meet about `end`.
+
+    It holds two word starts, so a whole word: where the last characters before `end`
+    do not, it moves on behind the long word, which is encoded whole. The end is that
+    of the text if there is no such place.
+    """
+    if end >= len(text):
+        return len(text), len(text)
+    first = end - overlap
+    starts = WORD_START.finditer(text, first + 1)
+    one, two = next(starts, None), next(starts, None)
+    if two is None:
+        return len(text), len(text)
+    return (first, end) if two.start() < end else (max(first, one.start() - 1), two.start() + 1)
+
+
 def text_start(tokens: list[Token], at: int, stop: int) -> int:
     return tokens[at][0] if at < len(tokens) else stop
 
