@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsquant.llm.bpe import decode, encode
+from tsquant.llm.bpe import encode
 from tsquant.llm.decontaminate import benchmark_hits
 from tsquant.llm.minhash import Settings, near_duplicates
 from tsquant.llm.scratch import Scratch
@@ -74,9 +74,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with their number, digest and the digest of the decoded text."""
-    path = public_tokenizers.path(VOCABULARY)
-    rows = decode(encode(docs, path, digests=True), path)
-    return rows.select("doc_id", "ids", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs, public_tokenizers.path(VOCABULARY), digested=True)
 
 
 STAGES = [
