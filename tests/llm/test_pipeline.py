@@ -25,7 +25,7 @@ def test_equal_to_sql(spark, duck, name):
 
 
 def test_every_operator_has_a_query():
-    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 14))
 
 
 def test_decontamination_query_finds_exact_passages(spark):
@@ -39,6 +39,14 @@ def test_decontamination_query_finds_exact_passages(spark):
         assert found[i].contaminated == bool(found[i].item_ids)
 
 
+def test_a_text_without_a_copy_stays_whatever_its_id(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(3, a), (5, a), (5, b), (6, None), (None, a), (7, b + " x"), (8, "y " + b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    kept = [(r.doc_id, r.text) for r in stages()["near_duplicates"](spark, docs, FOLDER).collect()]
+    assert sorted(kept, key=repr) == sorted([r for r in rows if r != (5, a)], key=repr)
+
+
 def test_masks(spark):
     spans = "array<struct<start:int,rank:int,end:int,kind:string>>"
     rows = [

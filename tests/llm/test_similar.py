@@ -91,6 +91,33 @@ def test_rows_of_one_id_with_other_texts(spark):
     assert {(r.doc_id, r.component_id) for r in found} == {(5, 5), (6, 5), (7, 5)}
 
 
+A, B = "one two three four five six", "seven eight nine ten eleven twelve"
+
+
+@pytest.mark.parametrize(
+    ("rows", "by_id", "by_text"),
+    [
+        # The shared id is not the least one; B stands nowhere else.
+        ([(3, A), (5, A), (5, B)], {(3, 3, True), (5, 3, False)}, {(3, 3, True), (5, 3, False), (5, 5, True)}),
+        ([(3, A), (3, B)], {(3, 3, True)}, {(3, 3, True)}),
+        ([(3, A), (3, B), (4, B), (4, A + " six")], {(3, 3, True), (4, 3, False)}, {(3, 3, True), (4, 3, False)}),
+        (
+            [(-5, A), (2**62, A), (2**62, B), (7, B), (9, ""), (9, None), (9, B)],
+            {(-5, -5, True), (2**62, -5, False), (7, -5, False), (9, -5, False), (9, 9, True)},
+            {(-5, -5, True), (2**62, -5, False), (7, 7, True), (2**62, 7, False), (9, 7, False), (9, 9, True)},
+        ),
+    ],
+)
+def test_ids_with_several_texts(spark, rows, by_id, by_text):
+    """By id, all texts of an id share their group; by text, each has a group of its own."""
+    settings = Settings(words=2)
+    own = near_duplicates(documents(spark, rows), settings, by_text=True).collect()
+    assert len(own) == len(rows) and {(r.doc_id, r.component_id, r.kept) for r in own} == by_text
+    if (9, "") not in rows:
+        found = near_duplicates(documents(spark, rows), settings).collect()
+        assert len(found) == len(rows) and {(r.doc_id, r.component_id, r.kept) for r in found} == by_id
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
 def test_components_of_graphs(spark, shape):
     rng = random.Random(4)

@@ -27,7 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tsquant.functions.skew import join_per_key
 from tsquant.llm.arrow import TwoGenerations, held, map_batches, text_slices
 from tsquant.llm.components import components
 from tsquant.llm.scratch import Scratch
@@ -134,10 +136,7 @@ def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
                 {
                     "id": part.column(0),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "class": pa.array(
-                        [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                        pa.binary(),
-                    ),
+                    "class": pa.array([_class(s) for s in sets], pa.binary()),
                     "bands": pa.array([None if m is None else own.bands(m) for m in minima], pa.list_(pa.int64())),
                     "bits": pa.array([None if m is None else own.signature(m) for m in minima], pa.list_(pa.int64())),
                 }
@@ -146,6 +145,36 @@ def _signed(docs: DataFrame, settings: Settings) -> DataFrame:
     return map_batches(docs, run, "id long, n_shingles long, class binary, bands array<long>, bits array<long>")
 
 
+def classed(docs: DataFrame, settings: Settings, *, text_column: str = "text", out: str = "class") -> DataFrame:
+    """Adds the class of every row's text, null without shingles: equal sets have equal classes."""
+    if out in docs.columns:
+        raise ValueError(f"column {out} exists")
+    at = docs.columns.index(text_column)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = hasher(settings)
+        for part in text_slices(batches, f"c{at}"):
+            found = [_class(s) for s in own.sets(part.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*names, "out"])
+
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields)]).add("out", "binary")
+    return map_batches(docs.toDF(*names), run, schema).toDF(*docs.columns, out)
+
+
+def _class(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
+def _numbers(named: DataFrame) -> DataFrame:
+    """A number for each (id, class), in that order: partitions are ranges, and their numbers ascend.
+
+    Write it before use; another run may number anew.
+    """
+    pairs = named.select("id", "class").distinct().repartitionByRange("id", "class")
+    return pairs.sortWithinPartitions("id", "class").withColumn("number", F.monotonically_increasing_id())
+
+
 def _differing(left: Column, right: Column, words: int) -> Column:
     return sum((F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))) for i in range(words)), F.lit(0))
 
@@ -187,7 +216,12 @@ def _similarities(pairs: DataFrame, texts: DataFrame, settings: Settings) -> Dat
 
 
 def near_duplicates(
-    docs: DataFrame, settings: Settings = Settings(), *, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    settings: Settings = Settings(),
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    by_text: bool = False,
 ) -> DataFrame:
     """Groups of documents linked by the similarity of their shingle sets.
 
@@ -196,26 +230,47 @@ def near_duplicates(
     id column (whole numbers), `n_shingles`, `component_id` (the least id reached by
     links) and `kept` (the id is its component's): one row for each row of `docs`;
     other columns are not read. A null or empty text has no shingles and is linked
-    with nothing. Rows with one id are one document to the links; a row without an
-    id is linked with nothing, has no component and is not kept.
+    with nothing. A row without an id is linked with nothing, has no component and is
+    not kept.
+
+    Rows with one id are one document: what one of its texts is linked with, the
+    others are too. With `by_text` each different set of an id is a document of its
+    own, told by a further column, its `class` (see `classed`); `kept` then holds for
+    the rows of one set only, those of the least id and, within it, the least class.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
     signed = scratch.table(_signed(texts, settings), "signed")
     named = signed.where(F.col("id").isNotNull() & F.col("class").isNotNull())
+    spread = named.groupBy("id").agg(F.min("class").alias("least"), F.max("class").alias("most"))
+    # Where an id has several sets, numbers stand for its sets instead of the id.
+    several = not spread.where("least <> most").isEmpty()
+    if several:
+        numbers = scratch.table(_numbers(named), "numbers")
+        named = named.join(numbers, ["id", "class"]).drop("id").withColumnRenamed("number", "id")
+        texts = classed(texts, settings).join(numbers, ["id", "class"]).select(F.col("number").alias("id"), "text")
     classes = scratch.table(named.groupBy("class").agg(F.min("id").alias("lead")), "classes")
     links = _links(texts, named, classes, settings, scratch)
+    if several and not by_text:
+        led = numbers.join(classes, "class").select("id", "lead")
+        first = led.groupBy("id").agg(F.min("lead").alias("a"))
+        same = led.join(first, "id").select("a", F.col("lead").alias("b"))
+        links = links.union(same)
     found = components(links, scratch)
     rows = signed.select("id", "n_shingles", "class").join(classes, "class", "left")
     rows = rows.join(found.withColumnRenamed("id", "lead"), "lead", "left")
-    rows = rows.withColumn("component_id", F.coalesce("component", "lead", "id"))
-    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
-    out = rows.select(
-        F.col("id").alias(id_column), "n_shingles",
-        F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"), kept.alias("kept"),
-    )
+    rows = rows.withColumn("found", F.coalesce("component", "lead")).drop("component", "lead")
+    if several:
+        of = numbers.select(F.col("number").alias("found"), F.col("id").alias("component_id"))
+        rows = rows.join(numbers, ["id", "class"], "left").join(of, "found", "left")
+    else:
+        rows = rows.withColumns({"number": F.col("id"), "component_id": F.col("found")})
+    rows = rows.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
+    own = F.coalesce(F.col("number") == F.col("found"), F.col("id").isNotNull()) if by_text else F.col("id") == F.col("component_id")
+    kept = F.coalesce(own, F.lit(False)).alias("kept")
+    out = rows.select(F.col("id").alias(id_column), "n_shingles", "component_id", kept, *["class"] * by_text)
     out = scratch.table(out, "result")
-    scratch.drop("signed", "classes", "leads", "stars", "pairs", "texts", "linked", "near", "outside", "more")
+    scratch.drop("signed", "numbers", "classes", "leads", "stars", "pairs", "texts", "linked", "near", "outside", "more")
     return out
 
 
@@ -271,7 +326,7 @@ def _group_links(groups: DataFrame, texts: DataFrame, settings: Settings) -> Dat
     """
     counted = groups.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
     parts = F.when(F.col("n") <= STAR, 1).otherwise(F.ceil(F.col("n") * 2 / STAR)).cast("int")
-    rows = groups.join(counted.select("home", parts.alias("parts")), "home")
+    rows = join_per_key(groups, counted.select("home", "n", parts.alias("parts")), ["home"], "n", "id", STAR)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
