@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tsquant.llm.bpe import encode
 from tsquant.llm.decontaminate import benchmark_hits
-from tsquant.llm.minhash import Settings, near_duplicates
+from tsquant.llm.minhash import Settings, classed, near_duplicates
 from tsquant.llm.scratch import Scratch
 from tsquant.llm.secret_scan import scan_secrets
 from tsquant.llm.toxicity import fit, score
@@ -32,12 +32,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at 0.8 or more.
 
-    The document with the least id stays, with all its rows; documents without a
-    word, and rows without an id, are in no group and stay.
+    The document with the least id stays, with all rows of its text; documents without a
+    word, and rows without an id, are in no group and stay. Rows of one id with
+    different texts are documents of their own.
     """
-    found = near_duplicates(docs, Settings(words=5, percent=80))
-    rejected = found.where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    settings = Settings(words=5, percent=80)
+    found = near_duplicates(docs, settings, by_text=True).where("doc_id IS NOT NULL")
+    by_id = found.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all"))
+    docs = docs.select(*COLUMNS)
+    kept = docs.join(by_id.where("NOT all").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    parted = by_id.where("some AND NOT all").select("doc_id")
+    if parted.isEmpty():
+        return kept
+    # Of an id whose rows part, those of a rejected text go.
+    rows = classed(docs.join(parted, "doc_id", "left_semi").select(*COLUMNS), settings)
+    gone = found.where("NOT kept").select("doc_id", "class").distinct()
+    return kept.union(rows.join(gone, ["doc_id", "class"], "left_anti").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
