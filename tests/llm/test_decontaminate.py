@@ -105,14 +105,31 @@ def test_documents(spark, monkeypatch):
         found = benchmark_hits(documents(spark, rows), benchmark, keep=("text",)).collect()
         assert len(found) == len(rows)
         hits = {r.doc_id: [(h.item_id, r.text[h.start : h.end]) for h in r.hits] for r in found if r.hits}
-        assert hits.keys() == {1, 7, 20, 21, 23}
+        assert hits.keys() == {1, 7, 20, 21}
         assert hits[20] == [(10, passage[:-1]), (11, passage[:-1])]
-        assert hits[1] == [(14, "dog")] and hits[23] == [(14, "dog")]
+        assert hits[1] == [(14, "dog")]  # as a word, not within one
     assert benchmark_hits(no_documents(spark), benchmark).collect() == []
+    with pytest.raises(ValueError, match="hits"):
+        benchmark_hits(documents(spark), benchmark, keep=("hits",))
     none = benchmark_hits(documents(spark), benchmark.limit(0)).collect()
     assert len(none) == len(ODD_TEXTS) and not any(r.hits for r in none)
 
 
+def test_parts_are_written_one_after_another(spark, monkeypatch):
+    """Of a benchmark of three parts a plan holds no index at all, and a pass holds one."""
+    rng = random.Random(4)
+    passages = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(9)) for _ in range(9)]
+    benchmark = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    rows = [(i, f"before {p} after {passages[-1]}") for i, p in enumerate(passages[:-1])]
+    held = []
+    make = D.marked
+    monkeypatch.setattr(D, "INDEX_CHARS", 200)
+    monkeypatch.setattr(D, "marked", lambda frame, index: held.append(len(index.passages)) or make(frame, index))
+    found = benchmark_hits(documents(spark, rows), benchmark)
+    assert len(held) >= 3 and sum(held) == 9 and "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert {r.doc_id: [h.item_id for h in r.hits] for r in found.collect()} == {i: [i, 8] for i in range(8)}
+
+
 def test_the_lemma_never_loses_a_window():
     """Stretches hold every place where enough marks stand in a passage's window."""
     rng = np.random.default_rng(2)

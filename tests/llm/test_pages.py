@@ -67,6 +67,45 @@ def test_smoothing_keeps_a_constant():
     assert smooth([5.0]) == pytest.approx([5.0])
 
 
+BODY = "<h1>The title</h1>" + "".join(f"<p>Paragraph {i} " + "with a good many plain words " * 7 + "</p>" for i in range(4))
+TEXT = "The title\n" + "\n".join((f"Paragraph {i} " + "with a good many plain words " * 7).strip() for i in range(4))
+MENU = "<div class='nav'>" + " ".join(f"<a href='/{i}'>Link {i}</a>" for i in range(12)) + "</div>"
+FOOT = "<div class='footer'><a href='/i'>Imprint</a> <a href='/c'>Contact</a></div>"
+TALK = "<div class='comments'>" + "".join(f"<p>Reader {i} says " + "many words of an own " * 9 + "</p>" for i in range(20)) + "</div>"
+COOKIES = "<div class='cookie-notice'><p>We use cookies to remember you, and you may refuse them at any time you like.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        MENU + BODY + FOOT,
+        MENU + f"<div class='content'>{BODY}</div>" + FOOT,
+        MENU + f"<form id='aspnetForm' action='/'>{BODY}<input name='q'></form>" + FOOT,
+        MENU + f"<div class='related-layout'>{BODY}</div>" + FOOT,
+        MENU + f"<div class='sidebar-left'>{BODY}</div>" + FOOT,
+        MENU + f"<div id='main-nav-wrapper'>{BODY}</div>" + FOOT,
+        f"<div class='page no-sidebar'>{MENU}<div id='main-nav-wrapper'><form>{BODY}</form></div>{FOOT}</div>",
+        COOKIES + MENU + f"<div class='sidebar-left'>{BODY}{COOKIES}</div>" + FOOT,
+        MENU + f"<div role='form'>{BODY}</div><form><p>Search this site for words</p><input></form>" + FOOT,
+        "<header><p>A site of some name, with a line that says what it is about, at length</p></header>" + MENU + f"<table><tr><td>{BODY}</td></tr></table>" + FOOT,
+        MENU + f"<div class='post'>{BODY}</div>{TALK}" + FOOT,
+        MENU + f"<div class='post'>{BODY}</div><div class='related'><p>{'Read this other story too. ' * 4}</p><p>{'And this one. ' * 8}</p></div>" + FOOT,
+        MENU + f"<article><div class='review-discussion'>{BODY}</div></article>" + FOOT,
+        MENU + f"<article>{BODY}{TALK}</article>" + FOOT,
+        MENU + f"<div class='sidebar-wrapper'><article>{BODY}<div class='ad'>Buy now</div></article></div>" + FOOT,
+        f"<article>{BODY.replace('Paragraph 2', 'Paragraph <span class=ad>cheap </span>2')}</article>",
+    ],
+)
+def test_names_are_overruled_by_dense_lines_and_by_them_alone(page):
+    assert main_text(f"<html><head><title>t</title></head><body>{page}</body></html>") == TEXT
+
+
+def test_pages_with_nothing_but_parts_beside():
+    assert main_text(f"<html><body>{MENU}{FOOT}</body></html>") == ""
+    assert main_text(f"<html><body>{MENU}{COOKIES}<article></article>{FOOT}</body></html>") == ""
+    assert main_text(f"<html><body><article></article>{TALK}</body></html>") == ""
+
+
 def test_rows_of_pages(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (3, "u", ""), (None, "v", "<p>x"), (4, "w", "<div>" * 20_000 + "deep")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'own' AS text", "1 AS k0")
@@ -78,16 +117,17 @@ def test_rows_of_pages(spark):
 
 
 def reference(rows):
-    by = collections.defaultdict(set)
+    by = collections.defaultdict(list)
     for page, url, html in rows:
-        by[html or ""].add((page, url))
+        by[html or ""].append((page, url))
     out = []
     for html, pages in by.items():
         first = max(pages, key=lambda p: (p[0] is not None, p[0] or 0, p[1] is not None, p[1] or ""))
         digest = base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
-        for page in pages:
-            kind = "response" if page == first else "revisit"
-            out.append((page[0], len(html.encode()), digest, kind, None if page == first else first[0]))
+        # Of equal rows one is the response.
+        pages.remove(first)
+        out.append((first[0], len(html.encode()), digest, "response", None))
+        out += [(page[0], len(html.encode()), digest, "revisit", first[0]) for page in pages]
     return sorted(out, key=repr)
 
 
@@ -121,6 +161,29 @@ def test_archives_there_and_back(spark):
     assert {a.refers_to for a in answers if a.type == "revisit"} <= named
 
 
+def test_every_repeated_row_comes_back(spark):
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "v", "other"), (1, "u", "same"), (None, None, None), (None, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    decided = warc.captures(frame).collect()
+    assert len(decided) == 6 == len({r.record_id for r in decided})
+    scratch = Scratch(spark, "test-warc")
+    warc.write_warc(warc.captures(frame), scratch.path("w"))
+    found = warc.assemble(warc.read_records(spark, scratch.path("w"))).collect()
+    assert collections.Counter(r.answer.type for r in found) == {"response": 3, "revisit": 3}
+
+
+def test_archives_of_other_names_are_read_and_none_is_an_error(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "u", f"page {i}") for i in range(4)], "page_id long, url string, html string")
+    warc.write_warc(warc.captures(frame).coalesce(1), str(tmp_path / "w"), file_captures=2)
+    (tmp_path / "copy").mkdir()
+    for at, file in enumerate(sorted((tmp_path / "w").glob("part-*"))):
+        (tmp_path / "copy" / f"CC-{at}.warc.gz").write_bytes(file.read_bytes())
+    assert warc.read_records(spark, str(tmp_path / "copy")).count() == 12
+    assert warc.read_records(spark, str(tmp_path / "copy"), glob="CC-0*").count() == 6
+    with pytest.raises(ValueError, match="no archive"):
+        warc.read_records(spark, str(tmp_path / "copy"), glob="part-*")
+
+
 def test_no_pages(spark):
     scratch = Scratch(spark, "test-warc")
     frame = spark.createDataFrame([], "page_id long, url string, html string")

@@ -192,6 +192,24 @@ def test_few_vectors(spark):
     assert found == [(2, 2, 2, True), (2, 2, 2, True), (3, 2, 2, False), (None, 0, None, False)]
 
 
+def test_norms_that_under_or_overflow_and_several_lengths(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(6, 8))
+    rows = [(10 * k + i, (v * scale).tolist()) for k, v in enumerate(base) for i, scale in enumerate([1.0, 1e-200, 1e200, 3e-308])]
+    other = rng.normal(size=(3, 5))
+    rows += [(100 + 10 * k + i, (v * scale).tolist()) for k, v in enumerate(other) for i, scale in enumerate([1.0, 2.0])]
+    rows += [(200, [1.0] * 3), (201, [1.0] * 3), (202, [1e-200, 1.0, 0.0, 0.0]), (203, [5e-324])]
+    for recall in (0.99, 1.0):
+        found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=recall).collect()
+        got = {r.vec_id: (r.n_links, r.component_id) for r in found}
+        assert len(found) == len(rows)
+        for k in range(6):
+            assert [got[10 * k + i] for i in range(4)] == [(3, 10 * k)] * 4
+        for k in range(3):
+            assert [got[100 + 10 * k + i] for i in range(2)] == [(1, 100 + 10 * k)] * 2
+        assert got[200] == got[201] == (1, 200) and got[202] == (0, 202) and got[203] == (0, 203)
+
+
 def test_recall_of_the_tables():
     bits = 16
     tables = tables_needed(bits, 0.95, 0.99)

@@ -25,6 +25,13 @@ def map_batches(rows: DataFrame, run: Callable, schema) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def refuse_repeats(names: list[str]) -> None:
+    """Raises where an operator would return two columns of one name."""
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"columns {twice} would be there twice; rename those to be kept")
+
+
 def text_slices(
     batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = SLICE_CHARS
 ) -> Iterator[pa.RecordBatch]:

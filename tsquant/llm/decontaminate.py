@@ -13,7 +13,8 @@ less place in the passage) that differ by at most e. So
 3. an alignment along the band decides: at most e edits, and where.
 
 All of it runs in the task that holds the text; what is sent there is the index of
-the passages, in parts of a checked size, one pass over the documents for each part.
+the passages, in parts of a bounded size. Each part is a pass over the documents whose
+hits are written before the next part is read, so driver and tasks hold one part.
 """
 
 from __future__ import annotations
@@ -22,19 +23,21 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsquant.llm.arrow import map_batches, text_slices
+from tsquant.llm.arrow import map_batches, refuse_repeats, text_slices
+from tsquant.llm.scratch import Scratch
 
 Q = 10
 #: Edits allowed for each character of a passage.
 EDITS = 0.06
 #: Characters of passages indexed in one pass.
-INDEX_CHARS = 8_000_000
+INDEX_CHARS = 2_000_000
 #: Places of a text whose shared q-grams are looked at together.
 SEGMENT = 1 << 14
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -219,7 +222,8 @@ class Index:
 
     def hits(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) in the folded text, one for each band's best stretch."""
-        out = {(item, at, at + len(word), 0) for item, word in self.short for at in occurrences(text, word)}
+        padded = f" {text} "
+        out = {(item, at, at + len(word), 0) for item, word in self.short for at in occurrences(padded, f" {word} ")}
         chars = points(text)
         codes = grams(chars, self.q)
         if len(codes) and self.passages:
@@ -293,40 +297,61 @@ def benchmark_hits(
 
     Returns the id column, the columns of `keep` unchanged and `hits`, an array of
     (item_id, start, end, edits) in order of start: code points of the text as given,
-    end exclusive. One row for each row of `docs`, repeated and null ids included; other columns are not read. A null
-    or empty text has no hits, and neither has a null or blank passage; a passage
-    shorter than `q` is searched without edits. Repeated passages are separate items.
+    end exclusive. One row for each row of `docs`, repeated and null ids included; other
+    columns are not read. A null or empty text has no hits, and neither has a null or
+    blank passage; a passage shorter than `q` is searched without edits, as whole words.
+    Repeated passages are separate items.
     """
-    kinds = [docs.schema[name].dataType.simpleString() for name in (id_column, *keep)]
-    names = [f"k{i}" for i in range(len(kinds))]
+    refuse_repeats([id_column, *keep, "hits"])
+    names = [f"k{i}" for i in range(len(keep) + 1)]
     items = benchmark.select(
         benchmark[item_column].cast("long").alias("item"), benchmark[passage_column].alias("passage")
     ).where("item IS NOT NULL AND trim(passage) <> ''")
     chars = items.agg(F.sum(F.length("passage"))).first()[0] or 0
     parts = max(1, math.ceil(chars / INDEX_CHARS))
     kept = [docs[name].alias(k) for k, name in zip(names, (id_column, *keep))]
-    rows = docs.select(docs[text_column].alias("text"), F.array().cast(HITS).alias("hits"), *kept)
-    schema = f"text string, hits {HITS}, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds))
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item", "passage"), F.lit(parts)) == part).distinct()
-        index = Index([(r.item, r.passage) for r in own.collect()], q, edits)
-        rows = map_batches(rows, _marker(index), schema)
-    return rows.select(*names, "hits").toDF(id_column, *keep, "hits")
+    rows = docs.select(docs[text_column].alias("text"), *kept)
 
+    def indexed(part: int) -> Index:
+        own = items.where(F.pmod(F.xxhash64("item", "passage"), F.lit(parts)) == part).distinct()
+        return Index([(r.item, r.passage) for r in own.collect()], q, edits)
+
+    if parts == 1:
+        found = marked(rows, indexed(0))
+    else:
+        scratch = Scratch(docs.sparkSession, "decontaminate")
+        rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        tables = []
+        for part in range(parts):
+            hits = marked(rows.select("text", "row"), indexed(part)).where(F.size("hits") > 0)
+            tables.append(scratch.table(hits.select("row", "hits"), f"hits-{part}"))
+        hits = reduce(DataFrame.unionByName, tables).select("row", F.explode("hits").alias("hit"))
+        order = F.struct("hit.start", "hit.item_id", "hit.end", "hit.edits")
+        hits = hits.groupBy("row").agg(F.sort_array(F.collect_list(order)).alias("sorted"))
+        whole = F.transform("sorted", lambda h: F.struct(h["item_id"], h["start"], h["end"], h["edits"]))
+        hits = hits.select("row", whole.alias("hits"))
+        found = rows.drop("text").join(hits, "row", "left")
+        found = found.withColumn("hits", F.coalesce("hits", F.array().cast(HITS)))
+    return found.select(*names, "hits").toDF(id_column, *keep, "hits")
+
+
+def marked(rows: DataFrame, index: Index) -> DataFrame:
+    """The rows without their `text`, the first column, and with the `hits` of it."""
+    fields = rows.schema.fields[1:]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + f", hits {HITS}"
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
-def _marker(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slice_ in text_slices(batches):
             texts = slice_.column(0).to_pylist()
             plain = [folded(text or "") for text in texts]
             likely = index.may_hit(plain)
-            hits = slice_.column(1).to_pylist()
+            hits: list[list[dict]] = [[] for _ in plain]
             for at, text in enumerate(plain):
                 if text and (likely[at] or index.short):
                     found = unfolded(texts[at], index.hits(text))
                     found = [dict(zip(("item_id", "start", "end", "edits"), hit)) for hit in found]
-                    hits[at] = sorted(hits[at] + found, key=lambda h: (h["start"], h["item_id"], h["end"]))
-            out = [slice_.column(0), pa.array(hits, slice_.schema.field(1).type), *slice_.columns[2:]]
-            yield pa.RecordBatch.from_arrays(out, slice_.schema.names)
+                    hits[at] = sorted(found, key=lambda h: (h["start"], h["item_id"], h["end"]))
+            yield pa.RecordBatch.from_arrays([*slice_.columns[1:], pa.array(hits, kind)], [*slice_.schema.names[1:], "hits"])
 
-    return run
+    return map_batches(rows, run, schema)

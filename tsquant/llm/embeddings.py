@@ -42,12 +42,18 @@ MOST_TABLES = 96
 PAIRS = 4000
 
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; scaled by their largest component first, so no square over- or underflows."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 class Codes:
     """Rotations learned from a sample, and the substrings of the codes they give."""
 
     def __init__(self, sample: np.ndarray, bits: int, tables: int, seed: int = 1):
         random = np.random.default_rng(seed)
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        unit = units(sample)
         self.mean = unit.mean(axis=0)
         centred = unit - self.mean
         size = centred.shape[1]
@@ -73,7 +79,7 @@ class Codes:
 
     def of(self, vectors: np.ndarray) -> np.ndarray:
         """One substring, as a whole number, for each vector and table."""
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = units(vectors)
         signs = (unit - self.mean) @ self.planes >= 0
         weights = 1 << np.arange(self.bits, dtype=np.int64)
         return signs.reshape(len(vectors), self.tables, self.bits) @ weights
@@ -91,7 +97,7 @@ def tables_needed(bits: int, threshold: float, recall: float) -> int:
 def pairs_at(sample: np.ndarray, threshold: float, count: int, seed: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
     """Unit vectors of the sample and others at the threshold: in any direction, and where the sample varies."""
     random = np.random.default_rng(seed)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = units(sample)
     one, two, base = (unit[random.integers(len(unit), size=count)] for _ in range(3))
     out = []
     for away in (random.normal(size=base.shape), one - two):
@@ -105,7 +111,14 @@ def pairs_at(sample: np.ndarray, threshold: float, count: int, seed: int = 2) ->
 
 
 def codes_for(sample: np.ndarray, bits: int, threshold: float, recall: float) -> Codes:
-    """Codes of `bits` or less in each table, whose tables let pairs at the threshold meet."""
+    """Codes of `bits` or less in each table, whose tables let pairs at the threshold meet.
+
+    With a `recall` of 1 all pairs are compared.
+    """
+    if recall >= 1:  # no code is sure: one bucket of all
+        codes = Codes(sample, 1, 1)
+        codes.cut(0, 1)
+        return codes
     pairs = pairs_at(sample, threshold, PAIRS)
 
     def enough(codes: Codes, bits: int, most: int) -> int | None:
@@ -170,8 +183,7 @@ def _compared(block: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarra
     place, i, j = int(block["place"][0]), int(block["i"][0]), int(block["j"][0])
     left = np.flatnonzero(block["part"] == i)
     right = left if i == j else np.flatnonzero(block["part"] == j)
-    unit = block["vector"].astype(np.float64)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = units(block["vector"].astype(np.float64))
     linked = unit[left] @ unit[right].T >= threshold
     codes, ids, many = block["codes"], block["id"], block["many"]
     for earlier in range(place):  # met there already
@@ -220,9 +232,9 @@ def near_vectors(
     Returns the id column (whole numbers), `n_links` (other rows linked directly),
     `component_id` (the least id reached, the own included) and `kept` (the id is its
     component's): one row for each row of `vectors`; other columns are not read. A
-    vector that is null, empty or zero, holds a null or a non-finite component, or
-    has not the commonest length (the longest of those as common), is linked with
-    nothing. A row without an id is linked with nothing, has no component and is not
+    vector that is null, empty or zero, or holds a null or a non-finite component, is
+    linked with nothing, and vectors of different lengths are not linked; vectors of
+    each length are compared in turn. With a `recall` of 1 all pairs are. A row without an id is linked with nothing, has no component and is not
     kept; rows with one id are one node of the components, and not linked to each
     other unless their vectors are equal.
     """
@@ -233,10 +245,6 @@ def near_vectors(
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.col("id").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
-    sizes = rows.where("good").groupBy(F.size("vector").alias("size")).count()
-    size = sizes.orderBy(F.desc("count"), F.desc("size")).first()
-    length = size["size"] if size else -1
-    rows = rows.withColumn("good", F.col("good") & (F.size("vector") == length))
     # Two hashes of 64 bits name a class.
     named = rows.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(1), "vector")})
     good_rows = named.where("good")
@@ -246,18 +254,20 @@ def near_vectors(
         good_rows.join(classes, ["h1", "h2"]).where("id = lead").dropDuplicates(["h1", "h2"]).select("id", "many", "vector"),
         "leads",
     )
-    count = leads.count()
     result = named.select("id", "good", "h1", "h2")
-    if count > 1:
+    degrees = spark.createDataFrame([], "id long, links long")
+    edges = spark.createDataFrame([], "a long, b long")
+    sizes = leads.groupBy(F.size("vector").alias("size")).count().where("count > 1").orderBy("size").collect()
+    for size, count in sizes:
+        own = leads.where(F.size("vector") == size)
         bits = max(4, math.ceil(math.log2(count)))
-        chosen = leads.orderBy(F.xxhash64("id")).limit(sample) if count > sample else leads
+        chosen = own.orderBy(F.xxhash64("id")).limit(sample) if count > sample else own
         codes = codes_for(np.array([r.vector for r in chosen.select("vector").toLocalIterator()]), bits, threshold, recall)
         codes.pool = codes.planes  # what tasks need
-        degrees, edges = _linked(leads, codes, threshold, scratch)
-        found = components(edges, scratch)
-    else:
-        degrees = spark.createDataFrame([], "id long, links long")
-        found = spark.createDataFrame([], "id long, component long")
+        more = _linked(own, codes, threshold, scratch, f"-{size}")
+        degrees, edges = degrees.union(more[0]), edges.union(more[1])
+    degrees = degrees.groupBy("id").agg(F.sum("links").alias("links"))
+    found = components(edges, scratch)
     by_class = classes.join(degrees, classes["lead"] == degrees["id"], "left").drop("id")
     by_class = by_class.join(found, by_class["lead"] == found["id"], "left").drop("id")
     out = result.join(by_class, ["h1", "h2"], "left")
@@ -268,12 +278,12 @@ def near_vectors(
         F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),
     )
     out = scratch.table(out, "result")
-    scratch.drop("classes", "leads", "found", "wide")
+    scratch.drop("classes", "leads", *[f"{name}-{size}" for name in ("found", "wide") for size, _ in sizes])
     return out
 
 
-def _linked(leads: DataFrame, codes: Codes, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(id, links) and edges (a, b) among (id, many, vector)."""
+def _linked(leads: DataFrame, codes: Codes, threshold: float, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(id, links) and edges (a, b) among (id, many, vector) of one length."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +302,7 @@ def _linked(leads: DataFrame, codes: Codes, threshold: float, scratch: Scratch)
         "place", "key", F.ceil(F.col("count") / (BLOCK // 2)).cast("int").alias("parts")
     )
     # Written, so that its size is known: while it is small, no vector moves for the join.
-    wide = scratch.table(wide, "wide")
+    wide = scratch.table(wide, f"wide{name}")
     placed = placed.join(wide, ["place", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     others = F.transform(
@@ -311,6 +321,6 @@ def _linked(leads: DataFrame, codes: Codes, threshold: float, scratch: Scratch)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.nulls(len(ids), pa.int64())], ["x", "y", "z"])
                 yield pa.RecordBatch.from_arrays([pa.array(a), nothing, pa.array(b)], ["x", "y", "z"])
 
-    found = scratch.table(map_batches(sorted_rows, compare, "x long, y long, z long"), "found")
+    found = scratch.table(map_batches(sorted_rows, compare, "x long, y long, z long"), f"found{name}")
     degrees = found.where("y IS NOT NULL").groupBy(F.col("x").alias("id")).agg(F.sum("y").alias("links"))
     return degrees, found.where("z IS NOT NULL").select(F.col("x").alias("a"), F.col("z").alias("b")).distinct()

@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsquant.functions.skew import join_per_key
 from tsquant.llm.arrow import TwoGenerations, held, map_batches, text_slices
 from tsquant.llm.components import components
 from tsquant.llm.scratch import Scratch
@@ -270,7 +269,7 @@ def near_duplicates(
     kept = F.coalesce(own, F.lit(False)).alias("kept")
     out = rows.select(F.col("id").alias(id_column), "n_shingles", "component_id", kept, *["class"] * by_text)
     out = scratch.table(out, "result")
-    scratch.drop("signed", "numbers", "classes", "leads", "stars", "pairs", "texts", "linked", "near", "outside", "more")
+    scratch.drop("signed", "numbers", "classes", "leads", "stars", "pairs", "texts", "linked", "near", "outside", "wide", "more")
     return out
 
 
@@ -315,18 +314,20 @@ def _links(texts: DataFrame, named: DataFrame, classes: DataFrame, settings: Set
     inside = found.join(homes, F.col("component") == F.col("home"), "left_semi").select(F.col("component").alias("home"), "id")
     inside = inside.union(homes.select("home", F.col("home").alias("id"))).distinct()
     groups = outside.withColumn("outside", F.lit(True)).union(inside.withColumn("outside", F.lit(False)))
-    return links.union(scratch.table(_group_links(groups, needed, settings), "more"))
+    return links.union(scratch.table(_group_links(groups, needed, settings, scratch), "more"))
 
 
-def _group_links(groups: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+def _group_links(groups: DataFrame, texts: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect what is linked in groups (home, id, outside).
 
     Members that are not `outside` are one component already. A group is compared in
     one task, a wide one part by part; tasks return spanning forests, never pairs.
     """
     counted = groups.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.when(F.col("n") <= STAR, 1).otherwise(F.ceil(F.col("n") * 2 / STAR)).cast("int")
-    rows = join_per_key(groups, counted.select("home", "n", parts.alias("parts")), ["home"], "n", "id", STAR)
+    parts = F.ceil(F.col("n") * 2 / STAR).cast("int")
+    # Written, so that its size is known: while it is small, no row moves to its home for the join.
+    wide = scratch.table(counted.where(F.col("n") > STAR).select("home", parts.alias("parts")), "wide")
+    rows = groups.join(wide, "home", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsquant.llm.arrow import refuse_repeats
 from tsquant.llm.scratch import Scratch
 from tsquant.llm.spans import with_spans
 
@@ -155,14 +156,18 @@ def scan_secrets(
     null ids included; other columns are not read. A null or empty text has none.
     Without a `ledger_path` the ledger is new and lies in the shared folder.
     """
+    refuse_repeats([id_column, *keep, "findings"])
     spark = versions.sparkSession
     ledger = Ledger(spark, ledger_path or Scratch(spark, "secrets").path("ledger"))
     rows = versions.select(versions[text_column].alias("text")).withColumn("blob", F.sha2("text", 256))
     for lack, todo in unscanned(rows, ledger, rules):
         ledger.append(findings(one_of_each(todo), lack))
+    # Two runs that scan at once may both add a pair; it counts once.
     by_blob = (
         ledger.pairs_of(rules)
         .where(F.size("findings") > 0)
+        .groupBy("blob", "rule", "version")
+        .agg(F.first("findings").alias("findings"))
         .groupBy("blob")
         .agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
     )

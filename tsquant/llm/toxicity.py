@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsquant.llm.arrow import TwoGenerations, held, map_batches, text_slices
+from tsquant.llm.arrow import TwoGenerations, held, map_batches, refuse_repeats, text_slices
 from tsquant.llm.scratch import Scratch
 
 #: Labelled documents of each class that weights are learned from, at most.
@@ -384,6 +384,7 @@ def score(
     null ids included; other columns are not read. A null or empty text has the score
     of the prior.
     """
+    refuse_repeats([id_column, *keep, "score", "predicted"])
     kinds = [docs.schema[name].dataType.simpleString() for name in (id_column, *keep)]
     names = [f"k{i}" for i in range(len(kinds))]
 

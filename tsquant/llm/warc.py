@@ -17,6 +17,8 @@ import hashlib
 import io
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -83,7 +85,8 @@ def captures(
     id of the response) and refers_record. Of captures with equal payloads of at
     least `least` bytes the one with the largest id is the response, by url among
     equal ids; null ids come before all others, null urls too. Rows equal in id, url
-    and payload are one capture. A null payload is empty.
+    and payload are captures of their own, of which the first is the response and the
+    others revisit it. A null payload is empty.
     """
     payload = F.coalesce(pages[payload_column].cast("binary"), F.lit(b""))
     rows = pages.select(
@@ -92,9 +95,12 @@ def captures(
     )
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload"))})
     text = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("id", "digest", "url")]
-    rows = rows.withColumn("record_id", _named(F.concat_ws(" ", F.lit("answer"), *text)))
+    rows = _repeats_told(rows)
+    copy = F.when(F.col("copy") > 1, F.col("copy").cast("string"))
+    rows = rows.withColumn("record_id", _named(F.concat_ws(" ", F.lit("answer"), *text, copy)))
     # Small rows alone decide; payloads travel once, to their decision.
-    keys = rows.select("digest", F.struct("id", "url", "record_id").alias("c"), "bytes").where(F.col("bytes") >= least)
+    keys = rows.select("digest", F.struct("id", "url", "record_id").alias("c"), "bytes")
+    keys = keys.where((F.col("bytes") >= least) & (rows["copy"] == 1))
     holder = keys.groupBy("digest").agg(F.max("c").alias("c"))
     rows = rows.join(
         holder.select("digest", F.col("c.id").alias("holder_id"), F.col("c.record_id").alias("holder")), "digest", "left"
@@ -108,6 +114,23 @@ def captures(
     )
 
 
+def _repeats_told(rows: DataFrame) -> DataFrame:
+    """Adds `copy`: 1, and 2 and so on for further rows equal in id, url and digest.
+
+    Ids, urls and digests are counted first. Where nothing repeats, as is usual, no
+    payload moves; else only rows that repeat are gathered, one for all of its copies.
+    """
+    key = ["id", "url", "digest"]
+    many = rows.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("many")).where("many > 1")
+    if many.isEmpty():
+        return rows.withColumn("copy", F.lit(1))
+    many = many.toDF(*[f"_{c}" for c in key], "many")
+    met = rows.join(many, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]), "left")
+    once = met.where("many IS NULL").select(*rows.columns, F.lit(1).alias("copy"))
+    again = met.where("many IS NOT NULL").dropDuplicates(key)
+    return once.union(again.select(*rows.columns, F.explode(F.sequence(F.lit(1), "many")).alias("copy")))
+
+
 def write_warc(decided: DataFrame, path: str, *, date: str = "2025-01-01T00:00:00Z", file_captures: int = FILE_CAPTURES) -> None:
     """Writes the captures as archives `part-*.txt.gz` of whole records under a new path.
 
@@ -199,13 +222,16 @@ def fields_of(headers: dict[str, str], block: bytes, payloads: bool) -> tuple:
     return *common, None, None, own, len(payload), digest in (None, own), payload if payloads else None
 
 
-def read_records(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
+def read_records(spark: SparkSession, path: str, *, payloads: bool = True, glob: str | None = None) -> DataFrame:
     """Records of all archives under a path, with the columns of `RECORD`.
 
     Files that end in .gz are unpacked, of any number of members. `payload_bytes` and
     `payload_digest` are taken from the payload itself where there is one, and
     `intact` says whether the digest of the header agrees; a revisit has those of its
-    header and of its HTTP head. A file is read by one task, record by record.
+    header and of its HTTP head. A file is read by one task, record by record; its
+    packed bytes are one cell, so it must be smaller than 2 GB. `glob` names the files
+    that are meant (`*.warc.gz`), else all are whose names do not start with `_` or
+    `.`; that there is none is an error.
     """
     schema = _parse_datatype_string(RECORD)
     types = to_arrow_schema(schema)
@@ -228,7 +254,10 @@ def read_records(spark: SparkSession, path: str, *, payloads: bool = True) -> Da
                 if held:
                     yield out(held)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    reader = spark.read.format("binaryFile")
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select("path", "content")
+    if files.select("path").isEmpty():
+        raise ValueError(f"no archive {glob or ''} under {path}")
     return map_batches(files, run, schema)
 
 
