@@ -21,6 +21,8 @@ from tsquant.llm.toxicity import fit, score
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 VOCABULARY = "word_bpe_49k.json"
 MASK = "[SECRET]"
+#: Characters of a benchmark passage from which it is evidence: short answers stand anywhere.
+EVIDENCE = 20
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +53,9 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; what is shorter than `EVIDENCE` shows nothing."""
     found = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS[1:])
-    return found.where(F.size("hits") == 0).select(*COLUMNS)
+    return found.where(~F.exists("hits", lambda h: h["end"] - h["start"] >= EVIDENCE)).select(*COLUMNS)
 
 
 def masked(text: Column, spans: Column) -> Column:
