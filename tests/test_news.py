@@ -113,3 +113,19 @@ def test_members_without_company_or_sector_stay(spark):
     companies = spark.createDataFrame([("A", "tech"), ("B", None)], "company_symbol string, sector string")
     found = {r["company_symbol"]: (r["sector"], r["weight"]) for r in N.index_composition(indices, companies).collect()}
     assert found == {"A": ("tech", 1.0), "B": (None, None), "Z": (None, None)}
+
+
+def test_rows_of_one_symbol_and_time_all_return(spark):
+    at = dt.datetime(2025, 1, 3, 12)
+    schema = "symbol string, timestamp timestamp, sentiment_score double, source string, tags map<string,int>"
+    rows = [
+        ("A", at - dt.timedelta(days=1), 0.25, "x", {"a": 1, "b": 2}),
+        ("A", at, 1.0, "x", {"b": 2, "a": 1}),
+        ("A", at, 1.0, "x", {"a": 1, "b": 2}),
+        ("A", at, 0.5, "y", None),
+        ("A", at, None, None, None),
+    ]
+    found = N.sentiment_evolution(spark.createDataFrame(rows, schema)).collect()
+    got = sorted(((r["timestamp"], r["sentiment_score"], r["source"], r["tags"], r["evolution_24h"]) for r in found), key=repr)
+    expected = [(*r[1:], None if r[1] < at or r[2] is None else r[2] - 0.25) for r in rows]
+    assert got == sorted(expected, key=repr)

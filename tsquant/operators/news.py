@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tsquant.functions.series import SLOT, Series, join_slots, measured, with_slots
 
@@ -86,7 +87,8 @@ def values_before(
 
     ``ages`` maps a new column to its distance in seconds. Every row becomes one
     value and one question for each age; all of them share one slot table and one
-    pass in time order, and the answers of a row meet again by its key and time.
+    pass in time order, and the answers of a row meet again by its value. Rows of one
+    key and time all come back.
     """
     series = measured(df, Series.of(df, series))
     at, known, asked = "_at", "_known", "_asked"
@@ -114,10 +116,16 @@ def values_before(
         .withColumn("_answer", F.coalesce(last, "_inherited"))
         .where(F.col(asked) > 0)
     )
-    row = [*series.keys, *series.order]
-    rest = [F.first(c).alias(c) for c in df.columns if c not in row]
+    # The answers of a row meet by its whole value: equal rows are counted and come out as
+    # often as they went in. Maps cannot be grouped by, their entries can.
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    maps = [c for c, kind in kinds.items() if isinstance(kind, T.MapType)]
+    whole = [F.sort_array(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in df.columns]
     found = [F.max(F.when(F.col(asked) == n, F.col("_answer"))).alias(out) for n, out in enumerate(ages, 1)]
-    return answered.groupBy(*row).agg(*rest, *found).select(*df.columns, *ages)
+    rows = answered.groupBy(*whole).agg(F.count_if(F.col(asked) == 1).alias("_copies"), *found)
+    rows = rows.withColumns({c: F.map_from_entries(c) for c in maps})
+    copies = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
+    return rows.select(*df.columns, *ages, copies).drop("_copy")
 
 
 def sentiment_evolution(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsquant.functions.series import UNIT_MICROS, Series, interval_micros, over_blocks
@@ -195,9 +195,44 @@ def pair_moments(
     )
 
 
+def merge_moments(parts: DataFrame) -> DataFrame:
+    """Co-moments of disjoint sets of times, one row for each period and pair.
+
+    Centred sums are moved to the common mean; they are never undone into raw sums, so
+    parts whose means lie close lose no digits, however far the means are from 0.
+    """
+    n = F.col("n")
+    keys = ["period", "symbol_a", "symbol_b"]
+    # A level near all means of a pair: of it, differences are exact enough to square.
+    levels = parts.groupBy(*keys).agg(F.min("mean_a").alias("_a"), F.min("mean_b").alias("_b"))
+    off_a, off_b = F.col("mean_a") - F.col("_a"), F.col("mean_b") - F.col("_b")
+    sums = parts.join(levels, keys).groupBy(*keys, "_a", "_b").agg(
+        F.sum(n).alias("n"),
+        (F.sum(n * off_a) / F.sum(n)).alias("_off_a"),
+        (F.sum(n * off_b) / F.sum(n)).alias("_off_b"),
+        F.sum(F.col("square_a") + n * off_a**2).alias("_square_a"),
+        F.sum(F.col("square_b") + n * off_b**2).alias("_square_b"),
+        F.sum(F.col("cross") + n * off_a * off_b).alias("_cross"),
+    )
+    return sums.select(
+        *keys,
+        "n",
+        (F.col("_a") + F.col("_off_a")).alias("mean_a"),
+        (F.col("_b") + F.col("_off_b")).alias("mean_b"),
+        F.greatest(F.col("_square_a") - n * F.col("_off_a") ** 2, F.lit(0.0)).alias("square_a"),
+        F.greatest(F.col("_square_b") - n * F.col("_off_b") ** 2, F.lit(0.0)).alias("square_b"),
+        (F.col("_cross") - n * F.col("_off_a") * F.col("_off_b")).alias("cross"),
+    )
+
+
+def pearson() -> Column:
+    """Correlation from co-moments; NULL where one of the two did not move."""
+    return F.try_divide("cross", F.sqrt("square_a") * F.sqrt("square_b"))
+
+
 def bars_by_period(bars: DataFrame, periods: Sequence[str]) -> DataFrame:
     """Closing prices per symbol for several intervals of a day or more, from one
-    pass over the bars."""
+    pass over the bars, and when each was last seen."""
     start = F.lit(None).cast("timestamp")
     for period in periods:
         if period != "day" and period not in CALENDAR_UNITS:
@@ -207,7 +242,7 @@ def bars_by_period(bars: DataFrame, periods: Sequence[str]) -> DataFrame:
     return (
         bars.withColumn("period", F.explode(F.array(*[F.lit(p) for p in periods])))
         .groupBy("period", "symbol", start.alias("start"))
-        .agg(F.max_by("close", "timestamp").alias("close"))
+        .agg(F.max_by("close", "timestamp").alias("close"), F.max("timestamp").alias("last_at"))
         .withColumnRenamed("start", "timestamp")
     )
 
@@ -224,12 +259,11 @@ def correlation_matrix(
     coarse = bars_by_period(bars, periods)
     change = returns(coarse, "close", Series.of_bars("day").with_keys("period", "symbol"))
     pairs = pair_moments(change, value, period="period", symbol_blocks=blocks)
-    moved = F.sqrt("square_a") * F.sqrt("square_b")
     return pairs.where(F.col("symbol_a") < F.col("symbol_b")).select(
         "symbol_a",
         "symbol_b",
         "period",
-        F.try_divide("cross", moved).alias("correlation"),
+        pearson().alias("correlation"),
         "n",
     )
 

@@ -413,6 +413,14 @@ ORACLES: dict[str, str] = {
     FROM change a JOIN change b ON a."timestamp" = b."timestamp" AND a.symbol <= b.symbol
     WHERE a.log_return IS NOT NULL AND b.log_return IS NOT NULL
     GROUP BY a.symbol, b.symbol""",
+    "stored_correlations": _correlations(),
+    "stored_covariances": f"""WITH {DAILY}, {CHANGE}
+    SELECT a.symbol AS symbol_a, b.symbol AS symbol_b,
+           {six('avg(a.log_return)', 'mean_a')}, {six('avg(b.log_return)', 'mean_b')},
+           {six('covar_samp(a.log_return, b.log_return)', 'covariance')}, count(*) AS n
+    FROM change a JOIN change b ON a."timestamp" = b."timestamp" AND a.symbol <= b.symbol
+    WHERE a.log_return IS NOT NULL AND b.log_return IS NOT NULL
+    GROUP BY a.symbol, b.symbol""",
     "historical_var_es": f"""WITH {DAILY}, {CHANGE}, tails AS (
         SELECT symbol, count(simple_return) AS n,
                quantile_cont(simple_return, 0.05) AS value_at_risk

@@ -25,6 +25,7 @@ from tsquant.operators import news as N
 from tsquant.operators import reshape as R
 from tsquant.operators import risk as K
 from tsquant.plans import views
+from tsquant.plans.comovement import CoMoments
 from tsquant.plans.jobs import compute_indicators
 from tsquant.plans.views import DAILY, HOURLY, TICKS, bars_daily, bars_hourly, table
 from tsquant.schemas import CORRUPT
@@ -345,6 +346,26 @@ def correlation_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return show(matrix)
 
 
+def _taken_in(spark: SparkSession, folder: str) -> tuple[CoMoments, int]:
+    """Bars of all years in four loads, the second of them twice."""
+    blocks = K.count_symbol_blocks(table(spark, folder, "orders"), "o_orderpriority")
+    kept = CoMoments(spark, _work(spark, "co-moments"), value="log_return")
+    bars = bars_daily(spark, folder)
+    for first, end in (("1990", "1994"), ("1994", "1996-05-17"), ("1994", "1996-05-17"), ("1996-05-17", "1998"), ("1998", "2100")):
+        kept.advance(bars.where(F.col("timestamp").between(first, end) & (F.col("timestamp") < end)), blocks)
+    return kept, blocks
+
+
+def stored_correlations(spark: SparkSession, folder: str) -> DataFrame:
+    kept, blocks = _taken_in(spark, folder)
+    return show(kept.correlations(blocks))
+
+
+def stored_covariances(spark: SparkSession, folder: str) -> DataFrame:
+    kept, blocks = _taken_in(spark, folder)
+    return show(kept.covariances(symbol_blocks=blocks))
+
+
 def covariance_matrix(spark: SparkSession, folder: str) -> DataFrame:
     change = K.returns(bars_daily(spark, folder), series=DAILY)
     blocks = K.count_symbol_blocks(table(spark, folder, "orders"), "o_orderpriority")
@@ -520,6 +541,8 @@ QUERIES: dict[str, Query] = {
     "returns": returns,
     "correlation_matrix": correlation_matrix,
     "covariance_matrix": covariance_matrix,
+    "stored_correlations": stored_correlations,
+    "stored_covariances": stored_covariances,
     "historical_var_es": historical_var_es,
     "scenario_impact": scenario_impact,
     "lag_features": lag_features,

@@ -35,6 +35,12 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     files.delete(found, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right under a path; none where there is no such path."""
+    files, found = _hadoop_path(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(found) if s.isDirectory()] if files.exists(found) else []
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     files, found = _hadoop_path(spark, path)
     return files.exists(found)
