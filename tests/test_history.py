@@ -1,0 +1,130 @@
+"""Members over time, articles by symbol from a stored index, walk-forward folds."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from support import near, plan_of
+
+from tsquant.operators import composition as C
+from tsquant.operators import model as M
+from tsquant.sources.articles import read_article_index, symbol_bucket, write_article_index
+
+START = dt.datetime(2025, 1, 1)
+
+
+def day(n):
+    return START + dt.timedelta(days=n)
+
+
+COMPOSITIONS = "country string, index_symbol string, composition array<string>, sector_weights map<string,double>, last_rebalanced timestamp"
+
+
+@pytest.fixture
+def compositions(spark):
+    rows = [
+        ("X", "I", ["a", "b"], {"S": 0.6, "T": 0.4}, day(0)),
+        ("X", "I", ["a", "c"], {"S": 1.0}, day(100)),
+        ("X", "I", ["a", "c"], {"S": 1.0}, day(100)),  # sent twice
+        ("X", "I", ["a", "b"], {"S": 0.1}, day(100)),  # another of the same time: the largest counts
+        ("X", "J", ["b", "b", "z"], {"T": 1.0}, day(50)),
+        ("X", "J", ["a"], {}, None),
+    ]
+    return spark.createDataFrame(rows, COMPOSITIONS)
+
+
+def test_intervals_follow_one_another(compositions):
+    found = C.composition_intervals(compositions).orderBy("index_symbol", "valid_from").collect()
+    assert [(r["index_symbol"], sorted(r["composition"]), r["valid_from"], r["valid_to"]) for r in found] == [
+        ("I", ["a", "b"], day(0), day(100)), ("I", ["a", "c"], day(100), None), ("J", ["b", "b", "z"], day(50), None),
+    ]
+
+
+def test_weights_at_any_instant(spark, compositions):
+    companies = spark.createDataFrame([("a", "S"), ("b", "T"), ("c", "S")], "company_symbol string, sector string")
+    members = C.members_over_time(compositions, companies)
+    asked = spark.createDataFrame([("X", "I", day(n)) for n in (-1, 0, 99, 100, 4000)] + [("X", "J", day(60)), ("X", "K", day(60))], "country string, index_symbol string, timestamp timestamp")
+    found = C.as_of_intervals(asked, members, ("country", "index_symbol")).collect()
+    got = {(r["index_symbol"], (r["timestamp"] - START).days, r["company_symbol"]): r["weight"] for r in found}
+    assert got == {
+        ("I", 0, "a"): 0.6, ("I", 0, "b"): 0.4, ("I", 99, "a"): 0.6, ("I", 99, "b"): 0.4, ("I", 100, "a"): 0.5,
+        ("I", 100, "c"): 0.5, ("I", 4000, "a"): 0.5, ("I", 4000, "c"): 0.5, ("J", 60, "b"): 1.0, ("J", 60, "z"): None,
+    }
+
+
+@pytest.mark.parametrize("width", ["1 hour", "30 days", "9000 days"])
+def test_as_of_join_by_bins_equals_a_scan(spark, width):
+    rng = random.Random(2)
+    spans = [(f"k{rng.randrange(3)}", i, day(s := rng.randrange(-40, 40)), rng.choice([None, day(s + rng.randrange(0, 30))])) for i in range(40)]
+    points = [(f"k{rng.randrange(4)}", j, START + dt.timedelta(hours=rng.randrange(-1200, 1200))) for j in range(80)]
+    intervals = spark.createDataFrame(spans, "k string, i int, valid_from timestamp, valid_to timestamp")
+    rows = spark.createDataFrame(points, "k string, j int, timestamp timestamp")
+    found = C.as_of_intervals(rows, intervals, ["k"], bin_width=width)
+    expected = {(j, i) for k, j, t in points for o, i, a, b in spans if k == o and a <= t and (b is None or t < b)}
+    assert sorted((r["j"], r["i"]) for r in found.collect()) == sorted(expected)
+    plan = plan_of(found, "simple")
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert C.as_of_intervals(rows.limit(0), intervals, ["k"]).collect() == []
+
+
+def test_a_lookup_reads_a_small_share_of_the_files(spark, tmp_path):
+    path, buckets = str(tmp_path / "articles"), 16
+    rows = [(str(i), day(i % 50), f"text {i}", [f"s{i % 97}", f"s{i % 89}", None, "HOT"], i % 2 == 0) for i in range(3000)]
+    articles = spark.createDataFrame(rows, "article_id string, timestamp timestamp, content string, symbols array<string>, processed boolean")
+    write_article_index(articles, path, buckets, columns=("article_id", "content"))
+    whole = spark.read.parquet(path)
+    found = read_article_index(spark, path, ["s5", "none"], since=day(10), until=day(40), buckets=buckets)
+    expected = {r[0] for r in rows if "s5" in r[3] and day(10) <= r[1] < day(40)}
+    assert sorted(r["article_id"] for r in found.collect()) == sorted(expected) and found.columns == ["symbol", "timestamp", "article_id", "content"]
+    chosen = {r[0] for r in spark.createDataFrame([("s5",), ("none",)], "s string").select(symbol_bucket(F.col("s"), buckets)).collect()}
+    read = {f for f in whole.select("symbol_bucket", F.input_file_name().alias("f")).where(F.col("symbol_bucket").isin(list(chosen))).distinct().collect()}
+    assert len(read) <= len(whole.inputFiles()) * len(chosen) / buckets * 2
+    plan = plan_of(found)
+    partitions = next(x for x in plan.splitlines() if "PartitionFilters" in x)
+    pushed = next(x for x in plan.splitlines() if "PushedFilters" in x)
+    assert "symbol_bucket" in partitions and "In(symbol" in pushed and "GreaterThanOrEqual(timestamp" in pushed
+
+
+def brute_folds(times, label_at, start, step, folds, gap, window):
+    out = set()
+    for i, (t, known) in enumerate(zip(times, label_at)):
+        for k in range(folds):
+            begin = start + k * step
+            if begin <= t < begin + step:
+                out.add((i, k, True))
+            if t < begin and known is not None and known + gap <= begin and (window is None or t >= begin - window):
+                out.add((i, k, False))
+    return out
+
+
+@pytest.mark.parametrize("embargo, window", [(None, None), ("3 days", None), ("36 hours", "20 days")])
+def test_folds_purge_labels_that_reach_into_the_test(spark, embargo, window):
+    rng = random.Random(8)
+    hours = {None: 0, "3 days": 72, "36 hours": 36, "20 days": 480}
+    times = sorted(START + dt.timedelta(hours=rng.randrange(24 * 90)) for _ in range(200))
+    known = [rng.choice([None, t + dt.timedelta(hours=rng.choice([0, 1, 24, 100]))]) for t in times]
+    rows = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(times, known))], "i int, timestamp timestamp, label_at timestamp")
+    found = M.walk_forward(rows, day(30), "12 days", 4, embargo, window).collect()
+    expected = brute_folds(times, known, day(30), dt.timedelta(days=12), 4, dt.timedelta(hours=hours[embargo]), window and dt.timedelta(hours=hours[window]))
+    assert len(found) == len(expected) and {(r["i"], r["fold"], r["is_test"]) for r in found} == expected
+    for r in found:
+        if not r["is_test"]:
+            assert r["label_at"] <= day(30 + 12 * r["fold"])
+
+
+def test_forecasts_learn_from_their_fold_only(spark):
+    """The line changes at day 50: folds before it cannot know."""
+    rows = [("A", day(n), float(n % 7), (2.0 if n < 50 else -1.0) * (n % 7) + 1, day(n + 1)) for n in range(100)]
+    frame = spark.createDataFrame(rows, "symbol string, timestamp timestamp, x double, y double, label_at timestamp")
+    folds = M.walk_forward(frame, day(40), "10 days", 6, window="20 days")
+    tested = M.line_forecasts(folds, "x", "y")
+    errors = {r["fold"]: r["rmse"] for r in M.forecast_metrics(tested, "y", "forecast", ("fold",)).collect()}
+    assert near(errors[0], 0, 1e-9) and errors[1] > 3 and near(errors[4], 0, 1e-9) and near(errors[5], 0, 1e-9)
+    assert M.line_forecasts(folds.where("is_test"), "x", "y").where("forecast IS NOT NULL").count() == 0
+
+
+def test_label_times(spark):
+    frame = spark.createDataFrame([("A", day(n), 1.0) for n in (0, 1, 5)] + [("B", day(0), 1.0)], "symbol string, timestamp timestamp, close double")
+    found = {(r["symbol"], r["timestamp"]): r["label_at"] for r in M.label_times(frame, 2).collect()}
+    assert found == {("A", day(0)): day(5), ("A", day(1)): None, ("A", day(5)): None, ("B", day(0)): None}

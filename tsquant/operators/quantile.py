@@ -55,6 +55,14 @@ def exact_quantile(
         _bracket(F.col("_marks"), F.col("n"), 0, F.col("_min")).alias("_low"),
         _bracket(F.col("_marks"), F.col("n"), len(distances), F.col("_max")).alias("_high"),
     )
+    return quantile_within(given, bounds, p, keys)
+
+
+def quantile_within(given: DataFrame, bounds: DataFrame, p: float, keys: Sequence[str]) -> DataFrame:
+    """The p-quantile per key from values ``_v`` and bounds: ``n`` values in all, of which the
+    quantile lies between ``_low`` and ``_high``; values above ``_high`` need not be given.
+    Bounds that do not hold fail the job.
+    """
     inside = F.when(F.col("_v") >= F.col("_low"), F.col("_v"))
     counts = (
         join_per_key(given, bounds, keys, "n", "_v")

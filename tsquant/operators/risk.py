@@ -15,6 +15,7 @@ from tsquant.operators.quantile import exact_quantile
 
 # Symbols per side and bars per slice of one dense block of the pair products.
 BLOCK_SYMBOLS = 256
+SCENARIO_SLICES = 16
 SLICE_BARS = 1024
 
 
@@ -311,13 +312,16 @@ def scenario_impact(
 
     A symbol without a shock in a scenario does not move there, so ``exposure`` is
     all that a portfolio holds. Positions are added up per portfolio and symbol
-    before they meet the shocks (scenario, symbol, shock). The names of the
-    scenarios come to the driver: each stands for one row of every portfolio.
+    before they meet the shocks (scenario, symbol, shock). Each scenario stands for one
+    row of every portfolio; they meet by slices of the scenarios' names.
     """
-    names = [r[0] for r in shocks.select("scenario").where("scenario IS NOT NULL").distinct().orderBy("scenario").collect()]
+    name = F.col("scenario")
+    names = shocks.select(name).where(name.isNotNull()).distinct()
+    names = names.withColumn("_slice", F.pmod(F.xxhash64(name), F.lit(SCENARIO_SLICES)).cast("int"))
     held = positions.groupBy(portfolio, key).agg(F.sum(amount).alias("held"))
     whole = held.groupBy(portfolio).agg(F.sum("held").alias("exposure"))
-    whole = whole.withColumn("scenario", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
+    slices = F.explode(F.sequence(F.lit(0), F.lit(SCENARIO_SLICES - 1))).alias("_slice")
+    whole = whole.select("*", slices).join(names, "_slice").drop("_slice")
     moved = held.join(shocks, key).groupBy(portfolio, "scenario").agg(F.sum(F.col("held") * F.col("shock")).alias("impact"))
     moved = moved.withColumnRenamed(portfolio, "_of")
     same = F.col(portfolio).eqNullSafe(F.col("_of")) & (whole["scenario"] == moved["scenario"])

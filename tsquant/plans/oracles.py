@@ -429,6 +429,14 @@ ORACLES: dict[str, str] = {
            {six('avg(c.simple_return)', 'expected_shortfall')}
     FROM tails t JOIN change c ON c.symbol = t.symbol AND c.simple_return <= t.value_at_risk
     GROUP BY t.symbol""",
+    "stored_var_es": f"""WITH {DAILY}, {CHANGE}, held AS (
+        SELECT * FROM change WHERE simple_return IS NOT NULL
+          AND "timestamp" >= TIMESTAMP '1995-07-01' AND "timestamp" < TIMESTAMP '1997-07-01'),
+    tails AS (SELECT symbol, count(*) AS n, quantile_cont(simple_return, 0.05) AS value_at_risk FROM held GROUP BY symbol)
+    SELECT t.symbol, any_value(t.n) AS n, {six('any_value(t.value_at_risk)', 'value_at_risk')},
+           {six('avg(c.simple_return)', 'expected_shortfall')}
+    FROM tails t JOIN held c ON c.symbol = t.symbol AND c.simple_return <= t.value_at_risk
+    GROUP BY t.symbol""",
     "scenario_impact": f"""WITH shocks AS (
         SELECT * FROM (VALUES {SHOCK_ROWS}) v(scenario, symbol, shock))
     SELECT o_custkey AS portfolio, s.scenario, {six('sum(o_totalprice * coalesce(shock, 0))', 'impact')},
@@ -450,6 +458,24 @@ ORACLES: dict[str, str] = {
     SELECT symbol, {six('sqrt(avg((predicted - actual) ** 2))', 'rmse')},
            {six('avg(abs((predicted - actual) / actual)) * 100', 'mape')}, count(*) AS n
     FROM forecasts WHERE actual IS NOT NULL GROUP BY symbol""",
+    "walk_forward": f"""WITH {DAILY}, rows AS (
+        SELECT symbol, "timestamp", avg(close) OVER {last(5)} AS x, lead(close) OVER ({W}) AS y,
+               epoch_us("timestamp") - epoch_us(TIMESTAMP '1995-01-01') AS since,
+               epoch_us(lead("timestamp") OVER ({W})) - epoch_us(TIMESTAMP '1995-01-01') AS known
+        FROM bars),
+    folds AS (SELECT CAST(unnest(range(6)) AS INTEGER) AS fold, 182 * 86400000000 AS width),
+    lines AS (
+        SELECT fold, symbol, regr_slope(y, x) AS slope, regr_intercept(y, x) AS base
+        FROM rows, folds
+        WHERE since < fold * width AND known + 10 * 86400000000 <= fold * width AND since >= fold * width - 730 * 86400000000
+        GROUP BY fold, symbol),
+    tested AS (
+        SELECT f.fold, r.symbol, base + slope * x AS predicted, y AS actual
+        FROM rows r JOIN folds f ON since >= f.fold * width AND since < (f.fold + 1) * width
+        JOIN lines l ON l.fold = f.fold AND l.symbol = r.symbol)
+    SELECT fold, symbol, {six('sqrt(avg((predicted - actual) ** 2))', 'rmse')},
+           {six('avg(abs((predicted - actual) / actual)) * 100', 'mape')}, count(*) AS n
+    FROM tested WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY fold, symbol""",
     "sentiment_evolution": f"""WITH {SCORES}
     SELECT symbol, "timestamp", event_id, {six('sentiment_score', 'sentiment_score')},
            {_age(86400, 'evolution_24h')}, {_age(604800, 'evolution_7d')}
@@ -469,6 +495,34 @@ ORACLES: dict[str, str] = {
         SELECT *, unnest(list_distinct([lang, source])) AS symbol FROM articles)
     SELECT symbol, CAST(doc_id AS VARCHAR) AS article_id, "timestamp", source, text AS content
     FROM named WHERE symbol IN ('en', 'fr') AND "timestamp" >= TIMESTAMP '2024-01-01 01:00:00'""",
+    "article_index": """WITH named AS (
+        SELECT *, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 MINUTE AS "timestamp",
+               unnest(list_distinct([lang, source])) AS symbol FROM documents)
+    SELECT symbol, CAST(doc_id AS VARCHAR) AS article_id, "timestamp", source, text AS content
+    FROM named WHERE symbol IN ('de', 'src3', 'nobody') AND "timestamp" >= TIMESTAMP '2024-01-01 02:00:00'""",
+    "members_over_time": f"""WITH {PARTS},
+    yearly AS (
+        SELECT p.*, n FROM parts p, (SELECT unnest(range(5)) AS n)
+        WHERE CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) % 7 <> n),
+    weights AS (
+        SELECT p_type, n, sector, sum(p_retailprice) AS price,
+               sum(sum(p_retailprice)) OVER (PARTITION BY p_type, n) AS total
+        FROM yearly GROUP BY p_type, n, sector),
+    members AS (
+        SELECT p_type, n, sector, p_brand, count(*) OVER (PARTITION BY p_type, n, sector) AS shared
+        FROM (SELECT DISTINCT p_type, n, sector, p_brand FROM yearly)),
+    held AS (
+        SELECT p_type, n, make_timestamp(1994 + n, 3, 1, 0, 0, 0) AS valid_from,
+               lead(make_timestamp(1994 + n, 3, 1, 0, 0, 0)) OVER (PARTITION BY p_type ORDER BY n) AS valid_to
+        FROM (SELECT DISTINCT p_type, n FROM yearly)),
+    asked AS (
+        SELECT p_type, unnest(generate_series(TIMESTAMP '1994-01-01', TIMESTAMP '1998-07-01', INTERVAL 2 MONTHS)) AS t
+        FROM (SELECT DISTINCT p_type FROM yearly))
+    SELECT a.p_type AS index_symbol, a.t AS "timestamp", m.p_brand AS company_symbol, m.sector,
+           {six('w.price / w.total / m.shared', 'weight')}, h.valid_from
+    FROM asked a JOIN held h ON h.p_type = a.p_type AND a.t >= h.valid_from AND (h.valid_to IS NULL OR a.t < h.valid_to)
+    JOIN members m ON m.p_type = h.p_type AND m.n = h.n
+    JOIN weights w ON w.p_type = m.p_type AND w.n = m.n AND w.sector = m.sector""",
     "index_composition": f"""WITH {PARTS},
     weights AS (
         SELECT p_type, sector, sum(p_retailprice) AS price,

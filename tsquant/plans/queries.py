@@ -18,6 +18,7 @@ from tsquant.functions.series import Series, number_rows
 from tsquant.functions.work import work_dir
 from tsquant.operators import bars as B
 from tsquant.operators import cleansing as V
+from tsquant.operators import composition as C
 from tsquant.operators import indicators as I
 from tsquant.operators import latest as L
 from tsquant.operators import model as M
@@ -27,11 +28,13 @@ from tsquant.operators import risk as K
 from tsquant.plans import views
 from tsquant.plans.comovement import CoMoments
 from tsquant.plans.jobs import compute_indicators
+from tsquant.plans.risk_table import RiskTable
 from tsquant.plans.views import DAILY, HOURLY, TICKS, bars_daily, bars_hourly, table
 from tsquant.schemas import CORRUPT
 from tsquant.sources import payloads as P
 from tsquant.sources import tables as S
 from tsquant.sources import upkeep as U
+from tsquant.sources.articles import read_article_index, write_article_index
 from tsquant.streaming.bars import read_tick_stream, stream_bars
 from tsquant.streaming.indicators import output_schema, stream_indicators
 from tsquant.streaming.run import drain
@@ -376,6 +379,16 @@ def historical_var_es(spark: SparkSession, folder: str) -> DataFrame:
     return show(K.historical_var_es(K.returns(bars_daily(spark, folder), series=DAILY)))
 
 
+def stored_var_es(spark: SparkSession, folder: str) -> DataFrame:
+    """Two years out of a table that took in all years in two loads, one of them twice."""
+    change = K.returns(bars_daily(spark, folder), series=DAILY)
+    kept = RiskTable(spark, _work(spark, "risk"))
+    early = F.col("timestamp") < "1996-08-09"
+    for part in (change.where(early), change.where(~early), change.where(~early)):
+        kept.advance(part)
+    return show(kept.var_es("1995-07", "1997-06"))
+
+
 def scenario_impact(spark: SparkSession, folder: str) -> DataFrame:
     return show(K.scenario_impact(views.positions(spark, folder), views.shocks(spark)))
 
@@ -395,6 +408,15 @@ def forecast_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return show(M.forecast_metrics(features, "next_close", "SMA_5"))
 
 
+def walk_forward(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of a line from the 5-row mean to the next close, by fold of half a year."""
+    bars = I.sma(bars_daily(spark, folder), 5, series=DAILY)
+    bars = M.label_times(M.lag_features(bars, ["SMA_5"], (1,), series=DAILY), 1, DAILY)
+    folds = M.walk_forward(bars, "1995-01-01", "182 days", 6, embargo="10 days", window="730 days")
+    forecasts = M.line_forecasts(folds, "SMA_5", "next_close")
+    return show(M.forecast_metrics(forecasts, "next_close", "forecast", ("fold", "symbol")))
+
+
 # News
 
 
@@ -426,6 +448,22 @@ def articles_by_symbol(spark: SparkSession, folder: str) -> DataFrame:
     return show(found, "symbol", "article_id", "timestamp", "source", "content")
 
 
+def article_index(spark: SparkSession, folder: str) -> DataFrame:
+    path = _work(spark, "articles")
+    write_article_index(views.articles(spark, folder), path, columns=("article_id", "source", "content", "processed"))
+    found = read_article_index(spark, path, ["de", "src3", "nobody"], since="2024-01-01 02:00:00")
+    return show(found, "symbol", "article_id", "timestamp", "source", "content")
+
+
+def members_over_time(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight of each member of an index at the first instant of every second month."""
+    members = C.members_over_time(views.compositions(spark, folder), views.companies(spark, folder))
+    months = F.explode(F.sequence(F.lit("1994-01-01").cast("timestamp"), F.lit("1998-07-01").cast("timestamp"), F.expr("INTERVAL 2 MONTHS")))
+    asked = members.select("country", "index_symbol").distinct().withColumn("timestamp", months)
+    found = C.as_of_intervals(asked, members, ("country", "index_symbol"))
+    return show(found, "index_symbol", "timestamp", "company_symbol", "sector", "weight", "valid_from")
+
+
 def index_composition(spark: SparkSession, folder: str) -> DataFrame:
     members = N.index_composition(views.indices(spark, folder), views.companies(spark, folder))
     priced = members.withColumn("price", F.element_at("indexed_values", "price"))
@@ -544,15 +582,19 @@ QUERIES: dict[str, Query] = {
     "stored_correlations": stored_correlations,
     "stored_covariances": stored_covariances,
     "historical_var_es": historical_var_es,
+    "stored_var_es": stored_var_es,
     "scenario_impact": scenario_impact,
     "lag_features": lag_features,
     "forecast_metrics": forecast_metrics,
+    "walk_forward": walk_forward,
     "sentiment_evolution": sentiment_evolution,
     "daily_sentiment": daily_sentiment,
     "stock_daily_sentiment": stock_daily_sentiment,
     "daily_keywords": daily_keywords,
     "articles_by_symbol": articles_by_symbol,
+    "article_index": article_index,
     "index_composition": index_composition,
+    "members_over_time": members_over_time,
     "article_text": article_text,
     "checked_payloads": checked_payloads,
     "stream_bars": stream_bars_query,

@@ -141,6 +141,26 @@ def indices(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def compositions(spark: SparkSession, folder: str) -> DataFrame:
+    """Indices as they were rebalanced: in the n-th year only brands whose number is not n
+    modulo 7 belong, some of them sent twice."""
+    years = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n")
+    number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    part = _sectored_parts(spark, folder).select("*", years).where(number % 7 != F.col("n"))
+    sectors = part.groupBy("p_type", "n", "sector").agg(F.sum("p_retailprice").alias("price"), F.collect_set("p_brand").alias("brands"))
+    total = F.sum("price")
+    weights = F.map_from_entries(F.sort_array(F.collect_list(F.struct("sector", "price"))))
+    whole = sectors.groupBy("p_type", "n").agg(
+        weights.alias("prices"), total.alias("total"), F.array_distinct(F.flatten(F.collect_list("brands"))).alias("composition")
+    )
+    year = F.concat((F.col("n") + 1994).cast("string"), F.lit("-03-01")).cast("timestamp")
+    rows = whole.select(
+        F.lit("X").alias("country"), F.col("p_type").alias("index_symbol"), "composition",
+        F.transform_values("prices", lambda _, v: v / F.col("total")).alias("sector_weights"), year.alias("last_rebalanced"),
+    )
+    return rows.unionByName(rows.where(F.month("last_rebalanced") == 3))
+
+
 def companies(spark: SparkSession, folder: str) -> DataFrame:
     """Brands as companies with a mean price."""
     return (
