@@ -10,10 +10,12 @@ from support import BARS, START, near, random_bars
 
 from tsquant.operators import bars as B
 from tsquant.operators import indicators as I
+from tsquant.operators.news import sentiment_evolution
 from tsquant.sources.tables import read_bars
 from tsquant.streaming.bars import read_tick_stream, stream_bars
 from tsquant.streaming.indicators import output_schema, read_state, stream_indicators
 from tsquant.streaming.run import drain
+from tsquant.streaming.sentiment import stream_evolution
 
 TICK = "symbol string, timestamp timestamp, price double, volume bigint, id bigint"
 
@@ -182,3 +184,36 @@ def test_stream_into_the_bars_table(spark, tmp_path, ticks):
     stream = read_tick_stream(spark, str(folder), spark.read.parquet(str(folder)).schema)
     bars = drain(stream_bars(stream, "10 minutes", "20 minutes", tick_id="id"), table, partition_by=("date_bucket",))
     assert sorted(map(tuple, read_bars(spark, table, first_bucket="2025-01").collect())) == sorted(map(tuple, bars.collect()))
+
+
+SCORE = "symbol string, timestamp timestamp, sentiment_score double, id bigint"
+
+
+def test_evolution_over_several_landings_with_late_rows(spark, tmp_path):
+    """Equal to the batch operator; what comes later than the delay is neither shown nor looked at."""
+    rng = random.Random(4)
+    rows = sorted(
+        (
+            (rng.choice("AB"), START + dt.timedelta(minutes=rng.randrange(60 * 24 * 4)), rng.choice([None, rng.uniform(-1, 1)]), i)
+            for i in range(160)
+        ),
+        key=lambda r: r[1],
+    )
+    folder = tmp_path / "scores"
+    for part in range(3):
+        # The first of a landing come with the one before, the last with the one after.
+        land(spark, folder, part, rows[part * 50 + 3 : part * 50 + 53] if part else rows[:53], SCORE)
+    late = [("A", START, 1000.0, 9999)]
+    end = [("Z", START + dt.timedelta(days=9), 0.0, -1)]
+    land(spark, folder, 6, [("Z", START + dt.timedelta(days=11), 0.0, -3)], SCORE)
+    land(spark, folder, 7, [("Z", START + dt.timedelta(days=12), 0.0, -4)], SCORE)
+    land(spark, folder, 3, late + rows[153:], SCORE)
+    land(spark, folder, 4, end, SCORE)
+    land(spark, folder, 5, [("Z", START + dt.timedelta(days=10), 0.0, -2)], SCORE)
+    stream = read_tick_stream(spark, str(folder), spark.read.parquet(str(folder)).schema, files_per_trigger=1)
+    found = drain(stream_evolution(stream, lookback="5 days", delay="2 hours", row=("id",)), str(tmp_path / "out"), str(tmp_path / "check"))
+    batch = sentiment_evolution(spark.createDataFrame(rows, SCORE))
+    expected = {r["id"]: r["evolution_24h"] for r in batch.collect()}
+    got = {r["id"]: r["evolution_24h"] for r in found.where("id >= 0").collect()}
+    assert got.keys() == expected.keys() and all(near(got[i], expected[i], 1e-12) for i in expected)
+    assert any(v is None for v in expected.values()) and sum(v is not None for v in expected.values()) > 30
